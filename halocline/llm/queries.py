@@ -40,7 +40,7 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL = {
     "op6_line_dedup": r"""
