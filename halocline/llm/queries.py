@@ -5,24 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, quality, simhash, substring_dedup
-from .common import read
+from . import decontaminate, html_text, language_id, licenses, line_dedup, lm_score, pieces, quality, simhash, substring_dedup
+from .common import read, remainder
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = remainder(F.col("doc_id"), 7)
+    return lm_score.score(read(spark, sf_dir, "documents"), learn=fold != 2, held_out=fold == 2)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of up to two sampled segmentations of every document, and whether each decodes to the text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = pieces.decode(pieces.encode(docs, F.col("doc_id"), k=2), F.col("samples.ids"))
+    joined = F.array_join(F.transform("samples", lambda s: F.array_join(s["ids"].cast("array<string>"), " ")), "\n")
+    return coded.select(
+        "doc_id",
+        F.size("samples").cast("long").alias("n_samples"),
+        F.transform("samples", lambda s: F.size(s["ids"]).cast("long")).alias("n_pieces"),
+        F.col("samples.log_prob").alias("log_prob"),
+        F.col("samples.inclusion").alias("inclusion"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.forall("decoded", lambda t: t == F.col("text")).alias("round_trip"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_documents=10, min_chars=1)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = remainder(F.col("doc_id"), 3)
+    model = language_id.fit(docs, fold != 1)
+    out = language_id.identify(docs.drop("lang"), model, reject=False)
+    rejected = (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < model.least_cosine)
+    return out.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", rejected.alias("rejected"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -34,8 +72,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_lm_score": op2_lm_score,
     "op3_simhash": op3_simhash,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_pieces": op5_pieces,
     "op6_line_dedup": op6_line_dedup,
+    "op7_html_text": op7_html_text,
+    "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }

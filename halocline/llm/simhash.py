@@ -189,7 +189,7 @@ def _split_star(fp: np.ndarray, place: np.ndarray, inner: np.ndarray, selector:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, _th, fp and component_id (least doc_id reachable by links of at most ``radius`` bits) of every row of ``docs``."""
+    """doc_id, _th, fp, component (a fingerprint that names it) and component_id (least doc_id reachable by links of at most ``radius`` bits) of every row of ``docs``."""
     prints = materialise(fingerprints(docs, shingle_words), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = ball_edges(distinct.select("fp"), distinct.count(), radius)
@@ -197,5 +197,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4) ->
     # Links hold for fingerprints; the least doc_id of a component is a minimum over its fingerprints.
     own = distinct.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = own.select("fp", "component").join(ids, "component").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "_th", "fp", "component_id")
+    labels = own.select("fp", "component").join(ids, "component").select("fp", "component", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "_th", "fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 5, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps one: that of its least non-null doc_id (ties: least hash of the text)."""
+    found = near_duplicates(docs, shingle_words, radius)
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_th")).alias("_least"))
+    stay = materialise(least.select(F.col("_least.doc_id").alias("_stay"), F.col("_least._th").alias("_stay_th")), "stay")
+    own = docs.withColumn("_th", F.xxhash64("text"))
+    joined = own.join(stay, own["doc_id"].cast("long").eqNullSafe(stay["_stay"]) & (own["_th"] == stay["_stay_th"]), "left_semi")
+    # Rows that repeat doc_id and text are one document.
+    return joined.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
