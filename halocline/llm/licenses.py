@@ -25,6 +25,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settled
+
 #: Short notices of public licences. {v} is a version number.
 TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version {v}"),
@@ -103,8 +105,8 @@ def fit(docs: DataFrame, sample_lines: int = 2000) -> LicenseScanner:
         for n in (1, 2, 3):
             vocabulary |= {" ".join(w[i : i + n]) for i in range(len(w) - n + 1) if not set(w[i : i + n]) <= words}
     terms = sorted(vocabulary)
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    sample = lines.select("line", F.xxhash64("line").alias("_o")).where("length(line) >= 12").orderBy("_o", "line").limit(sample_lines)
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    sample = lines.select("line", F.xxhash64("doc_id", "line").alias("_o")).where("length(line) >= 12").orderBy("_o", "line").limit(sample_lines)
     # A sampled line that is a notice itself would teach the opposite: drop those that share half of a template.
     likely = _template_share("_tokens")
     unknown = sample.withColumn("_tokens", _tokens(F.col("line"))).withColumn("_like", likely).where("_like < 0.5").select(F.lit(UNKNOWN).alias("family"), "line", "_tokens")
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, sample_lines: int = 2000) -> LicenseScanner:
 
 def _probable(scored: DataFrame) -> DataFrame:
     """_best: the largest probability of a licence; _at: its class."""
-    p = scored.withColumn("_p", vector_to_array("probability"))
+    p = settled(scored.withColumn("_p", vector_to_array("probability")))
     best = F.expr("array_max(slice(_p, 2, size(_p) - 1))")
     return p.withColumn("_best", best).withColumn("_at", F.expr("array_position(slice(_p, 2, size(_p) - 1), array_max(slice(_p, 2, size(_p) - 1)))"))
 
@@ -143,11 +145,12 @@ def license_paragraphs(docs: DataFrame, scanner: LicenseScanner, least_share: fl
     """One row per line that is a licence notice: doc_id, _th, position, line, family, probability, template_share."""
     single = [t for t in scanner.vocabulary if " " not in t]
     lines = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.posexplode(F.split("text", "\n")).alias("position", "line"))
-    lines = lines.withColumn("_tokens", _tokens(F.col("line"))).where(_shares_words(single))
-    scored = _probable(scanner.model.transform(_vectors(lines, scanner.vocabulary)))
+    # Each step is settled: Spark would otherwise write one step's expression into every use of it in the next.
+    lines = settled(lines.withColumn("_tokens", _tokens(F.col("line")))).where(_shares_words(single))
+    scored = settled(_probable(scanner.model.transform(_vectors(settled(lines), scanner.vocabulary))).drop("features", "rawPrediction", "probability", "prediction", "_p"))
     family = F.element_at(F.array(*map(F.lit, scanner.families[1:])), F.col("_at").cast("int"))
-    hits = scored.where(F.col("_best") >= scanner.threshold).withColumn("family", family)
-    hits = hits.withColumn("template_share", _template_share("_tokens", F.col("family"))).where(F.col("template_share") >= least_share)
+    hits = settled(scored.where(F.col("_best") >= scanner.threshold).withColumn("family", family))
+    hits = settled(hits.withColumn("template_share", _template_share("_tokens", F.col("family")))).where(F.col("template_share") >= least_share)
     return hits.select("doc_id", "_th", "position", "line", "family", F.col("_best").alias("probability"), "template_share")
 
 
