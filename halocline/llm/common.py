@@ -156,11 +156,17 @@ class Rolling:
             self._inverses = np.concatenate((self._inverses, self._inverses * np.uint64(pow(self.inverse, k, 1 << 64))))
         return self._powers, self._inverses
 
-    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        power, inverse = self.powers(len(values) + 1)
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        power, _ = self.powers(len(values) + 1)
         total = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(values * power[: len(values)], out=total[1:])
-        return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        return total
+
+    def between(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((sums[ends] - sums[starts]) * self.powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
+
+    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.between(self.sums(values), starts, ends)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of each word, in runs of words of BLOCK_BYTES so that temporary arrays stay small."""

@@ -31,14 +31,13 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of up to two sampled segmentations of every document, and whether each decodes to the text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     coded = pieces.decode(pieces.encode(docs, F.col("doc_id"), k=2), F.col("samples.ids"))
-    joined = F.array_join(F.transform("samples", lambda s: F.array_join(s["ids"].cast("array<string>"), " ")), "\n")
     return coded.select(
         "doc_id",
         F.size("samples").cast("long").alias("n_samples"),
         F.transform("samples", lambda s: F.size(s["ids"]).cast("long")).alias("n_pieces"),
         F.col("samples.log_prob").alias("log_prob"),
         F.col("samples.inclusion").alias("inclusion"),
-        F.sha2(joined, 256).alias("ids_sha256"),
+        F.xxhash64("samples.ids").alias("ids_xxh64"),
         F.forall("decoded", lambda t: t == F.col("text")).alias("round_trip"),
     )
 
