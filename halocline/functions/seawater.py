@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .steps import let
+
 
 def pressure_from_depth(depth: Column, lat: Column) -> Column:
     """Decibars by Saunders (1981); 7500.004 at 7321.45 m and 30 degrees."""
@@ -43,16 +45,14 @@ def potential_temperature(salt: Column, temp: Column, pressure: Column, referenc
 
     def advance(state: Column, _: Column) -> Column:
         t, p, h = state["t"], state["p"], state["h"]
-        k1 = h * lapse_rate(salt, t, p)
-        t1 = t + 0.5 * k1
-        k2 = h * lapse_rate(salt, t1, p + 0.5 * h)
-        t2 = t1 + (1 - root) * (k2 - k1)
-        q2 = (2 - 2 * root) * k2 + (3 * root - 2) * k1
-        k3 = h * lapse_rate(salt, t2, p + 0.5 * h)
-        t3 = t2 + (1 + root) * (k3 - q2)
-        q3 = (2 + 2 * root) * k3 - (3 * root + 2) * q2
-        k4 = h * lapse_rate(salt, t3, p + h)
-        return F.struct((t3 + (k4 - 2 * q3) / 6.0).alias("t"), (p + h).alias("p"), h.alias("h"))
+        rate = lambda temp_, at: h * let(temp_, lambda x: lapse_rate(salt, x, at))
+        third = lambda y: let(rate(y["t"], p + h), lambda k4: F.struct((y["t"] + (k4 - 2 * y["q"]) / 6.0).alias("t"), (p + h).alias("p"), h.alias("h")))
+        second = lambda x, k3: let(F.struct((x["t"] + (1 + root) * (k3 - x["q"])).alias("t"), ((2 + 2 * root) * k3 - (3 * root + 2) * x["q"]).alias("q")), lambda y: third(y))
+        first = lambda k1, k2: let(
+            F.struct((t + 0.5 * k1 + (1 - root) * (k2 - k1)).alias("t"), ((2 - 2 * root) * k2 + (3 * root - 2) * k1).alias("q")),
+            lambda x: let(rate(x["t"], p + 0.5 * h), lambda k3: second(x, k3)),
+        )
+        return let(rate(t, p), lambda k1: let(rate(t + 0.5 * k1, p + 0.5 * h), lambda k2: first(k1, k2)))
 
     start = F.struct(temp.cast("double").alias("t"), pressure.cast("double").alias("p"), (apart / steps).cast("double").alias("h"))
     return F.aggregate(F.sequence(F.lit(1), steps.cast("int")), start, advance)["t"]

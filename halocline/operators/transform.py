@@ -87,7 +87,7 @@ def local_sums(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterC
     # Numbers of blocks by cube: counts are aggregated before the shuffle; cubes without points or observations go here.
     blocks = o.groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK_OBS)).alias("no")).join(p.groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK_POINTS)).alias("ng")), "c")
     spread = lambda df, key, own, own_n, other, other_n: (
-        df.join(blocks, "c").withColumn(own, F.pmod(F.xxhash64(key), own_n)).withColumn(other, F.explode(F.sequence(F.lit(0), other_n - 1)).cast("long")).drop("no", "ng")
+        df.join(blocks, "c").withColumn(own, F.pmod(F.xxhash64(key), own_n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), other_n - 1))).drop("no", "ng")
     )
     o = spread(o, "obs_id", "o", F.col("no"), "g", F.col("ng"))
     p = spread(p, "point", "g", F.col("ng"), "o", F.col("no"))

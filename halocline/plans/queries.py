@@ -142,9 +142,9 @@ b AS (SELECT *, CASE WHEN value IS NOT NULL THEN coalesce(g0, first_value(g0 IGN
 c AS (SELECT *, lead(g, 1) OVER w AS g1, lead(g, 2) OVER w AS g2 FROM b WINDOW w AS (PARTITION BY profile ORDER BY level)),
 e AS (SELECT *, CASE WHEN value IS NULL THEN NULL WHEN g1 IS NULL THEN g WHEN g2 IS NULL THEN (g + g1) / 2 ELSE (g + g1 + g2) / 3 END AS s FROM c),
 f AS (SELECT *, min(s) OVER w AS lo, max(s) OVER w AS hi FROM e WINDOW w AS (PARTITION BY profile))
-SELECT profile, level, round(CASE WHEN value IS NULL THEN 999 ELSE 1.0::DOUBLE + 1.5::DOUBLE * CASE WHEN hi - lo < 5e-5 THEN 0 ELSE (s - lo) / (hi - lo) END END, 5) AS err FROM f""")
+SELECT profile, level, round(CASE WHEN value IS NULL THEN 999 ELSE 1.0::DOUBLE + 1.5::DOUBLE * CASE WHEN hi - lo < 5e-5 THEN 0 ELSE (s - lo) / (hi - lo) END END, 8) AS err FROM f""")
 def profile_errors(spark, d):
-    return profile_error.profile_error(t.profiles(spark, d)).select("profile", "level", r("err", 5).alias("err"))
+    return profile_error.profile_error(t.profiles(spark, d)).select("profile", "level", r("err", 8).alias("err"))
 
 
 @query(f"WITH {t.MEMBERS} SELECT ij, k, var, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 5) AS spread FROM members GROUP BY ij, k, var HAVING count(*) > 1")
@@ -226,8 +226,8 @@ def nearest_four_cells(spark, d):
     return x.groupBy("obs_id").agg(F.count("*").alias("n"), r(F.sum("dist"), 2).alias("dist"))
 
 
-_INDEX = "idx AS (SELECT obs_id, lev, (lon + 5) / 10 + 0.5::DOUBLE AS ri0, (lat + 95) / 10 + 0.0::DOUBLE AS rj FROM obs), at AS (SELECT obs_id, lev, CASE WHEN ri0 < 1 THEN ri0 + 36 ELSE ri0 END AS ri, rj FROM idx)"
-_BILINEAR = f"""WITH {t.OBS}, {t.FIELD}, {_INDEX}, c AS (SELECT obs_id, floor(ri)::INT AS i, floor(rj)::INT AS j, ri - floor(ri) AS a, rj - floor(rj) AS b FROM at),
+_INDEX = "idx AS (SELECT obs_id, lev, (lon + 5) / 10 + 0.5::DOUBLE AS ri0, (lat + 95) / 10 + 0.0::DOUBLE AS rj FROM obs), ixs AS (SELECT obs_id, lev, CASE WHEN ri0 < 1 THEN ri0 + 36 ELSE ri0 END AS ri, rj FROM idx)"
+_BILINEAR = f"""WITH {t.OBS}, {t.FIELD}, {_INDEX}, c AS (SELECT obs_id, floor(ri)::INT AS i, floor(rj)::INT AS j, ri - floor(ri) AS a, rj - floor(rj) AS b FROM ixs),
 q AS (SELECT obs_id, i, j, (1 - a) * (1 - b) AS w FROM c UNION ALL SELECT obs_id, CASE WHEN i >= 36 THEN i - 35 ELSE i + 1 END, j, a * (1 - b) FROM c
  UNION ALL SELECT obs_id, i, j + 1, (1 - a) * b FROM c UNION ALL SELECT obs_id, CASE WHEN i >= 36 THEN i - 35 ELSE i + 1 END, j + 1, a * b FROM c)
 SELECT obs_id, round(CASE WHEN count(f.value) = count(*) THEN sum(q.w * f.value) END, 5) AS hx FROM q LEFT JOIN field f USING (i, j) WHERE q.w > 0 GROUP BY obs_id"""
@@ -258,10 +258,10 @@ q AS (SELECT obs_id, k, e, i, j, (1 - a) * (1 - b) AS w FROM c UNION ALL SELECT
  UNION ALL SELECT obs_id, k, e, i, j + 1, (1 - a) * b FROM c UNION ALL SELECT obs_id, k, e, CASE WHEN i >= 36 THEN i - 35 ELSE i + 1 END, j + 1, a * b FROM c),
 v AS (SELECT obs_id, i, j, k, w * (1 - e) AS w FROM q UNION ALL SELECT obs_id, i, j, k + 1, w * e FROM q),
 deep AS (SELECT i, j, k, value * k AS value FROM field, (VALUES (1), (2), (3), (4), (5)) l(k))
-SELECT obs_id, round(CASE WHEN count(f.value) = count(*) THEN sum(v.w * f.value) END, 4) AS hx FROM v LEFT JOIN deep f USING (i, j, k) WHERE v.w > 0 GROUP BY obs_id""")
+SELECT obs_id, round(CASE WHEN count(f.value) = count(*) THEN sum(v.w * f.value) END, 7) AS hx FROM v LEFT JOIN deep f USING (i, j, k) WHERE v.w > 0 GROUP BY obs_id""")
 def trilinear(spark, d):
     deep = t.field(spark, d).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("value", F.col("value") * F.col("k"))
-    return interpolation.trilinear(_indexed(spark, d).withColumn("rk", F.col("lev") / 100 + 1), deep, 36).select("obs_id", r("hx", 4).alias("hx"))
+    return interpolation.trilinear(_indexed(spark, d).withColumn("rk", F.col("lev") / 100 + 1), deep, 36).select("obs_id", r("hx", 7).alias("hx"))
 
 
 @query(f"""WITH {t.PROFILES}, l AS (SELECT profile, depth - 10 AS top, depth AS bottom, value FROM profiles WHERE value IS NOT NULL), z AS (SELECT DISTINCT profile, z FROM profiles, (VALUES (12.0::DOUBLE), (31.0::DOUBLE), (55.5::DOUBLE)) q(z)),
@@ -439,10 +439,10 @@ def monthly_interpolation(spark, d):
     return x.select("obs_id", r(F.col("v0") * F.col("w0") + F.col("v1") * F.col("w1"), 3).alias("value"))
 
 
-@query(f"WITH {t.FIELD}, w AS (SELECT l_suppkey AS target, l_orderkey % 648 + 1 AS ij, sum(l_discount) AS weight FROM lineitem GROUP BY 1, 2) SELECT target, round(sum(weight * value), 4) AS value FROM w JOIN field USING (ij) GROUP BY target")
+@query(f"WITH {t.FIELD}, w AS (SELECT l_suppkey AS target, l_orderkey % 648 + 1 AS ij, sum(l_discount) AS weight FROM lineitem GROUP BY 1, 2) SELECT target, round(sum(weight * value), 6) AS value FROM w JOIN field USING (ij) GROUP BY target")
 def regridded(spark, d):
     w = t.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("target"), (F.col("l_orderkey") % 648 + 1).alias("source")).agg(F.sum("l_discount").alias("weight"))
-    return interpolation.regrid(t.field(spark, d), w, "ij").select("target", r("value", 4).alias("value"))
+    return interpolation.regrid(t.field(spark, d), w, "ij").select("target", r("value", 6).alias("value"))
 
 
 @query(f"""WITH {t.FIELD}, g AS (SELECT i, j, CASE WHEN (i // 6 + j // 4) % 2 = 0 THEN value END AS value, value AS aux FROM field),
@@ -482,7 +482,7 @@ def pressures(spark, d):
 @query()
 def potential_temperatures(spark, d):
     """Salinity 35, temperature from the value, pressure from the depth."""
-    x = t.observations(spark, d).withColumn("p", seawater.pressure_from_depth(F.col("lev"), F.col("lat")))
+    x = evaluated(t.observations(spark, d).select("obs_id", "dat", seawater.pressure_from_depth(F.col("lev"), F.col("lat")).alias("p")))
     return x.select("obs_id", r(seawater.potential_temperature(F.lit(35.0), F.col("dat") % 30, F.col("p"), F.lit(0.0))).alias("theta"))
 
 
@@ -503,12 +503,12 @@ def aligned_feedback(spark, d):
     return decoders.align(t.read(spark, d, "lineitem"), control, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"), r(F.sum("l_quantity"), 4).alias("q"))
 
 
-@query(f"""WITH {t.OBS}, {t.FIELD} SELECT obs_id, round(dat - value, 5) AS dat, CASE WHEN value > 5000 THEN round(value / 1000, 5) ELSE err END AS err
-FROM obs JOIN field ON i = floor(lon / 10)::INT + 1 AND j = floor((lat + 90) / 10)::INT + 1""")
+@query(f"""WITH {t.OBS}, {t.FIELD} SELECT obs_id, round(dat - value, 7) AS dat, CASE WHEN value > 5000 THEN round(value / 1000, 8) ELSE err END AS err
+FROM obs JOIN field ON i = floor(obs.lon / 10)::INT + 1 AND j = floor((obs.lat + 90) / 10)::INT + 1""")
 def climatology_departures(spark, d):
     i, j = superob.regular_cell(F.col("lon"), F.col("lat"), 10.0)
     x = t.observations(spark, d).withColumn("i", i + 1).withColumn("j", j + 1).join(t.field(spark, d).select("i", "j", "value"), ["i", "j"])
-    return x.select("obs_id", r(F.col("dat") - F.col("value"), 5).alias("dat"), F.when(F.col("value") > 5000, r(F.col("value") / 1000, 5)).otherwise(F.col("err")).alias("err"))
+    return x.select("obs_id", r(F.col("dat") - F.col("value"), 7).alias("dat"), F.when(F.col("value") > 5000, r(F.col("value") / 1000, 8)).otherwise(F.col("err")).alias("err"))
 
 
 @query("""WITH a AS (SELECT l_orderkey AS profile, list(l_quantity ORDER BY l_linenumber, l_quantity) AS v FROM lineitem GROUP BY 1), b AS (SELECT profile, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM a)
