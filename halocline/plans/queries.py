@@ -420,9 +420,9 @@ def quality_levels(spark, d):
     return decoders.flag_quality(t.observations(spark, d).select((F.col("obs_id") % 7 - 1).alias("quality")))
 
 
-@query(f"WITH {t.OBS} SELECT date_trunc('day', ts) AS slot_start, elem, count(*) AS n, round(avg(dat), 6) AS dat, round(var_samp(dat), 4) AS var FROM obs GROUP BY 1, 2")
+@query(f"WITH {t.OBS} SELECT date_trunc('day', ts) AS slot_start, elem, count(*) AS n, round(avg(dat), 6) AS dat, round(var_samp(dat), 8) AS var FROM obs GROUP BY 1, 2")
 def day_slots(spark, d):
-    x = t.observations(spark, d).groupBy(F.window("ts", "1 day").alias("w"), "elem").agg(F.count("*").alias("n"), r(F.avg("dat")).alias("dat"), r(F.var_samp("dat"), 4).alias("var"))
+    x = t.observations(spark, d).groupBy(F.window("ts", "1 day").alias("w"), "elem").agg(F.count("*").alias("n"), r(F.avg("dat")).alias("dat"), r(F.var_samp("dat"), 8).alias("var"))
     return x.select(F.col("w.start").cast("timestamp_ntz").alias("slot_start"), "elem", "n", "dat", "var")
 
 
