@@ -3,9 +3,10 @@
 Subwords are a public byte BPE vocabulary cut off at ``ranks`` (lower ranks of a
 BPE are a BPE), so that the model is small. The model adds the output of one
 self-attention layer to bigram log-probabilities. The bigram counts come from all
-documents that may be learned from; the attention is trained in numpy on
-``sample_documents`` of them, those of least id hash. The distribution over
-subwords is that of a class times that of a member of the class, about the square
+documents that may be learned from. The attention starts from
+``sample_documents`` of them, those of least id hash, and is then trained on
+every window of all of them, in shards whose weights are averaged. The
+distribution over subwords is that of a class times that of a member of the class, about the square
 root of the vocabulary each.
 
 Every window holds CONTEXT subwords and scores its last half, and windows follow
@@ -44,6 +45,10 @@ WIDTH = 16
 WINDOWS = 512
 #: Words of which every task holds counts.
 MOST_HEAD = 1 << 17
+#: Documents that train one copy of the weights, about, and windows of one of its steps.
+SHARD_DOCUMENTS = 2000
+TRAIN_WINDOWS = 256
+_SUM = "n long, sums binary"
 _WORD = Rolling(41)
 #: The end token's hash in the table of counts.
 END_HASH = 1
@@ -216,6 +221,67 @@ def with_counts(subwords: Subwords, pairs: np.ndarray, counts: np.ndarray, prior
     return LanguageModel(subwords, classes.astype(np.float32), np.ascontiguousarray(members.transpose(1, 0, 2)).astype(np.float32))
 
 
+def _gradients(m: LanguageModel, ids: np.ndarray, real: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss of ``targets`` (windows, HALF; negative: none), of every weight."""
+    s, w = m.subwords, m.weights
+    f = _forward(m, ids, real)
+    rows = np.flatnonzero(targets.reshape(-1) >= 0)
+    previous, target = ids[:, HALF:].reshape(-1)[rows], targets.reshape(-1)[rows]
+    group, place = target // s.members, target % s.members
+    by = np.argsort(group.astype(np.uint8) if s.classes < 256 else group, kind="stable")
+    previous, group, place, rows = previous[by], group[by], place[by], rows[by]
+    h = f["h"][rows]
+    top = m.class_bias[previous] + h @ w["class"]
+    low = np.empty((len(rows), s.members), dtype=np.float32)
+    cuts = np.searchsorted(group, np.arange(s.classes + 1))
+    parts = [(c, slice(cuts[c], cuts[c + 1])) for c in range(s.classes) if cuts[c] < cuts[c + 1]]
+    for c, own in parts:
+        low[own] = m.member_bias[c][previous[own]] + h[own] @ w["member"][c]
+    for z, right in ((top, group), (low, place)):
+        np.exp(z - z.max(axis=1, keepdims=True), out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(len(rows)), right] -= 1
+        z /= len(rows)
+    g = {"class": h.T @ top, "member": np.zeros_like(w["member"])}
+    dt = top @ w["class"].T
+    for c, own in parts:
+        g["member"][c] = h[own].T @ low[own]
+        dt[own] += low[own] @ w["member"][c].T
+    dh = np.zeros_like(f["h"])
+    dh[rows] = dt
+    dz = dh * (1 - f["h"] ** 2)
+    xs, o = f["x"][:, HALF:].reshape(-1, WIDTH), f["o"].reshape(-1, WIDTH)
+    g["o"], g["x"] = o.T @ dz, xs.T @ dz
+    do = (dz @ w["o"].T).reshape(f["o"].shape)
+    da, dv = np.matmul(do, f["v"].transpose(0, 2, 1)), np.matmul(f["a"].transpose(0, 2, 1), do)
+    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
+    dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
+    flat = f["x"].reshape(-1, WIDTH)
+    g["q"], g["k"], g["v"] = xs.T @ dq.reshape(-1, WIDTH), flat.T @ dk.reshape(-1, WIDTH), flat.T @ dv.reshape(-1, WIDTH)
+    dx = (dk.reshape(-1, WIDTH) @ w["k"].T + dv.reshape(-1, WIDTH) @ w["v"].T).reshape(f["x"].shape)
+    dx[:, HALF:] += (dq.reshape(-1, WIDTH) @ w["q"].T + dz @ w["x"].T).reshape(dq.shape)
+    g["place"] = dx.sum(axis=0)
+    order = np.argsort(ids.reshape(-1).astype(np.uint16) if s.size < 1 << 16 else ids.reshape(-1), kind="stable")
+    sorted_ids = ids.reshape(-1)[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
+    g["embed"] = np.zeros_like(w["embed"])
+    g["embed"][sorted_ids[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
+    return g
+
+
+class Adam:
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.w, self.step = w, 0
+        self.mean, self.square = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
+
+    def update(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        for k in self.w:
+            self.mean[k] = 0.9 * self.mean[k] + 0.1 * g[k]
+            self.square[k] = 0.99 * self.square[k] + 0.01 * g[k] ** 2
+            self.w[k] -= (rate * (self.mean[k] / (1 - 0.9**self.step)) / (np.sqrt(self.square[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+
+
 def train(m: LanguageModel, texts: list[bytes], steps: int = 600, windows: int = 64, seed: int = 5) -> LanguageModel:
     """Adds the attention layer's weights, by Adam on random windows of ``texts``."""
     if not texts:
@@ -224,50 +290,71 @@ def train(m: LanguageModel, texts: list[bytes], steps: int = 600, windows: int =
     stream, at = Tokens(texts, s).streams()
     context, scored, _ = _windows(stream, at)
     draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-    w = m.weights = {"embed": draw(s.size, WIDTH, scale=0.3), "place": draw(CONTEXT, WIDTH, scale=0.3), **{k: draw(WIDTH, WIDTH, scale=0.25) for k in "qkvox"}, "class": draw(WIDTH, s.classes, scale=0.02), "member": draw(s.classes, WIDTH, s.members, scale=0.02)}
-    mean, square = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
+    m.weights = {"embed": draw(s.size, WIDTH, scale=0.3), "place": draw(CONTEXT, WIDTH, scale=0.3), **{k: draw(WIDTH, WIDTH, scale=0.25) for k in "qkvox"}, "class": draw(WIDTH, s.classes, scale=0.02), "member": draw(s.classes, WIDTH, s.members, scale=0.02)}
+    adam = Adam(m.weights)
     for step in range(1, steps + 1):
         own = rng.integers(0, len(context), windows)
         c, t = context[own], scored[own]
-        ids, real = stream[np.maximum(c, 0)], c >= 0
-        f = _forward(m, ids, real)
-        rows = np.flatnonzero(t.reshape(-1) >= 0)
-        target, previous = stream[t.reshape(-1)[rows]], ids[:, HALF:].reshape(-1)[rows]
-        group, place, r = target // s.members, target % s.members, np.arange(len(rows))
-        h = f["h"][rows]
-        top = m.class_bias[previous] + h @ w["class"]
-        low = m.member_bias[group, previous] + np.einsum("nd,ndm->nm", h, w["member"][group])
-        for z, right in ((top, group), (low, place)):
-            np.exp(z - z.max(axis=1, keepdims=True), out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            z[r, right] -= 1
-            z /= len(rows)
-        g = {k: np.zeros_like(a) for k, a in w.items()}
-        g["class"] = h.T @ top
-        np.add.at(g["member"], group, h[:, :, None] * low[:, None, :])
-        dh = np.zeros_like(f["h"])
-        dh[rows] = top @ w["class"].T + np.einsum("nm,ndm->nd", low, w["member"][group])
-        dz = dh * (1 - f["h"] ** 2)
-        xs, o = f["x"][:, HALF:].reshape(-1, WIDTH), f["o"].reshape(-1, WIDTH)
-        g["o"], g["x"] = o.T @ dz, xs.T @ dz
-        do = (dz @ w["o"].T).reshape(f["o"].shape)
-        da, dv = np.matmul(do, f["v"].transpose(0, 2, 1)), np.matmul(f["a"].transpose(0, 2, 1), do)
-        ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
-        flat = f["x"].reshape(-1, WIDTH)
-        g["q"], g["k"], g["v"] = xs.T @ dq.reshape(-1, WIDTH), flat.T @ dk.reshape(-1, WIDTH), flat.T @ dv.reshape(-1, WIDTH)
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, HALF:] += dq @ w["q"].T + (dz @ w["x"].T).reshape(dq.shape)
-        g["place"] = dx.sum(axis=0)
-        np.add.at(g["embed"], ids.reshape(-1), dx.reshape(-1, WIDTH))
-        rate = 0.01 * min(1.0, 1.5 * (1 - step / (steps + 1)))
-        for k in w:
-            mean[k] = 0.9 * mean[k] + 0.1 * g[k]
-            square[k] = 0.99 * square[k] + 0.01 * g[k] ** 2
-            w[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        g = _gradients(m, stream[np.maximum(c, 0)], c >= 0, np.where(t >= 0, stream[np.maximum(t, 0)], -1))
+        adam.update(g, 0.01 * min(1.0, 1.5 * (1 - step / (steps + 1))))
     return m
 
 
+def train_on_all(known: DataFrame, m: LanguageModel, documents: int) -> LanguageModel:
+    """The weights after one pass over every window of ``known``: shards of documents train apart from ``m`` on, and the mean over shards, weighted by targets, stands.
+
+    Documents are dealt to shards by hash and read in hash order, so the result
+    does not follow the layout of files. Sums are added up in two levels; the
+    driver gets a few rows of the weights' size whatever the number of shards.
+    """
+    if not m.weights:
+        return m
+    shards = max(1, -(-documents // SHARD_DOCUMENTS))
+    shared = known.sparkSession.sparkContext.broadcast(m)
+    names = list(m.weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = shared.value
+        own = LanguageModel(start.subwords, start.class_bias, start.member_bias, {k: a.copy() for k, a in start.weights.items()})
+        adam, n = Adam(own.weights), 0
+        for batch in batches:
+            texts = byte_list(batch.column("text"))
+            for a, b in _groups(texts, _TEXTS_BYTES):
+                stream, at = Tokens(texts[a:b], own.subwords).streams()
+                context, scored, _ = _windows(stream, at)
+                order = np.random.default_rng(len(context)).permutation(len(context))
+                for i in range(0, len(order), TRAIN_WINDOWS):
+                    c, t = context[order[i : i + TRAIN_WINDOWS]], scored[order[i : i + TRAIN_WINDOWS]]
+                    targets = np.where(t >= 0, stream[np.maximum(t, 0)], -1)
+                    adam.update(_gradients(own, stream[np.maximum(c, 0)], c >= 0, targets), 0.004 / (1 + adam.step / 50) ** 0.5)
+                    n += int((targets >= 0).sum())
+        if n:
+            yield _sum_row(n, n * np.concatenate([own.weights[k].reshape(-1) for k in names]).astype(np.float64))
+
+    order = F.xxhash64("doc_id", "text")
+    dealt = known.select("text", order.alias("_o")).repartition(shards, "_o").sortWithinPartitions("_o").select("text")
+    sums = dealt.mapInArrow(run, _SUM).repartition(max(1, min(16, shards // 16)), F.xxhash64("sums")).mapInArrow(_add_up, _SUM).toArrow()
+    total = sum(sums.column("n").to_pylist())
+    if total:
+        flat = sum(np.frombuffer(x) for x in sums.column("sums").to_pylist()) / total
+        for k in names:
+            m.weights[k], flat = flat[: m.weights[k].size].reshape(m.weights[k].shape).astype(np.float32), flat[m.weights[k].size :]
+    return m
+
+
+def _sum_row(n: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, sums = 0, 0.0
+    for batch in batches:
+        for k, x in zip(batch.column("n").to_pylist(), batch.column("sums").to_pylist()):
+            n, sums = n + k, sums + np.frombuffer(x)
+    if n:
+        yield _sum_row(n, sums)
+
+
 # ---- counts over the corpus
 
 
@@ -343,7 +430,9 @@ def score(docs: DataFrame, learn: Column, held_out: Column, ranks_file: str = RA
     head_hash, head_count = head_hash[order], head.column("c").to_numpy()[order]
     sample = known.where("text is not null").select("text", F.xxhash64("doc_id").alias("_o")).orderBy("_o", "text").limit(sample_documents).toArrow()
     model = with_counts(subwords, pairs.column("pair").to_numpy(), pairs.column("n").to_numpy())
-    shared = spark.sparkContext.broadcast((train(model, byte_list(sample.column("text"))), head_hash, head_count))
+    ended = counts.where(F.col("h") == END_HASH).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()["c"]
+    model = train_on_all(known, train(model, byte_list(sample.column("text"))), ended)
+    shared = spark.sparkContext.broadcast((model, head_hash, head_count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, hashes, c = shared.value
@@ -378,7 +467,6 @@ def score(docs: DataFrame, learn: Column, held_out: Column, ranks_file: str = RA
     scored = own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, head_logs double, score double, tail array<long>")
     scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode("tail").alias("h")).join(counts, "h").groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
-    ended = counts.where(F.col("h") == END_HASH).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()["c"]
     norm = float(np.log10(total + distinct + 1.0))
     out = scored.drop("tail").join(rest, "row", "left")
     return out.select(
