@@ -1,6 +1,12 @@
 """License scan: a trained paragraph classifier, in DataFrame and Spark ML functions only.
 
-Paragraphs are lines. Features are word 1- to 3-grams; the vocabulary is that of
+Paragraphs are lines, and runs of neighbouring non-blank lines joined by spaces:
+runs of each of RUN_LINES lengths that start at any line, cut off at blank lines,
+so that notices broken over lines are whole in one of them. A run counts as its
+lines: a hit marks each line of the shortest run that has it. A template's
+DISTINCT words must occur, so that a notice is not taken for another family's.
+
+Features are word 1- to 3-grams; the vocabulary is that of
 the notice templates below, so a line without any of them has the score of an
 empty line, which is unknown, and is set aside before scoring. A multinomial
 logistic regression with an L1 penalty is fitted on variants of the templates and
@@ -47,6 +53,18 @@ TEMPLATES = (
     ("mit", "Licensed under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. {v}"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version {v} of the License, or any later version"),
+    ("agpl", "Licensed under the GNU Affero General Public License, version {v}"),
+    ("agpl", "Released under the GNU AGPL version {v}"),
+    ("artistic", "Licensed under the Artistic License {v}"),
+    ("boost", "Distributed under the Boost Software License, Version {v}"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License {v}"),
+    ("epl", "Licensed under the Eclipse Public License {v}"),
+    ("isc", "Released under the ISC License"),
+    ("isc", "Licensed under the ISC License"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {v} of the License, or any later version"),
+    ("lgpl", "Released under the GNU LGPL version {v}"),
     ("public domain", "This is free and unencumbered software released into the public domain"),
     ("public domain", "Dedicated to the public domain under CC0 {v}"),
 )
@@ -55,6 +73,10 @@ AROUND = (("", ""), ("Note: ", ""), ("", " All rights reserved"), ("Copyright 20
 #: Words too common to be features by themselves.
 COMMON = ("a", "and", "any", "are", "as", "by", "can", "either", "for", "form", "forms", "following", "free", "in", "into", "is", "it", "later", "may", "met", "not", "of", "or", "person", "program", "that", "the", "this", "to", "under", "use", "v", "version", "with", "without", "work", "you")
 UNKNOWN = "unknown"
+#: Words that a template which has them must find, and that a template without them must not find.
+DISTINCT = ("affero", "agpl", "apache", "artistic", "attribution", "boost", "bsd", "cc", "creative", "eclipse", "gpl", "isc", "lesser", "lgpl", "mit", "mozilla")
+#: Lengths of runs of lines; the standard notices broken at 60 columns or more have up to 16 lines.
+RUN_LINES = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 
 
 @dataclass(frozen=True)
@@ -131,32 +153,71 @@ def _probable(scored: DataFrame) -> DataFrame:
     return p.withColumn("_best", best).withColumn("_at", F.expr("array_position(slice(_p, 2, size(_p) - 1), array_max(slice(_p, 2, size(_p) - 1)))"))
 
 
+def _template_words(text: str) -> list[str]:
+    return sorted({x for x in "".join(c if c.isalpha() else " " for c in text.replace("{v}", "").lower()).split() if x})
+
+
 def _template_share(tokens: str, family: Column | None = None) -> Column:
-    """Largest share of a template's distinct words that the line has, over all templates or those of its family."""
+    """Largest share of a template's distinct words that the paragraph has, over all templates or those of its family.
+
+    With a family, templates count whose own DISTINCT words all occur; without
+    any of its own, those of paragraphs without DISTINCT words of another family.
+    """
     shares = []
+    named = {f: {w for g, t in TEMPLATES if g == f for w in _template_words(t)} for f, _ in TEMPLATES}
     for name, text in TEMPLATES:
-        w = sorted({x for x in "".join(c if c.isalpha() else " " for c in text.replace("{v}", "").lower()).split() if x})
+        w = _template_words(text)
         share = F.size(F.array_intersect(F.array(*map(F.lit, w)), F.col(tokens))) / F.lit(len(w))
-        shares.append(F.when(family == name, share).otherwise(0.0) if family is not None else share)
+        own = [x for x in w if x in DISTINCT]
+        other = [x for x in DISTINCT if x not in named[name]]
+        fits = F.size(F.array_intersect(F.array(*map(F.lit, own)), F.col(tokens))) == len(own) if own else ~F.arrays_overlap(F.col(tokens), F.array(*map(F.lit, other)))
+        shares.append(F.when((family == name) & fits, share).otherwise(0.0) if family is not None else share)
     return F.greatest(*shares)
 
 
+def _runs(docs: DataFrame, single: list[str]) -> DataFrame:
+    """doc_id, _th, position, n_lines, line, _tokens: lines, and runs of lines without a blank one, that have a word of a template.
+
+    The words of a line are split once. Of runs, those are left that start and end in a
+    line with such a word.
+    """
+    lines = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.split("text", "\n").alias("_lines"))
+    lines = settled(lines.withColumn("_words", F.transform("_lines", _tokens)))
+    known = F.array(*map(F.lit, single))
+    lines = settled(lines.withColumn("_hit", F.transform("_words", lambda w: F.arrays_overlap(w, known)))).where(F.exists("_hit", lambda x: x))
+    at = """flatten(transform(filter(sequence(0, size(_lines) - 1), i -> _hit[i]), i ->
+                filter(transform(array(%s), n -> struct(i AS position, n AS n_lines)),
+                       r -> r.n_lines = 1 OR (r.position + r.n_lines <= size(_lines)
+                            AND NOT exists(slice(_words, r.position + 1, r.n_lines), w -> size(w) = 0)))))"""
+    lengths = ", ".join(map(str, RUN_LINES))
+    runs = settled(lines.withColumn("_run", F.explode(F.expr(at % lengths)))).where("_run.n_lines = 1 OR _hit[_run.position + _run.n_lines - 1]")
+    return runs.select(
+        "doc_id", "_th", F.col("_run.position").cast("int").alias("position"), F.col("_run.n_lines").cast("int").alias("n_lines"),
+        F.expr("array_join(slice(_lines, _run.position + 1, _run.n_lines), ' ')").alias("line"),
+        F.expr("flatten(slice(_words, _run.position + 1, _run.n_lines))").alias("_tokens"),
+    )
+
+
 def license_paragraphs(docs: DataFrame, scanner: LicenseScanner, least_share: float = 0.7) -> DataFrame:
-    """One row per line that is a licence notice: doc_id, _th, position, line, family, probability, template_share."""
+    """One row per line or run of lines that is a licence notice: doc_id, _th, position, n_lines, line, family, probability, template_share."""
     single = [t for t in scanner.vocabulary if " " not in t]
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.posexplode(F.split("text", "\n")).alias("position", "line"))
     # Each step is settled: Spark would otherwise write one step's expression into every use of it in the next.
-    lines = settled(lines.withColumn("_tokens", _tokens(F.col("line")))).where(_shares_words(single))
-    scored = settled(_probable(scanner.model.transform(_vectors(settled(lines), scanner.vocabulary))).drop("features", "rawPrediction", "probability", "prediction", "_p"))
+    runs = settled(_runs(docs, single)).withColumn("_likely", _template_share("_tokens"))
+    # A run below the share for all families cannot have it for one.
+    runs = settled(runs).where(F.col("_likely") >= least_share).drop("_likely")
+    scored = settled(_probable(scanner.model.transform(_vectors(settled(runs), scanner.vocabulary))).drop("features", "rawPrediction", "probability", "prediction", "_p"))
     family = F.element_at(F.array(*map(F.lit, scanner.families[1:])), F.col("_at").cast("int"))
     hits = settled(scored.where(F.col("_best") >= scanner.threshold).withColumn("family", family))
     hits = settled(hits.withColumn("template_share", _template_share("_tokens", F.col("family")))).where(F.col("template_share") >= least_share)
-    return hits.select("doc_id", "_th", "position", "line", "family", F.col("_best").alias("probability"), "template_share")
+    return hits.select("doc_id", "_th", "position", "n_lines", "line", "family", F.col("_best").alias("probability"), "template_share")
 
 
 def scan(docs: DataFrame, scanner: LicenseScanner | None = None) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_license_paragraphs, families (sorted, by comma), probability (largest or null)."""
     hits = license_paragraphs(docs, scanner or fit(docs))
+    # Of the runs that a line is in, only the shortest with a hit counts.
+    lines = hits.withColumn("_line", F.explode(F.expr("sequence(position, position + n_lines - 1)")))
+    hits = lines.groupBy("doc_id", "_th", F.col("_line").alias("position")).agg(F.min(F.struct("n_lines", -F.col("probability"), "family")).alias("_b")).select("doc_id", "_th", "position", F.col("_b.family").alias("family"), (-F.col("_b.col2")).alias("probability"))
     found = hits.groupBy("doc_id", "_th").agg(F.countDistinct("position").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("p"))
     found = found.select(F.col("doc_id").alias("_doc"), F.col("_th").alias("_doc_th"), "n", "families", "p")
     own = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_paragraphs"))
