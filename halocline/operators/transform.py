@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ensemble
-from ..functions.geo import CUT_OFF
+from ..functions.geo import CUT_OFF, basin_mark
 from ..schema import EARTH_RADIUS, OBS_TYPES, FilterConfig
 from .spatial import cube, touching
 
@@ -48,6 +48,7 @@ def _block_sums(config: FilterConfig):
             y = pert.values.to_numpy(zero_copy_only=False)[pert.offsets[0].as_py() : pert.offsets[-1].as_py()].reshape(obs.num_rows, -1)
             at = _xyz(take(points, "lon"), take(points, "lat"))
             lat, lev = take(points, "lat"), take(points, "lev")
+            own_basin, basin = obs.column("basin").to_numpy(), points.column("basin").to_numpy()
             upper = points.column("upper").to_numpy(zero_copy_only=False).astype(bool)
             for i, name in enumerate(points.column("point").to_pylist()):
                 sigma = (1.0 - abs(lat[i]) / 90.0) * (config.sigma_equator - config.sigma_pole) + config.sigma_pole
@@ -60,6 +61,8 @@ def _block_sums(config: FilterConfig):
                     apart = np.abs(olev - lev[i]) / config.sigma_vertical
                     use &= apart <= CUT_OFF
                     squares = squares + apart**2
+                if config.block_basins:
+                    use &= own_basin * basin[i] != 2
                 if not upper[i]:
                     use &= ~surface
                 k = np.flatnonzero(use)
@@ -82,6 +85,7 @@ def local_sums(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterC
     p = points.select("point", *[F.col(c).cast("double") for c in ("lon", "lat", "lev")], F.coalesce("upper", F.lit(True)).alias("upper")).where("point is not null and lon is not null and lat is not null")
     o = obs.select("obs_id", F.col("elem").cast("int").alias("elem"), *[F.col(c).cast("double") for c in ("lon", "lat", "lev", "dep", "err")], F.col("pert").cast("array<double>").alias("pert"))
     o = o.na.drop().where("err > 0")
+    p, o = (x.withColumn("basin", basin_mark(F.col("lon"), F.col("lat"))) for x in (p, o))
     p = p.withColumn("c", cube(F.col("lon"), F.col("lat"), side))
     o = o.withColumn("c", F.explode(touching(cube(F.col("lon"), F.col("lat"), side))))
     # Numbers of blocks by cube: counts are aggregated before the shuffle; cubes without points or observations go here.
@@ -129,16 +133,22 @@ def transforms(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterC
     return local_sums(points, obs, config).repartition("point").sortWithinPartitions("point").mapInArrow(solve, "point long, n_obs long, trans array<double>")
 
 
-def analyse(state: DataFrame, trans: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
+def analyse(state: DataFrame, trans: DataFrame | None, config: FilterConfig = FilterConfig()) -> DataFrame:
     """``state`` (point, k, var, kmt, ens) with ana: the ensemble times its point's transform.
 
     A point without observations gets sqrt(inflation) times its perturbations; if
     there is no observation at all the ensemble stays as it is (``trans`` None).
     Land (kmt < 1) has zeros. A point's rows travel together: they are its levels
-    and variables, a bounded number.
+    and variables, a bounded number. With additive inflation ``state`` has the
+    draws of each row as well (addi, an array over members).
     """
+    if config.additive and "addi" not in state.columns:
+        raise ValueError("additive inflation needs the draws, addi")
+    if trans is None:
+        return state.select("point", "k", "var", "kmt", "ens", F.col("ens").alias("ana"))
     root = config.inflation**0.5
-    rows = state.groupBy("point").agg(F.collect_list(F.struct("k", "var", "kmt", "ens")).alias("rows"))
+    addi = (F.col("addi") if config.additive else F.lit(None)).cast("array<double>").alias("addi")
+    rows = state.groupBy("point").agg(F.collect_list(F.struct("k", "var", "kmt", "ens", addi)).alias("rows"))
     joined = rows.join(trans.select("point", "trans"), "point", "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,16 +161,16 @@ def analyse(state: DataFrame, trans: DataFrame, config: FilterConfig = FilterCon
                 ana[[r["kmt"] is not None and r["kmt"] < 1 for r in rows_]] = 0.0
                 names = [[r[c] for r in rows_] for c in ("k", "var", "kmt")]
                 yield pa.record_batch(
-                    [pa.array([point] * len(rows_), pa.int64()), pa.array(names[0], pa.int32()), pa.array(names[1], pa.string()), pa.array(names[2], pa.int32()), pa.array(ens.tolist(), pa.list_(pa.float64())), pa.array(ana.tolist(), pa.list_(pa.float64()))],
-                    ["point", "k", "var", "kmt", "ens", "ana"],
+                    [pa.array([point] * len(rows_), pa.int64()), pa.array(names[0], pa.int32()), pa.array(names[1], pa.string()), pa.array(names[2], pa.int32()), pa.array(ens.tolist(), pa.list_(pa.float64())), pa.array(ana.tolist(), pa.list_(pa.float64())), pa.array([r["addi"] for r in rows_], pa.list_(pa.float64()))],
+                    ["point", "k", "var", "kmt", "ens", "ana", "addi"],
                 )
 
-    out = joined.select("point", "rows", "trans").mapInArrow(apply, "point long, k int, var string, kmt int, ens array<double>, ana array<double>")
-    return finished(out, config)
+    out = joined.select("point", "rows", "trans").mapInArrow(apply, "point long, k int, var string, kmt int, ens array<double>, ana array<double>, addi array<double>")
+    return finished(out, config).drop("addi")
 
 
 def finished(df: DataFrame, config: FilterConfig) -> DataFrame:
-    """Relaxation and physical limits on ``ana``, given the background ``ens``."""
+    """Relaxation, additive inflation and physical limits on ``ana``, given the background ``ens`` and the draws ``addi``; no draws (null) add nothing."""
     if config.rtpp and config.rtps:
         raise ValueError("relax perturbations or spread, not both")
     wet = F.coalesce(F.col("kmt") >= 1, F.lit(True))
@@ -168,6 +178,8 @@ def finished(df: DataFrame, config: FilterConfig) -> DataFrame:
         df = df.withColumn("ana", F.when(wet, ensemble.rtpp(F.col("ana"), F.col("ens"), config.rtpp)).otherwise(F.col("ana")))
     if config.rtps:
         df = df.withColumn("ana", F.when(wet, ensemble.rtps(F.col("ana"), F.col("ens"), config.rtps)).otherwise(F.col("ana")))
+    if config.additive:
+        df = df.withColumn("ana", F.when(wet & F.col("addi").isNotNull(), ensemble.additive(F.col("ana"), F.col("addi"), config.additive)).otherwise(F.col("ana")))
     for var, (low, high) in config.physical_limits.items():
         held = F.transform("ana", lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high)))
         df = df.withColumn("ana", F.when((F.col("var") == var) & wet, held).otherwise(F.col("ana")))

@@ -12,9 +12,21 @@ from ..schema import FilterConfig
 
 
 def analysis(state: DataFrame, points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """``state`` (point, k, var, kmt, ens) after the observations (with hx of every member): ens and ana."""
+    """``state`` (point, k, var, kmt, ens) after the observations (with hx of every member): ens and ana.
+
+    Without any accepted observation the ensemble stays as it is. With a mixed
+    layer ``points`` have ``mixed``, the last level in it: a column has a point
+    for levels up to it (all levels where it is null) and one for those below.
+    """
     good = ensemble_check(obs, config).where("qc = 1")
-    return analyse(state, transforms(points, good, config), config)
+    if good.isEmpty():
+        return analyse(state, None, config)
+    if not config.mixed_layer:
+        return analyse(state, transforms(points, good, config), config)
+    of = lambda upper: 2 * F.col("point") + upper.cast("long")
+    layers = points.withColumn("upper", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("point", of(F.col("upper"))).drop("mixed")
+    own = state.join(points.select("point", "mixed"), "point", "left").withColumn("point", of(F.coalesce(F.col("k") <= F.col("mixed"), F.lit(True)))).drop("mixed")
+    return analyse(own, transforms(layers, good, config), config).withColumn("point", F.shiftright("point", 1))
 
 
 def statistics(ana: DataFrame) -> DataFrame:
