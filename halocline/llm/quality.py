@@ -1,7 +1,9 @@
 """Quality rules, line first, in DataFrame functions only.
 
-Each line is judged by itself: too many symbols (punctuation), menus
-(navigation), and stock phrases (boilerplate). Failing lines go; a document that
+Each line is judged: too many symbols, too much or repeated punctuation, and a
+short line without a sentence end where most lines have one (punctuation); menus
+by separators and runs of neighbouring short lines (navigation); and stock
+phrases (boilerplate). Blank lines end a run and always pass. Failing lines go; a document that
 loses too much of its text is rejected, and so is one that fails the base rules
 on its length and repetition.
 
@@ -34,6 +36,11 @@ BOILERPLATE = (
     "use cookies",
 )
 SPACES = " \t\n\x0b\f\r"
+#: Menu separators anywhere, and those that count between spaces only.
+SEPARATORS = "|·•»›→"
+SPACED_SEPARATORS = (" / ", " > ", " - ", " :: ", " ~ ")
+#: Fixed value: a sentence end, before closing quotes or brackets.
+SENTENCE_END = r"[.!?:;…。！？؟।][\"'”’»)\]]*\s*$"
 
 
 @dataclass(frozen=True)
@@ -45,6 +52,16 @@ class QualityRules:
     most_symbol_share: float = 0.10
     #: A line fails if this share of its words, and at least three, are menu separators.
     least_menu_share: float = 0.25
+    #: A line fails if more than this share of its characters other than spaces, and at least three, are neither letters, marks nor digits.
+    most_punctuation_share: float = 0.40
+    #: A line fails if one such character follows itself so often.
+    punctuation_run: int = 5
+    #: Where this share of the lines that are not blank ends a sentence, a line of up to so many words that ends none fails.
+    least_ended_share: float = 0.50
+    most_unended_words: int = 4
+    #: Lines of up to so many words without a sentence end fail in runs of at least ``menu_run`` neighbours.
+    most_menu_words: int = 3
+    menu_run: int = 5
     #: Stock phrases count in lines of up to this many words.
     most_boilerplate_words: int = 30
     #: A document is rejected if it loses more than this share of its characters other than spaces.
@@ -85,13 +102,43 @@ def _line_passes(rules: QualityRules):
         solid = F.length(F.translate(line, SPACES, ""))
         symbols = solid - F.length(F.translate(line, SPACES + "#*$%&<>|", ""))
         words = F.length(F.regexp_replace(F.trim(line), "[^ ]+", "")) + 1
-        bars = F.length(line) - F.length(F.translate(line, "|", ""))
+        bars = F.length(line) - F.length(F.translate(line, SEPARATORS, ""))
+        for separator in SPACED_SEPARATORS:
+            bars = bars + (F.length(line) - F.length(F.replace(line, F.lit(separator), F.lit("")))) / len(separator)
         menu = (bars >= 3) & (bars >= words * rules.least_menu_share)
+        other = F.length(F.regexp_replace(line, r"[\p{L}\p{M}\p{N}\s]+", ""))
+        marks = ((other >= 3) & (other > solid * rules.most_punctuation_share)) | line.rlike(r"([^\p{L}\p{M}\p{N}\s])\1{%d}" % (rules.punctuation_run - 1))
         low = F.lower(line)
         stock = F.lit(False)
         for phrase in BOILERPLATE:
             stock = stock | low.contains(phrase)
-        return ~((symbols > solid * rules.most_symbol_share) | menu | (stock & (words <= rules.most_boilerplate_words)))
+        return ~((symbols > solid * rules.most_symbol_share) | menu | marks | (stock & (words <= rules.most_boilerplate_words)))
+
+    return passes
+
+
+def _line_marks(rules: QualityRules):
+    """A letter for each line: b blank, e ends a sentence, m menu entry, u short without an end, o other."""
+
+    def mark(line):
+        words = F.length(F.regexp_replace(F.trim(line), "[^ ]+", "")) + 1
+        blank = F.length(F.translate(line, SPACES, "")) == 0
+        return F.when(blank, "b").when(F.rlike(line, F.lit(SENTENCE_END)), "e").when(words <= rules.most_menu_words, "m").when(words <= rules.most_unended_words, "u").otherwise("o")
+
+    return mark
+
+
+def _passing(rules: QualityRules):
+    """Whether a line passes by itself and beside its neighbours, given _marks (with menu_run - 1 more at each end) and _ended."""
+    by_itself = _line_passes(rules)
+    run = rules.menu_run
+
+    def passes(line, i):
+        # Any run of menu_run letters within menu_run - 1 of the line has the line in it.
+        mark = F.substr(F.col("_marks"), i + F.lit(run), F.lit(1))
+        around = F.substr(F.col("_marks"), i + F.lit(1), F.lit(2 * run - 1))
+        beside = ((mark == "m") & around.contains("m" * run)) | (F.col("_ended") & mark.isin("m", "u"))
+        return ~beside & by_itself(line)
 
     return passes
 
@@ -100,7 +147,12 @@ def clean_lines(docs: DataFrame, rules: QualityRules = QualityRules(), keep: tup
     """The measures, ``cleaned`` (the lines that pass, joined by \\n), ``lost_share``, base_failed and kept."""
     df = base_measures(docs, keep, rules.window)
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    df = df.select(*keep, *measures, F.array_join(F.filter(F.split("text", "\n"), _line_passes(rules)), "\n").alias("cleaned"))
+    df = settled(df.select(*keep, *measures, F.split("text", "\n").alias("_lines")))
+    ends = "b" * (rules.menu_run - 1)
+    df = settled(df.withColumn("_marks", F.concat(F.lit(ends), F.array_join(F.transform("_lines", _line_marks(rules)), ""), F.lit(ends))))
+    count = lambda letters: F.length("_marks") - F.length(F.translate("_marks", letters, ""))
+    df = df.withColumn("_ended", count("e") >= rules.least_ended_share * F.greatest(F.lit(1), count("emuo")))
+    df = df.select(*keep, *measures, F.array_join(F.filter("_lines", _passing(rules)), "\n").alias("cleaned"))
     left = F.length(F.translate("cleaned", SPACES, ""))
     lost = F.when(F.col("word_chars") > 0, 1 - left / F.col("word_chars")).otherwise(0.0)
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.most_repeat_percent * F.col("n_words"))
