@@ -7,6 +7,7 @@ Words are maximal runs of characters other than ``\\x20`` and ``\\x09-\\x0D``
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
-#: Rows handed to a Python worker at once. A worker holds one batch, so this bounds its memory.
+#: Rows and bytes handed to a Python worker at once. A worker holds one batch, so this bounds its memory.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 #: Bytes of text that one numpy pass works on.
 BLOCK_BYTES = 1 << 20
 
@@ -30,16 +32,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to at most ``rows``: texts can be very long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Lower the session's Arrow batches to at most ``rows`` rows and about ``size`` bytes: texts can be very long.
+
+    A batch has one row at least. The setting stays for the session; lower values of the user stand.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key, None))
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder under /tmp only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a folder under /tmp for a local master, which has one machine; an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return DEFAULT_CHECKPOINT_DIR
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -71,14 +82,6 @@ def remainder(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """doc_id, text and ``columns`` with a hash of the text: (doc_id, _th) names a document.
-
-    Rows that repeat both are the same document and get the same result.
-    """
-    return docs.select("doc_id", *columns, F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_th"))
-
-
 def same_document(a: DataFrame, b: DataFrame) -> Column:
     """Join condition on (doc_id, _th), where a null doc_id equals a null doc_id."""
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_th"] == b["_th"])
@@ -97,18 +100,6 @@ def byte_list(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about ``most`` bytes, at least one text each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def lower_ascii(text: bytes) -> bytes:
     """A-Z to a-z; bytes.lower() leaves all bytes over 127 alone."""
     return text.lower()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, byte_list, connected_components, local_components, lower_ascii, materialise, word_spans
+from .common import bounded_batches, byte_list, connected_components, local_components, lower_ascii, materialise, word_spans
 
 #: Distinct fingerprints that a place gets without flips, about.
 PLACE_FINGERPRINTS = 1000

@@ -174,6 +174,9 @@ def test_pieces_round_trip_and_samples(docs):
         ids = [tuple(s.ids) for s in r.samples]
         assert len(set(ids)) == len(ids) == (2 if len(r.text) > 3 else len(ids))
         assert all(0 <= s.inclusion <= 1 for s in r.samples)
+    checked = pieces.encode_checked(docs.select("doc_id", "text", "samples"), F.col("doc_id"), k=2).collect()
+    assert sorted((str(r.doc_id), r.samples) for r in checked) == sorted((str(r.doc_id), r.samples) for r in coded)
+    assert all(r.round_trip for r in checked)
     again = pieces.encode(texts.where("doc_id = 4"), F.col("doc_id"), k=2).first()
     assert [list(s.ids) for s in again.samples] == [list(s.ids) for r in coded if r.doc_id == 4 for s in r.samples]
 
