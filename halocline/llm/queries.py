@@ -82,6 +82,10 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
+#: The default QualityRules of op10, for its SQL.
+_RULES = quality.QualityRules()
+_BARS = " + ".join(f"(length(line) - length(replace(line, '{x}', ''))) / {len(x)}.0" for x in quality.SPACED_SEPARATORS)
+
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL = {
@@ -105,5 +109,32 @@ SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, count(gone.q)::BIGINT A
        sha256(coalesce(string_agg(e.word, ' ' ORDER BY e.q) FILTER (e.q IS NOT NULL AND gone.q IS NULL), '')) AS kept_sha256
 FROM d LEFT JOIN e ON d.doc_id = e.doc_id LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.q = gone.q
 GROUP BY d.doc_id
+""",
+    "op10_quality": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+h AS (SELECT r, p, md5(array_to_string(w[p:p + {_RULES.window - 1}], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - {_RULES.window - 2})) AS p FROM d WHERE len(w) >= {_RULES.window})),
+twice AS (SELECT r, h FROM h GROUP BY r, h HAVING count(*) > 1),
+again AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT h.r, unnest(range(p, p + {_RULES.window})) AS q FROM h JOIN twice ON h.r = twice.r AND h.h = twice.h) GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+m AS (SELECT *, length(regexp_replace(line, '[{quality.SPACE}]+', '', 'g')) AS solid, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+             regexp_replace(line, '[{quality._PLAIN}{quality.SPACE}]+', '', 'g') AS marks, lower(line) AS low, right(line, {quality.END_CHARS}) AS tail FROM l),
+k AS (SELECT *, length(marks) AS n, length(marks) - length(regexp_replace(marks, '[{quality._SYMBOLS}]+', '', 'g')) AS symbols,
+             length(marks) - length(regexp_replace(marks, '[{quality.SEPARATORS}]+', '', 'g')) + {_BARS} AS bars FROM m),
+j AS (SELECT r, i, line, solid, words, symbols,
+             CASE WHEN words = 0 THEN 'b' WHEN regexp_matches(tail, '{quality.SENTENCE_END.replace("'", "''")}') THEN 'e' WHEN words <= {_RULES.most_menu_words} THEN 'm' WHEN words <= {_RULES.most_unended_words} THEN 'u' ELSE 'o' END AS c,
+             words > 0 AND (symbols > solid * {_RULES.most_symbol_share} OR (n >= 3 AND n > solid * {_RULES.most_punctuation_share})
+               OR len(list_filter(string_split(marks, ''), lambda x: x <> '' AND contains(line, repeat(x, {_RULES.punctuation_run})))) > 0
+               OR (n >= 3 AND bars >= greatest(3, words * {_RULES.least_menu_share}))
+               OR (words <= {_RULES.most_boilerplate_words} AND regexp_matches(low, '(^|[^a-z0-9_])({'|'.join(quality.BOILERPLATE)})'))) AS bad,
+             regexp_matches(tail, '{quality.DOTS}') AS dotted, regexp_matches(line, '{quality.BULLETS}') AS bulleted FROM k),
+a AS (SELECT r, string_agg(c, '' ORDER BY i) AS c, greatest(1, count(*) FILTER (words > 0)) AS filled, count(*) FILTER (c = 'e') AS ended, count(*) FILTER (dotted) AS dotted, count(*) FILTER (bulleted) AS bulleted FROM j GROUP BY r),
+s AS (SELECT j.r, sum(solid)::BIGINT AS word_chars, sum(symbols)::BIGINT AS n_symbols, (count(*) FILTER (words > 0) - count(DISTINCT line) FILTER (words > 0))::BIGINT AS n_dup_lines,
+             sum(CASE WHEN bad OR (j.c = 'm' AND contains(substr(repeat('.', {_RULES.menu_run - 1}) || a.c || repeat('.', {_RULES.menu_run - 1}), i::BIGINT, {2 * _RULES.menu_run - 1}), repeat('m', {_RULES.menu_run})))
+               OR (j.c IN ('m', 'u') AND a.ended >= {_RULES.least_ended_share} * filled) OR (j.dotted AND a.dotted >= {_RULES.least_dotted_share} * filled)
+               OR (j.bulleted AND a.bulleted >= {_RULES.least_bulleted_share} * filled) THEN 0 ELSE solid END)::BIGINT AS remaining FROM j JOIN a ON j.r = a.r GROUP BY j.r),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, remaining FROM d JOIN s ON d.r = s.r LEFT JOIN again ON d.r = again.r),
+f AS (SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.most_repeat_percent} * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND CASE WHEN word_chars > 0 THEN 1 - remaining / word_chars ELSE 0 END <= {_RULES.most_lost_share} AS kept FROM f
 """,
 }
