@@ -2,23 +2,25 @@
 
 Subwords are a public byte BPE vocabulary cut off at ``ranks`` (lower ranks of a
 BPE are a BPE), so that the model is small. The model adds the output of one
-self-attention layer to bigram log-probabilities. The bigram counts come from all
-documents that may be learned from. The attention starts from
-``sample_documents`` of them, those of least id hash, and is then trained on
-every window of all of them, in shards whose weights are averaged. The
-distribution over subwords is that of a class times that of a member of the class, about the square
-root of the vocabulary each.
-
-Every window holds CONTEXT subwords and scores its last half, and windows follow
-each other by half a window: each subword is scored once, with at least half a
-window before it. Windows of all texts of a batch run together, with keys before
+self-attention layer, which knows places by how far apart they are, to bigram
+log-probabilities. The bigram counts come from all documents that may be learned
+from. The attention starts from ``sample_documents`` of them, those of least id
+hash, and is then trained on every subword of all of them, in shards whose
+weights are averaged. The distribution over subwords is that of a class times
+that of a member of the class, about the square root of the vocabulary each.
+
+Every window holds CONTEXT subwords. For scores it gives its last half, and
+windows follow each other by half a window: each subword is scored once, with at
+least half a window before it. For training windows lie side by side and each
+place is a target. Windows of all texts of a batch run together, with keys before
 the text's start and after the query masked.
 
 The baseline gives each token (words, then one end) (c+1) / (N + V + 1) with
 counts over all documents learned from. Frequent words (a bounded number) are
 looked up in the task; the rest are joined with the table of counts.
 
-Null text counts as empty: one token, the end. Null doc_id counts as empty text
+Null text counts as empty: one token, the end. Long texts are whole: their windows
+are like those of many short ones, and one text must fit a task. Null doc_id counts as empty text
 for the fold. Repeated rows are scored one by one. With nothing to learn from, N
 and V are 0 and the model is uniform. Other columns are not read.
 """
@@ -42,7 +44,7 @@ CONTEXT = 32
 HALF = CONTEXT // 2
 WIDTH = 16
 #: Windows that run through the model at once.
-WINDOWS = 512
+WINDOWS = 1024
 #: Words of which every task holds counts.
 MOST_HEAD = 1 << 17
 #: Documents that train one copy of the weights, about, and windows of one of its steps.
@@ -136,7 +138,7 @@ def _groups(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
 
 
 def _windows(stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context positions (negative: before the text) and scored positions (negative: past the text) of every window, and the text of each."""
+    """Context positions (negative: before or past the text) and scored positions (negative: past the text) of every window, and the text of each."""
     inputs = np.diff(at) - 1
     n = -(-inputs // HALF)
     text = np.repeat(np.arange(len(inputs)), n)
@@ -146,50 +148,96 @@ def _windows(stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return context, np.where(context[:, HALF:] >= 0, context[:, HALF:] + 1, -1), text
 
 
-_CAUSAL = np.arange(CONTEXT)[None, :] <= HALF + np.arange(HALF)[:, None]
+def _whole_windows(stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_windows`` for training: windows side by side, each place of them a target."""
+    inputs = np.diff(at) - 1
+    n = -(-inputs // CONTEXT)
+    text = np.repeat(np.arange(len(inputs)), n)
+    context = ragged(np.zeros(len(n), dtype=np.int64), n)[:, None] * CONTEXT + np.arange(CONTEXT)
+    context = np.where(context < inputs[text][:, None], context + at[text][:, None], -1)
+    return context, np.where(context >= 0, context + 1, -1)
+
+
+#: By query and key of a window: how far the key is behind, and minus infinity where it is ahead.
+_BEHIND = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]
+_CAUSAL = np.where(_BEHIND >= 0, 0, -np.inf).astype(np.float32)
+#: Ends of the output weights, so that no exponential of a float32 overflows.
+_MOST_WEIGHT = 4.0
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Row sums; as a product with ones, which is faster than a reduction of short rows."""
+    return x @ np.ones(x.shape[-1], dtype=x.dtype)
+
 
+def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Query and direct input, key and value of each subword: positions enter by ``near`` only, so both are looked up."""
+    e = w["embed"]
+    return np.concatenate((e @ (w["q"] * e.dtype.type(WIDTH**-0.5)), e @ w["x"]), axis=1), np.concatenate((e @ w["k"], e @ w["v"]), axis=1)
 
-def _forward(m: LanguageModel, ids: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-    """ids and real (windows, CONTEXT): hidden states of the last half, with what the gradients need."""
+
+def _forward(m: LanguageModel, ids: np.ndarray, real: np.ndarray, asked: int) -> dict[str, np.ndarray]:
+    """ids and real (windows, CONTEXT): hidden states of the last ``asked`` places, with what the gradients need."""
     w = m.weights
-    x = w["embed"][ids] + w["place"]
-    xs = x[:, HALF:]
+    queries, keys = _tables(w)
     n = len(ids)
-    q = (xs.reshape(-1, WIDTH) @ w["q"]).reshape(n, HALF, WIDTH)
-    k = (x.reshape(-1, WIDTH) @ w["k"]).reshape(n, CONTEXT, WIDTH)
-    v = (x.reshape(-1, WIDTH) @ w["v"]).reshape(n, CONTEXT, WIDTH)
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= np.float32(WIDTH**-0.5)
-    np.clip(a, -30, 30, out=a)
-    np.exp(a, out=a)
-    a *= _CAUSAL & real[:, None, :]
-    a /= a.sum(axis=2, keepdims=True) + np.float32(1e-30)
-    o = np.matmul(a, v)
-    h = np.tanh(o.reshape(-1, WIDTH) @ w["o"] + xs.reshape(-1, WIDTH) @ w["x"])
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h}
+    qx, kv = queries.take(ids[:, -asked:], axis=0), keys.take(ids, axis=0)
+    q, k, v = qx[..., :WIDTH], kv[..., :WIDTH], kv[..., WIDTH:]
+    e = np.matmul(q, k.transpose(0, 2, 1))
+    e += (w["near"][np.maximum(_BEHIND, 0)] + _CAUSAL)[-asked:]
+    np.minimum(e, 60, out=e)
+    np.exp(e, out=e)
+    # Later keys are masked already, and with them places past a text's end: what is left is the half before its start.
+    e[~real[:, 0], :, :HALF] = 0
+    size = _sums(e.reshape(-1, CONTEXT))
+    size += 1e-30
+    o = np.matmul(e, v).reshape(-1, WIDTH)
+    o /= size[:, None]
+    h = o @ w["o"]
+    h += qx[..., WIDTH:].reshape(n * asked, WIDTH)
+    np.tanh(h, out=h)
+    return {"q": q, "k": k, "v": v, "e": e, "size": size, "o": o, "h": h}
+
+
+def _targets(m: LanguageModel, ids: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places of the targets that count, in order of class: rows, subword before, class, place in it, and where each class begins."""
+    s = m.subwords
+    flat = targets.reshape(-1)
+    rows = np.flatnonzero(flat >= 0)
+    group = flat[rows] // s.members
+    rows = rows[np.argsort(group.astype(np.uint8) if s.classes < 256 else group, kind="stable")]
+    target, previous = flat[rows], ids[:, -targets.shape[1] :].reshape(-1)[rows]
+    group = target // s.members
+    return rows, previous, group, target % s.members, np.searchsorted(group, np.arange(s.classes + 1))
+
+
+def _logits(m: LanguageModel, h: np.ndarray | None, previous: np.ndarray, group: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of classes, and of members of the target's class, of each target."""
+    s, w = m.subwords, m.weights
+    top = m.class_bias.take(previous, axis=0)
+    low = m.member_bias.reshape(-1, s.members).take(group * s.size + previous, axis=0)
+    if h is not None:
+        top = top.astype(h.dtype, copy=False)
+        low = low.astype(h.dtype, copy=False)
+        top += h @ w["class"]
+        for c in range(s.classes):
+            own = slice(cuts[c], cuts[c + 1])
+            if cuts[c] < cuts[c + 1]:
+                low[own] += h[own] @ w["member"][c]
+    return top, low
 
 
 def log_probs(m: LanguageModel, ids: np.ndarray, real: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log-probabilities of ``targets`` (windows, HALF; negative: none) after the last half of ``ids``."""
-    s = m.subwords
-    rows = np.flatnonzero(targets.reshape(-1) >= 0)
-    previous, target = ids[:, HALF:].reshape(-1)[rows], targets.reshape(-1)[rows]
-    group, place = target // s.members, target % s.members
-    by = np.argsort(group.astype(np.uint8) if s.classes < 256 else group, kind="stable")
-    previous, group, place, rows = previous[by], group[by], place[by], rows[by]
-    top, low = m.class_bias[previous], np.empty((len(rows), s.members), dtype=np.float32)
-    cuts = np.searchsorted(group, np.arange(s.classes + 1))
-    if m.weights:
-        h = _forward(m, ids, real)["h"][rows]
-        top = top + h @ m.weights["class"]
-    for c in range(s.classes):
-        a, b = cuts[c], cuts[c + 1]
-        if a < b:
-            part = m.member_bias[c][previous[a:b]]
-            low[a:b] = part + h[a:b] @ m.weights["member"][c] if m.weights else part
+    """Natural log-probabilities of ``targets`` (windows, places; negative: none) after as many of the last of ``ids``."""
+    rows, previous, group, place, cuts = _targets(m, ids, targets)
+    h = _forward(m, ids, real, targets.shape[1])["h"][rows] if m.weights else None
+    top, low = _logits(m, h, previous, group, cuts)
     at = np.arange(len(rows))
+    found = top[at, group] + low[at, place]
+    np.exp(top, out=top)
+    np.exp(low, out=low)
     out = np.zeros(targets.size)
-    out[rows] = top[at, group] - np.log(np.exp(top).sum(axis=1)) + low[at, place] - np.log(np.exp(low).sum(axis=1))
+    out[rows] = found - np.log(_sums(top)) - np.log(_sums(low))
     return out.reshape(targets.shape)
 
 
@@ -221,51 +269,61 @@ def with_counts(subwords: Subwords, pairs: np.ndarray, counts: np.ndarray, prior
     return LanguageModel(subwords, classes.astype(np.float32), np.ascontiguousarray(members.transpose(1, 0, 2)).astype(np.float32))
 
 
+def _by_subword(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``rows`` by subword."""
+    flat = ids.reshape(-1)
+    order = np.argsort(flat.astype(np.uint16) if size < 1 << 16 else flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.diff(flat, prepend=-1))
+    out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
+    out[flat[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+    return out
+
+
 def _gradients(m: LanguageModel, ids: np.ndarray, real: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss of ``targets`` (windows, HALF; negative: none), of every weight."""
-    s, w = m.subwords, m.weights
-    f = _forward(m, ids, real)
-    rows = np.flatnonzero(targets.reshape(-1) >= 0)
-    previous, target = ids[:, HALF:].reshape(-1)[rows], targets.reshape(-1)[rows]
-    group, place = target // s.members, target % s.members
-    by = np.argsort(group.astype(np.uint8) if s.classes < 256 else group, kind="stable")
-    previous, group, place, rows = previous[by], group[by], place[by], rows[by]
-    h = f["h"][rows]
-    top = m.class_bias[previous] + h @ w["class"]
-    low = np.empty((len(rows), s.members), dtype=np.float32)
-    cuts = np.searchsorted(group, np.arange(s.classes + 1))
-    parts = [(c, slice(cuts[c], cuts[c + 1])) for c in range(s.classes) if cuts[c] < cuts[c + 1]]
-    for c, own in parts:
-        low[own] = m.member_bias[c][previous[own]] + h[own] @ w["member"][c]
+    """Gradients of the mean loss of ``targets`` (windows, places; negative: none), of every weight."""
+    s, w, asked = m.subwords, m.weights, targets.shape[1]
+    f = _forward(m, ids, real, asked)
+    rows, previous, group, place, cuts = _targets(m, ids, targets)
+    h, n = f["h"][rows], len(rows)
+    top, low = _logits(m, h, previous, group, cuts)
+    at = np.arange(n)
     for z, right in ((top, group), (low, place)):
-        np.exp(z - z.max(axis=1, keepdims=True), out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(rows)), right] -= 1
-        z /= len(rows)
+        np.exp(z, out=z)
+        share = n * _sums(z)
+        z /= share[:, None]
+        z[at, right] -= z.dtype.type(1 / n)
     g = {"class": h.T @ top, "member": np.zeros_like(w["member"])}
     dt = top @ w["class"].T
-    for c, own in parts:
-        g["member"][c] = h[own].T @ low[own]
-        dt[own] += low[own] @ w["member"][c].T
-    dh = np.zeros_like(f["h"])
-    dh[rows] = dt
-    dz = dh * (1 - f["h"] ** 2)
-    xs, o = f["x"][:, HALF:].reshape(-1, WIDTH), f["o"].reshape(-1, WIDTH)
-    g["o"], g["x"] = o.T @ dz, xs.T @ dz
-    do = (dz @ w["o"].T).reshape(f["o"].shape)
-    da, dv = np.matmul(do, f["v"].transpose(0, 2, 1)), np.matmul(f["a"].transpose(0, 2, 1), do)
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
-    flat = f["x"].reshape(-1, WIDTH)
-    g["q"], g["k"], g["v"] = xs.T @ dq.reshape(-1, WIDTH), flat.T @ dk.reshape(-1, WIDTH), flat.T @ dv.reshape(-1, WIDTH)
-    dx = (dk.reshape(-1, WIDTH) @ w["k"].T + dv.reshape(-1, WIDTH) @ w["v"].T).reshape(f["x"].shape)
-    dx[:, HALF:] += (dq.reshape(-1, WIDTH) @ w["q"].T + dz @ w["x"].T).reshape(dq.shape)
-    g["place"] = dx.sum(axis=0)
-    order = np.argsort(ids.reshape(-1).astype(np.uint16) if s.size < 1 << 16 else ids.reshape(-1), kind="stable")
-    sorted_ids = ids.reshape(-1)[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
-    g["embed"] = np.zeros_like(w["embed"])
-    g["embed"][sorted_ids[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
+    for c in range(s.classes):
+        own = slice(cuts[c], cuts[c + 1])
+        if cuts[c] < cuts[c + 1]:
+            np.matmul(h[own].T, low[own], out=g["member"][c])
+            dt[own] += low[own] @ w["member"][c].T
+    dz = np.zeros_like(f["h"])
+    dz[rows] = dt * (1 - h**2)
+    g["o"] = f["o"].T @ dz
+    do = dz @ w["o"].T
+    # With unnormalised attention e of sum ``size``, the gradient of a logit is e / size times what its value exceeds the mean by.
+    mean = np.einsum("ij,ij->i", do, f["o"]) / f["size"]
+    do /= f["size"][:, None]
+    do = do.reshape(len(ids), asked, WIDTH)
+    # Gradients of key, value, query and direct input of each place, side by side.
+    by_id = np.zeros((len(ids), CONTEXT, 4, WIDTH), dtype=do.dtype)
+    by_id[:, :, 1] = np.matmul(f["e"].transpose(0, 2, 1), do)
+    d = np.matmul(do, f["v"].transpose(0, 2, 1))
+    d -= mean.reshape(len(ids), asked, 1)
+    d *= f["e"]
+    by_place = np.ones(len(ids), dtype=d.dtype) @ d.reshape(len(ids), -1)
+    g["near"] = np.bincount(np.maximum(_BEHIND, 0)[-asked:].reshape(-1), weights=by_place, minlength=CONTEXT).astype(d.dtype)
+    by_id[:, :, 0] = np.matmul(d.transpose(0, 2, 1), f["q"])
+    by_id[:, -asked:, 2] = np.matmul(d, f["k"])
+    by_id[:, -asked:, 3] = dz.reshape(len(ids), asked, WIDTH)
+    by_id = _by_subword(ids, by_id.reshape(-1, 4 * WIDTH), s.size).reshape(s.size, 4, WIDTH)
+    by_id[:, 2] *= WIDTH**-0.5
+    e, parts = w["embed"], {name: by_id[:, i] for i, name in enumerate("kvqx")}
+    g |= {name: e.T @ x for name, x in parts.items()}
+    g["embed"] = sum(x @ w[name].T for name, x in parts.items())
     return g
 
 
@@ -280,17 +338,19 @@ class Adam:
             self.mean[k] = 0.9 * self.mean[k] + 0.1 * g[k]
             self.square[k] = 0.99 * self.square[k] + 0.01 * g[k] ** 2
             self.w[k] -= (rate * (self.mean[k] / (1 - 0.9**self.step)) / (np.sqrt(self.square[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+        for k in ("class", "member"):
+            np.clip(self.w[k], -_MOST_WEIGHT, _MOST_WEIGHT, out=self.w[k])
 
 
-def train(m: LanguageModel, texts: list[bytes], steps: int = 600, windows: int = 64, seed: int = 5) -> LanguageModel:
+def train(m: LanguageModel, texts: list[bytes], steps: int = 600, windows: int = 32, seed: int = 5) -> LanguageModel:
     """Adds the attention layer's weights, by Adam on random windows of ``texts``."""
     if not texts:
         return m
     s, rng = m.subwords, np.random.default_rng(seed)
     stream, at = Tokens(texts, s).streams()
-    context, scored, _ = _windows(stream, at)
+    context, scored = _whole_windows(stream, at)
     draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-    m.weights = {"embed": draw(s.size, WIDTH, scale=0.3), "place": draw(CONTEXT, WIDTH, scale=0.3), **{k: draw(WIDTH, WIDTH, scale=0.25) for k in "qkvox"}, "class": draw(WIDTH, s.classes, scale=0.02), "member": draw(s.classes, WIDTH, s.members, scale=0.02)}
+    m.weights = {"embed": draw(s.size, WIDTH, scale=0.3), "near": np.zeros(CONTEXT, dtype=np.float32), **{k: draw(WIDTH, WIDTH, scale=0.25) for k in "qkvox"}, "class": draw(WIDTH, s.classes, scale=0.02), "member": draw(s.classes, WIDTH, s.members, scale=0.02)}
     adam = Adam(m.weights)
     for step in range(1, steps + 1):
         own = rng.integers(0, len(context), windows)
@@ -300,8 +360,8 @@ def train(m: LanguageModel, texts: list[bytes], steps: int = 600, windows: int =
     return m
 
 
-def train_on_all(known: DataFrame, m: LanguageModel, documents: int) -> LanguageModel:
-    """The weights after one pass over every window of ``known``: shards of documents train apart from ``m`` on, and the mean over shards, weighted by targets, stands.
+def train_on_all(streams: DataFrame, m: LanguageModel, documents: int) -> LanguageModel:
+    """The weights after one pass over every subword of ``streams`` (doc_id, stream), of so many documents: shards of documents train apart from ``m`` on, and the mean over shards, weighted by targets, stands.
 
     Documents are dealt to shards by hash and read in hash order, so the result
     does not follow the layout of files. Sums are added up in two levels; the
@@ -310,7 +370,7 @@ def train_on_all(known: DataFrame, m: LanguageModel, documents: int) -> Language
     if not m.weights:
         return m
     shards = max(1, -(-documents // SHARD_DOCUMENTS))
-    shared = known.sparkSession.sparkContext.broadcast(m)
+    shared = streams.sparkSession.sparkContext.broadcast(m)
     names = list(m.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,10 +378,10 @@ def train_on_all(known: DataFrame, m: LanguageModel, documents: int) -> Language
         own = LanguageModel(start.subwords, start.class_bias, start.member_bias, {k: a.copy() for k, a in start.weights.items()})
         adam, n = Adam(own.weights), 0
         for batch in batches:
-            texts = byte_list(batch.column("text"))
+            texts = batch.column("stream").to_pylist()
             for a, b in _groups(texts, _TEXTS_BYTES):
-                stream, at = Tokens(texts[a:b], own.subwords).streams()
-                context, scored, _ = _windows(stream, at)
+                stream = np.frombuffer(b"".join(texts[a:b]), dtype="<u4").astype(np.int64)
+                context, scored = _whole_windows(stream, np.cumsum([0] + [len(t) // 4 for t in texts[a:b]]))
                 order = np.random.default_rng(len(context)).permutation(len(context))
                 for i in range(0, len(order), TRAIN_WINDOWS):
                     c, t = context[order[i : i + TRAIN_WINDOWS]], scored[order[i : i + TRAIN_WINDOWS]]
@@ -331,8 +391,7 @@ def train_on_all(known: DataFrame, m: LanguageModel, documents: int) -> Language
         if n:
             yield _sum_row(n, n * np.concatenate([own.weights[k].reshape(-1) for k in names]).astype(np.float64))
 
-    order = F.xxhash64("doc_id", "text")
-    dealt = known.select("text", order.alias("_o")).repartition(shards, "_o").sortWithinPartitions("_o").select("text")
+    dealt = streams.select("stream", F.xxhash64("doc_id", "stream").alias("_o")).repartition(shards, "_o").sortWithinPartitions("_o").select("stream")
     sums = dealt.mapInArrow(run, _SUM).repartition(max(1, min(16, shards // 16)), F.xxhash64("sums")).mapInArrow(_add_up, _SUM).toArrow()
     total = sum(sums.column("n").to_pylist())
     if total:
@@ -358,43 +417,50 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- counts over the corpus
 
 
+_COUNTS = "bucket int, keys binary, counts binary, doc_id long"
+#: Buckets that have no words: pairs of subwords, and whole texts as subwords.
+_PAIRS, _STREAMS = -1, -2
+
+
 def corpus_counts(docs: DataFrame, subwords: Subwords, buckets: int) -> DataFrame:
-    """Partial counts of tasks: (bucket, keys, counts) with word hashes dealt to buckets; bucket -1 has subword pairs."""
+    """Partial counts of tasks: (bucket, keys, counts) with word hashes dealt to buckets; and the subwords of each document with its doc_id."""
     bounded_batches(docs.sparkSession)
 
+    def row(bucket: list[int], keys: list[bytes], counts: list[bytes], ids: list[int | None]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(ids, pa.int64())], ["bucket", "keys", "counts", "doc_id"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(subwords.size**2, dtype=np.int64)
-
-        def row(bucket: list[int], keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(bucket, pa.int32()), pa.array([k.astype("<u8").tobytes() for k in keys], pa.binary()), pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary())], ["bucket", "keys", "counts"])
-
         for batch in batches:
-            texts = byte_list(batch.column("text"))
+            texts, ids = byte_list(batch.column("text")), batch.column("doc_id").to_pylist()
             for a, b in _groups(texts, _TEXTS_BYTES):
                 t = Tokens(texts[a:b], subwords)
                 stream, at = t.streams()
+                small = stream.astype("<u4").tobytes()
+                yield row([_STREAMS] * (b - a), [small[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], [b""] * (b - a), ids[a:b])
                 inside = np.ones(len(stream), dtype=bool)
                 inside[at[1:] - 1] = False
                 own = np.flatnonzero(inside)
                 np.add(pairs, np.bincount(stream[own] * subwords.size + stream[own + 1], minlength=len(pairs)), out=pairs)
                 hashes = np.append(t.hashes, np.uint64(END_HASH))
-                counts = np.append(np.bincount(t.word, minlength=len(t.hashes)), b - a)
+                counts = np.append(np.bincount(t.word, minlength=len(t.hashes)), b - a).astype("<u8")
                 bucket = (hashes >> np.uint64(40)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
+                order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                yield row(full.tolist(), [hashes[order[cuts[i] : cuts[i + 1]]] for i in full], [counts[order[cuts[i] : cuts[i + 1]]] for i in full])
+                part = lambda x: [x[order[cuts[i] : cuts[i + 1]]].tobytes() for i in full]
+                yield row(full.tolist(), part(hashes), part(counts), [None] * len(full))
         seen = np.flatnonzero(pairs)
         if len(seen):
-            yield row([-1], [seen], [np.minimum(pairs[seen], 0xFFFFFFFF)])
+            yield row([_PAIRS], [seen.astype("<u8").tobytes()], [pairs[seen].astype("<u8").tobytes()], [None])
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _COUNTS)
 
 
 def _summed(table: pa.Table) -> pa.Table:
     """Counts of the words of one bucket, of which each task sent each word once or a few times."""
     keys = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
+    counts = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("counts").to_pylist()])
     distinct, of = np.unique(keys, return_inverse=True)
     return pa.table({"h": distinct.view(np.int64), "c": np.bincount(of, weights=counts, minlength=len(distinct)).astype(np.int64)})
 
@@ -402,7 +468,7 @@ def _summed(table: pa.Table) -> pa.Table:
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-            yield pa.record_batch([pa.array(np.frombuffer(keys, "<u8").astype(np.int64)), pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], ["pair", "n"])
+            yield pa.record_batch([pa.array(np.frombuffer(keys, "<u8").astype(np.int64)), pa.array(np.frombuffer(counts, "<u8").astype(np.int64))], ["pair", "n"])
 
 
 def score(docs: DataFrame, learn: Column, held_out: Column, ranks_file: str = RANKS_FILE, ranks: int = 1024, sample_documents: int = 256) -> DataFrame:
@@ -413,8 +479,8 @@ def score(docs: DataFrame, learn: Column, held_out: Column, ranks_file: str = RA
     buckets = max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = docs.where(learn)
     partial = materialise(corpus_counts(known, subwords, buckets), "counts")
-    counts = materialise(partial.where("bucket >= 0").groupBy("bucket").applyInArrow(_summed, "h long, c long"), "words")
-    pairs = partial.where("bucket < 0").mapInArrow(_pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    counts = materialise(partial.where("bucket >= 0").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_summed, "h long, c long"), "words")
+    pairs = partial.where(F.col("bucket") == _PAIRS).select("keys", "counts").mapInArrow(_pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     release(spark)
     sizes = {int(r["k"]): (r["n"], r["c"]) for r in counts.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
     total, distinct = sum(c for _, c in sizes.values()), sum(n for n, _ in sizes.values())
@@ -431,7 +497,8 @@ def score(docs: DataFrame, learn: Column, held_out: Column, ranks_file: str = RA
     sample = known.where("text is not null").select("text", F.xxhash64("doc_id").alias("_o")).orderBy("_o", "text").limit(sample_documents).toArrow()
     model = with_counts(subwords, pairs.column("pair").to_numpy(), pairs.column("n").to_numpy())
     ended = counts.where(F.col("h") == END_HASH).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()["c"]
-    model = train_on_all(known, train(model, byte_list(sample.column("text"))), ended)
+    streams = partial.where(F.col("bucket") == _STREAMS).select("doc_id", F.col("keys").alias("stream"))
+    model = train_on_all(streams, train(model, byte_list(sample.column("text"))), ended)
     shared = spark.sparkContext.broadcast((model, head_hash, head_count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,9 +47,12 @@ def test_gradients_are_those_of_the_loss():
     texts = [b"one two three four five six seven eight nine ten eleven twelve"]
     lm_score.train(m, texts, steps=3, windows=2)
     stream, at = lm_score.Tokens(texts, m.subwords).streams()
-    c, t = lm_score._windows(stream, at)[:2]
-    ids, real, targets = stream[np.maximum(c, 0)], c >= 0, np.where(t >= 0, stream[np.maximum(t, 0)], -1)
     m.weights = {k: a.astype(np.float64) for k, a in m.weights.items()}
+    for c, t in (lm_score._windows(stream, at)[:2], lm_score._whole_windows(stream, at)):
+        _compare(m, stream[np.maximum(c, 0)], c >= 0, np.where(t >= 0, stream[np.maximum(t, 0)], -1))
+
+
+def _compare(m, ids, real, targets):
     g = lm_score._gradients(m, ids, real, targets)
     loss = lambda: -lm_score.log_probs(m, ids, real, targets).sum() / (targets >= 0).sum()
     for k, a in m.weights.items():
