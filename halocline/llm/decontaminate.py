@@ -19,6 +19,7 @@ through ``clean``. Empty tables give empty results.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -32,7 +33,11 @@ from .common import Rolling, bounded_batches, ragged
 
 HITS = "array<struct<item_id: bigint, start: int, end: int, edits: int>>"
 _FILTER_BITS = 22
-_AT_ONCE = 512
+#: Alignments, and pairs of places that share a q-gram, worked on at once.
+_AT_ONCE = 256
+_PAIRS = 1 << 19
+#: Stands for places outside of a text; no code point.
+_NOTHING = np.uint32(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -80,8 +85,9 @@ def index_items(rows: list[tuple[int, str]], q: int = 10, edit_rate: float = 0.0
         t = characters(text)
         if not len(t):
             continue
-        own = q if len(t) >= 2 * q else max(1, len(t) // 2)
-        e = max(0, min(int(edit_rate * len(t)), len(t) // own - 1))
+        e = int(edit_rate * len(t))
+        # Short items have shorter q-grams, so that the bound is one at least with the whole budget.
+        own = max(1, min(q, len(t) // (e + 1), max(1, len(t) // 2)))
         ids.append(item_id)
         texts.append(t)
         edits.append(e)
@@ -106,54 +112,92 @@ def index_items(rows: list[tuple[int, str]], q: int = 10, edit_rate: float = 0.0
     return Items(ids, texts, np.array(edits, dtype=np.int64), np.array(bound, dtype=np.int64), grams)
 
 
+def _pair_groups(near: np.ndarray, counts: np.ndarray, overlap: int) -> Iterator[slice]:
+    """Ranges of places with shared q-grams of about _PAIRS pairs each, overlapping by ``overlap`` characters: each passage has its places whole in one range."""
+    upto, start = np.concatenate(([0], np.cumsum(counts))), 0
+    while start < len(near):
+        stop = max(int(np.searchsorted(upto, upto[start] + _PAIRS, "right")) - 1, int(np.searchsorted(near, near[start] + 2 * overlap, "right")))
+        yield slice(start, min(stop, len(near)))
+        if stop >= len(near):
+            return
+        start = int(np.searchsorted(near, near[stop] - overlap))
+
+
 def _candidates(text: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Items and ranges of diagonals whose band has as many shared q-grams as the bound."""
     out = []
+    longest, most = max(map(len, items.texts)), int(items.edits.max())
     for g in items.grams:
         h = gram_hashes(text, g.q)
-        near = np.flatnonzero(g.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        if not len(near):
+        every = np.flatnonzero(g.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        if not len(every):
             continue
-        k = np.minimum(np.searchsorted(g.hashes, h[near]), len(g.hashes) - 1)
-        hit = g.hashes[k] == h[near]
-        near, k = near[hit], k[hit]
-        counts = g.first[k + 1] - g.first[k]
-        entry = ragged(g.first[k], counts)
-        item, diagonal = g.item[entry], np.repeat(near, counts) - g.at[entry]
-        width = items.edits[item] + 1
-        band = np.floor_divide(diagonal, width)
-        item, band, diagonal = np.tile(item, 2), np.concatenate((band, band - 1)), np.tile(diagonal, 2)
-        order = np.lexsort((diagonal, band, item))
-        item, band, diagonal = item[order], band[order], diagonal[order]
-        new = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1])))) if len(item) else np.zeros(0, int)
-        n = np.diff(np.append(new, len(item)))
-        full = n >= items.bound[item[new]]
-        last = np.append(new, len(item))[1:] - 1
-        out.append((item[new[full]], diagonal[new[full]], diagonal[last[full]]))
+        place = np.minimum(np.searchsorted(g.hashes, h[every]), len(g.hashes) - 1)
+        hit = g.hashes[place] == h[every]
+        every, place = every[hit], place[hit]
+        for part in _pair_groups(every, g.first[place + 1] - g.first[place], longest + 2 * (most + 1)):
+            near, k = every[part], place[part]
+            counts = g.first[k + 1] - g.first[k]
+            entry = ragged(g.first[k], counts)
+            item, diagonal = g.item[entry], np.repeat(near, counts) - g.at[entry]
+            width = items.edits[item] + 1
+            band = np.floor_divide(diagonal, width)
+            item, band, diagonal = np.tile(item, 2), np.concatenate((band, band - 1)), np.tile(diagonal, 2)
+            order = np.lexsort((diagonal, band, item))
+            item, band, diagonal = item[order], band[order], diagonal[order]
+            new = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1])))) if len(item) else np.zeros(0, int)
+            n = np.diff(np.append(new, len(item)))
+            full = n >= items.bound[item[new]]
+            last = np.append(new, len(item))[1:] - 1
+            out.append((item[new[full]], diagonal[new[full]], diagonal[last[full]]))
     if not out:
         return (np.zeros(0, int),) * 3
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _aligned(texts: list[np.ndarray], item: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For windows of one item: least edits of the whole item against any part of the window, and where that part ends.
+def _banded(text: np.ndarray, item: np.ndarray, begin: np.ndarray, width: int, anchored: int | None = None) -> np.ndarray:
+    """Last row of the alignments of the whole item with the text after each of ``begin``: least edits by diagonal, of ``width`` diagonals.
 
-    Rows run over the item's characters; insertions within a row are a running minimum.
+    Diagonal d starts d characters after ``begin`` and ends as many after begin
+    plus the item's length. The start in the text is free; with ``anchored`` it is
+    on that diagonal, and edits count from there. Places outside of the text match nothing.
     """
-    width = max(len(t) for t in texts)
-    grid = np.zeros((len(texts), width), dtype=np.uint32)
-    for i, t in enumerate(texts):
-        grid[i, : len(t)] = t
-    far = np.int32(len(item) + 1)
-    column = np.arange(width + 1, dtype=np.int32)
-    row = np.zeros((len(texts), width + 1), dtype=np.int32)
-    for n, c in enumerate(item.tolist(), 1):
-        step = np.minimum(row[:, 1:] + 1, row[:, :-1] + (grid != c))
-        row = np.concatenate((np.full((len(texts), 1), n, dtype=np.int32), step), axis=1)
-        row = np.minimum.accumulate(row - column, axis=1) + column
-    for i, t in enumerate(texts):
-        row[i, len(t) + 1 :] = far
-    return row.min(axis=1), row.argmin(axis=1)
+    far = np.int32(1 << 29)
+    at = begin[:, None] + np.arange(len(item) + width)[None, :]
+    grid = np.where((at >= 0) & (at < len(text)), text[np.clip(at, 0, max(0, len(text) - 1))], _NOTHING)
+    column = np.arange(width, dtype=np.int32)
+    row = np.zeros((len(begin), width), dtype=np.int32)
+    if anchored is not None:
+        row[:] = np.where(column >= anchored, column - anchored, far)
+    for i, c in enumerate(item.tolist()):
+        step = row + (grid[:, i : i + width] != c)
+        # The item's character alone; then characters of the text alone, a running minimum.
+        np.minimum(step[:, :-1], row[:, 1:] + 1, out=step[:, :-1])
+        step -= column
+        np.minimum.accumulate(step, axis=1, out=step)
+        step += column
+        row = step
+    return row
+
+
+def _verified(text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, e: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the best passage in each band of diagonals that has one within ``e`` edits of the whole item."""
+    found = []
+    width = int((high - low).max()) + 2 * e + 1
+    begin = np.unique(low - e)
+    for i in range(0, len(begin), _AT_ONCE):
+        own = begin[i : i + _AT_ONCE]
+        row = _banded(text, item, own, width)
+        d = row.argmin(axis=1)
+        edits = row[np.arange(len(own)), d]
+        ends = np.minimum(own + d + len(item), len(text))[edits <= e]
+        if len(ends):
+            # Back from each end: where the passage starts.
+            ends, edits = np.unique(ends), None
+            back = _banded(text[::-1], item[::-1], len(text) - ends - e, 2 * e + 1, anchored=e)
+            n = back.argmin(axis=1)
+            found += [(int(x), max(0, int(z) - (len(item) + int(k) - e)), int(z)) for x, z, k in zip(back[np.arange(len(ends)), n], ends, n) if x <= e]
+    return found
 
 
 def find(text: str | None, items: Items) -> list[tuple[int, int, int, int]]:
@@ -164,22 +208,17 @@ def find(text: str | None, items: Items) -> list[tuple[int, int, int, int]]:
     item, low, high = _candidates(t, items)
     found = []
     for k in np.unique(item).tolist():
-        own, e, wanted = np.flatnonzero(item == k), int(items.edits[k]), items.texts[k]
-        spans = [(max(0, int(low[i]) - e), min(len(t), int(high[i]) + len(wanted) + e)) for i in own]
-        spans = [s for s in dict.fromkeys(spans) if s[1] > s[0]]
-        passages = []
-        for i in range(0, len(spans), _AT_ONCE):
-            part = spans[i : i + _AT_ONCE]
-            edits, ends = _aligned([t[a:b] for a, b in part], wanted, e)
-            good = [(a, a + int(n), int(d)) for (a, _), n, d in zip(part, ends, edits) if d <= e]
-            if good:
-                back, lengths = _aligned([t[max(a, z - len(wanted) - e) : z][::-1] for a, z, _ in good], wanted[::-1], e)
-                passages += [(int(d), z - int(n), z) for (_, z, _), n, d in zip(good, lengths, back)]
-        taken: list[tuple[int, int]] = []
+        own = np.flatnonzero(item == k)
+        passages = _verified(t, items.texts[k], low[own], high[own], int(items.edits[k]))
+        # Fewest edits first, then the earliest; of those taken, ends are kept in order.
+        starts, ends = [], []
         for d, a, z in sorted(set(passages)):
-            if all(z <= x or a >= y for x, y in taken):
-                taken.append((a, z))
-                found.append((items.ids[k], a, z, d))
+            at = bisect_left(starts, z)
+            if at and ends[at - 1] > a:
+                continue
+            starts.insert(at, a)
+            ends.insert(at, z)
+            found.append((items.ids[k], a, z, d))
     return sorted(found)
 
 
