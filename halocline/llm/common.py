@@ -87,6 +87,11 @@ def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_th"] == b["_th"])
 
 
+def packed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """``docs`` as one struct ``_row`` beside ``columns``: whatever a user's columns are called, they don't clash with an operator's own."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *columns)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` behind a generator of one row: a later filter is not pushed into its nested expressions and so not evaluated again for each use."""
     return df.select(F.explode(F.array(F.struct(*[df[c] for c in df.columns]))).alias("_row")).select("_row.*")

@@ -12,6 +12,11 @@ edit budget is ``edit_rate`` of the item's length. Items go to the executors in
 blocks of at most ``block_bytes`` of text, one pass over the documents for each,
 so what is sent is bounded whatever the size of the benchmark.
 
+A text of any length is searched whole: pairs of places that share a q-gram are
+worked off in ranges that overlap by an item's length, so that memory stays in
+proportion to the text. Of passages of one item that overlap the one with fewest
+edits stays, of equals the earliest.
+
 Null texts and items, and items of white space only, match nothing. Items with
 equal text each match. Repeated rows are searched one by one. Other columns pass
 through ``clean``. Empty tables give empty results.
@@ -29,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bounded_batches, ragged
+from .common import Rolling, bounded_batches, packed, ragged
 
 HITS = "array<struct<item_id: bigint, start: int, end: int, edits: int>>"
 _FILTER_BITS = 22
@@ -255,7 +260,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: floa
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.08, block_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of ``docs`` without a passage of any item, all columns as they are."""
+    """The rows of ``docs`` without a passage of any item, all columns as they are, whatever their names."""
+    own = packed(docs, "text")
     for rows in item_blocks(benchmark, block_bytes):
-        docs = search_block(docs, rows, q, edit_rate).where(F.size("_hits") == 0).drop("_hits")
-    return docs
+        own = search_block(own, rows, q, edit_rate).where(F.size("_hits") == 0).drop("_hits")
+    return own.select("_row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, packed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Deals of one key; documents of a key spread over these.
@@ -64,14 +64,14 @@ def drop_bitmaps(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, k
 
 
 def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """``docs`` with text replaced by its kept lines joined by \\n, and _n_lines and _n_dropped added."""
+    """``docs`` with text replaced by its kept lines joined by \\n, and _n_lines and _n_dropped added; other columns as they are, whatever their names."""
     maps = drop_bitmaps(docs, min_documents, min_chars, keep_first).select(F.col("doc_id").alias("_doc"), F.col("_th").alias("_doc_th"), F.col("drops").alias("_drops"))
-    own = docs.withColumn("_th", F.xxhash64("text"))
-    joined = own.join(maps, own["doc_id"].eqNullSafe(maps["_doc"]) & (own["_th"] == maps["_doc_th"]), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    own = packed(docs, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    joined = own.join(maps, own["_id"].eqNullSafe(maps["_doc"]) & (own["_th"] == maps["_doc_th"]), "left")
+    lines = F.split(F.coalesce(F.col("_row.text"), F.lit("")), "\n")
     # The map becomes a dense list of 64-bit words, read by position.
     dense = "CASE WHEN _drops IS NULL THEN NULL ELSE transform(sequence(0, (size(_lines) - 1) div 64), w -> coalesce(try_element_at(_drops, CAST(w AS BIGINT)), 0L)) END"
-    joined = joined.withColumn("_lines", lines).withColumn("_bits", F.expr(dense))
+    joined = joined.select("_row", "_drops", lines.alias("_lines")).withColumn("_bits", F.expr(dense))
     joined = joined.withColumn("_kept", F.expr("CASE WHEN _bits IS NULL THEN _lines ELSE filter(_lines, (x, i) -> getbit(_bits[i div 64], i % 64) = 0) END"))
-    out = joined.withColumn("_n_lines", F.size("_lines").cast("long")).withColumn("_n_dropped", (F.size("_lines") - F.size("_kept")).cast("long")).withColumn("text", F.array_join("_kept", "\n"))
-    return out.select(*docs.columns, "_n_lines", "_n_dropped")
+    out = [F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
+    return joined.select(*out, F.size("_lines").cast("long").alias("_n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("_n_dropped"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_list, connected_components, local_components, lower_ascii, materialise, word_spans
+from .common import bounded_batches, byte_list, connected_components, local_components, lower_ascii, materialise, packed, word_spans
 
 #: Distinct fingerprints that a place gets without flips, about.
 PLACE_FINGERPRINTS = 1000
@@ -102,7 +102,10 @@ def _combinations(n: int, k: int) -> list[tuple[int, ...]]:
 
 def ball_edges(prints: DataFrame, count: int, radius: int = 4) -> DataFrame:
     """(a, b): links that join all of the distinct ``prints`` (fp) at most ``radius`` bits apart; ``count`` is their number."""
-    half = (radius + 1) // 2
+    if radius % 2:
+        # Sharers of a variant are within twice half the radius: for an odd radius some neighbours in a star would not be links.
+        raise ValueError("radius must be even")
+    half = radius // 2
     bits = int(min(24, max(1, np.ceil(np.log2(max(count, 1) / PLACE_FINGERPRINTS + 1)))))
     chosen = selector_masks(bits)
     rest = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -206,7 +209,7 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, radius: int = 4) -> Dat
     found = near_duplicates(docs, shingle_words, radius)
     least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_th")).alias("_least"))
     stay = materialise(least.select(F.col("_least.doc_id").alias("_stay"), F.col("_least._th").alias("_stay_th")), "stay")
-    own = docs.withColumn("_th", F.xxhash64("text"))
-    joined = own.join(stay, own["doc_id"].cast("long").eqNullSafe(stay["_stay"]) & (own["_th"] == stay["_stay_th"]), "left_semi")
+    own = packed(docs, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"))
+    joined = own.join(stay, own["_id"].eqNullSafe(stay["_stay"]) & (own["_th"] == stay["_stay_th"]), "left_semi")
     # Rows that repeat doc_id and text are one document.
-    return joined.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    return joined.dropDuplicates(["_id", "_th"]).select("_row.*")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from halocline.llm import decontaminate, html_text, language_id, licenses, line_dedup, lm_score, pieces, quality, queries, simhash, substring_dedup
+from halocline.llm import decontaminate, html_text, language_id, licenses, line_dedup, lm_score, near_copies, pieces, quality, queries, simhash, substring_dedup
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -254,3 +254,20 @@ def test_pipeline_keeps_clean_documents(spark):
 def test_digest_queries_have_their_columns(spark):
     out = queries.op6_line_dedup(spark, SMALL).first()
     assert len(out.kept_sha256) == len(hashlib.sha256().hexdigest())
+
+
+def test_columns_with_clashing_names_pass_through(spark):
+    names = ["_th", "_row", "_hits", "_lines", "_kept", "_bits", "_drops", "_doc", "_id", "_stay", "score", "lang_pred", "_lang", "samples", "has space"]
+    rows = [(i, f"{_prose(40)}\nthe same line\n{_prose(5)}", "en", "a", 1, *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame([*rows, rows[0]], SCHEMA + "".join(f", `{n}` string" for n in names))
+    items = spark.createDataFrame([(1, _prose(20))], "item_id long, text string")
+    line = line_dedup.dedup_lines(docs, 10, 1).drop("_n_lines", "_n_dropped")
+    outs = [line, decontaminate.clean(docs, items), simhash.one_of_each(docs), near_copies.one_of_each(docs), corpus_pipeline.language(spark, docs, ""), corpus_pipeline.lines(spark, docs, "")]
+    for out in outs:
+        assert out.columns == docs.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {r[5:] for r in rows}
+
+
+def test_an_odd_radius_is_an_error(spark):
+    with pytest.raises(ValueError):
+        simhash.ball_edges(spark.createDataFrame([(1,)], "fp long"), 1, 3)
