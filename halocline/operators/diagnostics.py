@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ensemble
+
+#: Fixed value: a perturbation up to this is none.
+EPSILON = 2.220446049250313e-16
+
 
 def region(lat: Column) -> Column:
     """nh from 20 degrees, sh to -20, tropics between."""
@@ -59,3 +64,16 @@ def mixed_layer_by_depth(columns: DataFrame, levels: DataFrame, key: str) -> Dat
     axis = spans.agg(below.alias("_axis"))
     first = F.try_element_at(F.filter("_axis", lambda s: s["_next"] > F.col("mld")), F.lit(1))["k"]
     return columns.join(F.broadcast(axis)).select(key, first.alias("mlev"))
+
+
+def diversity(rows: DataFrame, ens: str, by: list[str]) -> DataFrame:
+    """by, the largest perturbation, and whether members differ at all."""
+    largest = F.max(F.array_max(F.transform(ensemble.perturbations(F.col(ens)), F.abs)))
+    return rows.groupBy(*by).agg(largest.alias("largest")).withColumn("diverse", F.coalesce(F.col("largest") > EPSILON, F.lit(False)))
+
+
+def require_diversity(rows: DataFrame, ens: str) -> None:
+    """An error if all members of all rows are the same."""
+    found = diversity(rows.withColumn("_all", F.lit(1)), ens, ["_all"]).first()
+    if found is not None and not found["diverse"]:
+        raise ValueError("all members are identical")

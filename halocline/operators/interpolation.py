@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,3 +87,82 @@ def lanczos(values: Column, cutoff: float, half: int = 10) -> Column:
     taps = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(w / total).alias("w")) for n, w in zip(range(-half, half + 1), weights)])
     n = F.size(values)
     return F.transform(values, lambda _, i: F.aggregate(taps, F.lit(0.0), lambda s, t: s + t["w"] * F.get(values, F.pmod(i + t["n"], n))))
+
+
+def akima(knots: DataFrame, targets: DataFrame, column: str) -> DataFrame:
+    """``targets`` (column, z) with value, by Akima's spline through the knots (column, x, y); null outside of them or with under three knots.
+
+    Slopes beyond the ends go on as the last two do. Knots of one column are the
+    levels of a profile; a target meets the intervals of its own column only.
+    """
+    order, whole = Window.partitionBy(column).orderBy("x"), Window.partitionBy(column)
+    k = knots.select(column, "x", "y", F.row_number().over(order).alias("_m"), F.count("*").over(whole).alias("_n"), ((F.lead("y").over(order) - F.col("y")) / (F.lead("x").over(order) - F.col("x"))).alias("_s")).where("_n >= 3")
+    at = lambda m: F.max(F.when(F.col("_m") == m, F.col("_s"))).over(whole)
+    k = k.withColumns({"_s1": at(F.lit(1)), "_s2": at(F.lit(2)), "_e1": at(F.col("_n") - 1), "_e2": at(F.col("_n") - 2)})
+
+    def slope(step: int) -> Column:
+        """The slope of the interval ``step`` further on; beyond the ends by extension."""
+        m = F.col("_m") + step
+        inner = F.lag("_s", -step).over(order) if step < 0 else F.lead("_s", step).over(order) if step else F.col("_s")
+        low = F.col("_s1") + (1 - m) * (F.col("_s1") - F.col("_s2"))
+        high = F.col("_e1") + (m - F.col("_n") + 1) * (F.col("_e1") - F.col("_e2"))
+        return F.when(m < 1, low).when(m >= F.col("_n"), high).otherwise(inner)
+
+    left, before, own, after = slope(-1), slope(-2), slope(0), slope(1)
+    a, b = F.abs(after - own), F.abs(left - before)
+    k = k.withColumn("_t", F.when(a + b == 0, 0.0).otherwise((a * left + b * own) / (a + b)))
+    spans = k.select(column, "x", "y", "_s", "_t", F.lead("_t").over(order).alias("_u"), F.lead("x").over(order).alias("_end"), (F.col("_m") == F.col("_n")).alias("_last"))
+    hit = spans.join(targets, column).where("z >= x and (z < _end or (_last and z = x))")
+    d, dx = F.col("z") - F.col("x"), F.col("_end") - F.col("x")
+    curve = F.col("y") + d * F.col("_t") + d * d * (3 * F.col("_s") - 2 * F.col("_t") - F.col("_u")) / dx + d * d * d * (F.col("_t") + F.col("_u") - 2 * F.col("_s")) / dx / dx
+    found = hit.select(column, "z", F.when(d == 0, F.col("y")).otherwise(curve).alias("value"))
+    return targets.join(found, [column, "z"], "left")
+
+
+def bilinear_polar(obs: DataFrame, field: DataFrame, nlon: int, nlat: int, key: str = "obs_id") -> DataFrame:
+    """key and hx: ``bilinear`` with periodic i; beyond the last row the mean of that row."""
+    wrapped = F.pmod(F.col("ri") - 1, F.lit(float(nlon))) + 1
+    inside = obs.withColumn("ri", wrapped).where(F.col("rj") <= nlat)
+    top = field.where(F.col("j") == nlat).agg(F.avg("value").alias("hx")).withColumn("_one", F.lit(1))
+    polar = obs.where(F.col("rj") > nlat).select(key, F.lit(1).alias("_one")).join(F.broadcast(top), "_one", "left").select(key, "hx")
+    return bilinear(inside, field, nlon, key).unionByName(polar)
+
+
+def relaxed_fill(field: DataFrame, raster: str, nlon: int, nlat: int, tolerance: float = 1e-4, most: int = 10_000, fold: bool = True) -> DataFrame:
+    """raster, i, j, value (1-based cells): cells without value become the mean of their neighbours, again and again until no change exceeds ``tolerance`` of a value.
+
+    i is periodic; the first row stays; beyond the last row lies its mirror image
+    (``fold``). Each raster is one group: an iteration over one grid of a model,
+    rasters run side by side.
+    """
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.full((nlat, nlon), np.nan)
+        v[pdf["j"].to_numpy() - 1, pdf["i"].to_numpy() - 1] = pdf["value"].to_numpy(dtype=float)
+        gaps = np.isnan(v)
+        gaps[0] = False
+        for _ in range(most):
+            north = np.vstack((v[1:], v[-1:, ::-1] if fold else np.full((1, nlon), np.nan)))
+            near = np.stack((np.roll(v, -1, axis=1), north, np.roll(v, 1, axis=1), np.vstack((np.full((1, nlon), np.nan), v[:-1]))))
+            n, total = (~np.isnan(near)).sum(axis=0), np.nansum(near, axis=0)
+            had = ~np.isnan(v)
+            numer, denom = total + np.where(had, n * np.where(had, v, 0), 0), n * np.where(had, 2, 1)
+            change = gaps & (n > 0)
+            new = np.where(change, numer / np.maximum(denom, 1), v)
+            open_ = (change & ~had) | (change & had & (np.abs(np.where(had, v, 0) - new) > tolerance * np.abs(np.where(had, v, 0))))
+            v = new
+            if not open_.any():
+                break
+        j, i = np.divmod(np.arange(nlat * nlon), nlon)
+        return pd.DataFrame({raster: pdf[raster].iloc[0], "i": (i + 1).astype("int32"), "j": (j + 1).astype("int32"), "value": v.reshape(-1)})
+
+    return field.select(raster, "i", "j", "value").groupBy(raster).applyInPandas(fill, f"{raster} {field.schema[raster].dataType.simpleString()}, i int, j int, value double").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def scaled_and_capped(field: DataFrame, box: tuple[float, float, float, float], scale: float, most: float) -> DataFrame:
+    """``field`` (lon, lat, value) times ``scale`` over its largest value strictly inside the box (west, east, south, north), and ``most`` at most."""
+    west, east, south, north = box
+    inside = (F.col("lon") > west) & (F.col("lon") < east) & (F.col("lat") > south) & (F.col("lat") < north)
+    top = field.where(inside).agg(F.max("value").alias("_top")).withColumn("_one", F.lit(1))
+    joined = field.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one", "left")
+    return joined.withColumn("value", F.least(F.col("value") * scale / F.col("_top"), F.lit(most))).drop("_one", "_top")

@@ -120,6 +120,7 @@ def monitor(obs: DataFrame) -> DataFrame:
 
 
 def remove_offset(obs: DataFrame, hx: str = "hx") -> DataFrame:
-    """Values less the mean of value - H(x) over accepted rows: one aggregate, joined back as a row."""
-    offset = obs.where(F.col("qc") == 1).agg(F.avg(F.col("dat") - F.col(hx)).alias("_offset"))
-    return obs.join(F.broadcast(offset)).withColumn("dat", F.col("dat") - F.coalesce("_offset", F.lit(0.0))).drop("_offset")
+    """Values less the mean of value - H(x) over accepted rows: one aggregate, whose row joins back by a constant key."""
+    offset = obs.where(F.col("qc") == 1).agg(F.avg(F.col("dat") - F.col(hx)).alias("_offset")).withColumn("_one", F.lit(1))
+    joined = obs.withColumn("_one", F.lit(1)).join(F.broadcast(offset), "_one", "left")
+    return joined.withColumn("dat", F.col("dat") - F.coalesce("_offset", F.lit(0.0))).drop("_one", "_offset")

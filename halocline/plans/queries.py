@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ensemble, geo, seawater, statistics, times
@@ -14,24 +11,7 @@ from ..schema import FilterConfig
 from ..sources import decoders
 from . import analysis as whole
 from . import tables as t
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(c: Column | str, digits: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
-
+from .registry import ORACLE_SQL, QUERIES, query, r
 
 _CHECKED = f"""WITH {t.ENS},
 a AS (SELECT *, list_min(qc_members) = 1 AS ok, list_sum(hx) / len(hx) AS m FROM ens),

@@ -6,6 +6,8 @@ integers are unpacked by scale and offset, fill values become null.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +36,17 @@ def swath_sst(pixels: DataFrame, least_quality: int = 5, centre: Column | None =
     return pixels.where(keep).select(F.lit(OBS_TYPES["sst"]).alias("elem"), "lon", "lat", F.lit(0.0).alias("lev"), kelvin_to_celsius(F.col("sst")).alias("dat"), "err")
 
 
-def swath_salinity(pixels: DataFrame) -> DataFrame:
-    """Pixels (lon, lat, sss, err, flags): large errors and flags go, small errors grow to the least."""
+def swath_salinity(pixels: DataFrame, keep_columns: Sequence[str] = ()) -> DataFrame:
+    """Pixels (lon, lat, sss, err, flags): large errors and flags go, small errors grow to the least. ``keep_columns`` stay beside."""
     low, high = SALINITY_ERRORS
     keep = (F.col("flags").bitwiseAND(F.lit(SALINITY_BITS)) == 0) & (F.col("err") <= high) & F.col("sss").isNotNull()
-    return pixels.where(keep).select(F.lit(OBS_TYPES["sss"]).alias("elem"), "lon", "lat", F.lit(0.0).alias("lev"), F.col("sss").alias("dat"), F.greatest(F.col("err"), F.lit(low)).alias("err"))
+    return pixels.where(keep).select(F.lit(OBS_TYPES["sss"]).alias("elem"), "lon", "lat", F.lit(0.0).alias("lev"), F.col("sss").alias("dat"), F.greatest(F.col("err"), F.lit(low)).alias("err"), *keep_columns)
 
 
-def gridded_salinity(cells: DataFrame, err: float) -> DataFrame:
+def gridded_salinity(cells: DataFrame, err: float, keep_columns: Sequence[str] = ()) -> DataFrame:
     """Cells (lon, lat, sss, land, ice): any land or ice goes."""
     keep = (F.col("land") < LEAST_FRACTION) & (F.col("ice") < LEAST_FRACTION) & F.col("sss").isNotNull()
-    return cells.where(keep).select(F.lit(OBS_TYPES["sss"]).alias("elem"), "lon", "lat", F.lit(0.0).alias("lev"), F.col("sss").alias("dat"), F.lit(err).alias("err"))
+    return cells.where(keep).select(F.lit(OBS_TYPES["sss"]).alias("elem"), "lon", "lat", F.lit(0.0).alias("lev"), F.col("sss").alias("dat"), F.lit(err).alias("err"), *keep_columns)
 
 
 def profile_levels(profiles: DataFrame, values: str, depths: str) -> DataFrame:
@@ -56,9 +58,9 @@ def profile_levels(profiles: DataFrame, values: str, depths: str) -> DataFrame:
     return rows.where(keep).select(*[c for c in rows.columns if not c.startswith("_")], (F.col("_k") + 1).alias("level"), d.alias("depth"), v.alias("value"))
 
 
-def altimeter(rows: DataFrame, missing: float) -> DataFrame:
+def altimeter(rows: DataFrame, missing: float, keep_columns: Sequence[str] = ()) -> DataFrame:
     """Rows (lon, lat, days, value, err) of a track: hour is the fraction of the day count."""
-    return rows.where(F.col("value") < missing).select(F.lit(OBS_TYPES["eta"]).alias("elem"), "lon", "lat", F.lit(0.0).alias("lev"), F.col("value").alias("dat"), "err", ((F.col("days") - F.floor("days")) * 24.0).alias("obhr"))
+    return rows.where(F.col("value") < missing).select(F.lit(OBS_TYPES["eta"]).alias("elem"), "lon", "lat", F.lit(0.0).alias("lev"), F.col("value").alias("dat"), "err", ((F.col("days") - F.floor("days")) * 24.0).alias("obhr"), *keep_columns)
 
 
 def drifter_rows(positions: DataFrame) -> DataFrame:
@@ -81,3 +83,52 @@ def align(rows: DataFrame, control: DataFrame, key: str) -> DataFrame:
 
 def flag_quality(rows: DataFrame, counts: str = "quality") -> DataFrame:
     return rows.groupBy(counts).agg(F.count("*").alias("n"))
+
+
+#: Types of the atmosphere's file format: levels in hectopascals, fractions in per cent, surface pressure.
+ATMOSPHERE_LEVELS, HUMIDITY, SURFACE_PRESSURE = (1210, 1211, 1220, 1250, 1251), 1221, 1100
+#: Degrees between which a profile message is kept.
+MESSAGE_RANGE = (-4.0, 50.0)
+
+
+def pascals(rows: DataFrame) -> DataFrame:
+    """Rows (elem, lev, dat, err) of the atmosphere in pascals and fractions; others as they are."""
+    kind = F.col("elem")
+    factor = F.when(kind == HUMIDITY, 0.01).when(kind == SURFACE_PRESSURE, 100.0).otherwise(1.0)
+    lev = F.when(kind.isin(*ATMOSPHERE_LEVELS, HUMIDITY), F.col("lev") * 100.0).otherwise(F.col("lev"))
+    return rows.withColumns({"lev": lev, "dat": F.col("dat") * factor, "err": F.col("err") * factor})
+
+
+def message_levels(rows: DataFrame) -> DataFrame:
+    """Levels of profile messages (kelvin, hour, minute) with dat in Celsius and the hour as a fraction; values out of range go."""
+    low, high = MESSAGE_RANGE
+    out = rows.withColumns({"dat": kelvin_to_celsius(F.col("kelvin")), "obhr": F.col("hour") + F.col("minute") / 60.0})
+    return out.where((F.col("dat") > low) & (F.col("dat") < high)).drop("kelvin", "hour", "minute")
+
+
+def feedback_levels(profiles: DataFrame, default_error: float | None = None) -> DataFrame:
+    """Profiles with arrays of values, model, depths and errors to a row per level: dat, hx, lev and err, of which missing ones become ``default_error``."""
+    arrays = F.arrays_zip(F.col("values").alias("dat"), F.col("model").alias("hx"), F.col("depths").alias("lev"), F.col("errors").alias("err"))
+    others = [c for c in profiles.columns if c not in ("values", "model", "depths", "errors")]
+    rows = profiles.select(*others, F.posexplode(arrays).alias("_k", "_p")).select(*others, (F.col("_k") + 1).alias("level"), "_p.*").where("dat is not null")
+    return rows if default_error is None else rows.withColumn("err", F.coalesce("err", F.lit(default_error)))
+
+
+def geostationary(pixels: DataFrame, navigation: DataFrame | None, least_quality: int) -> DataFrame:
+    """Pixels (pixel, sst in kelvin, quality) of good quality to observations of sst; places come from ``navigation`` (pixel, lon, lat) where the file has none."""
+    good = pixels.where((F.col("quality") >= least_quality) & F.col("sst").isNotNull())
+    placed = good if navigation is None else good.join(navigation.select("pixel", "lon", "lat"), "pixel", "left").where("lon is not null and lat is not null")
+    return placed.withColumns({"elem": F.lit(OBS_TYPES["sst"]), "dat": kelvin_to_celsius(F.col("sst"))}).drop("sst", "quality")
+
+
+def pathfinder(pixels: DataFrame, least_quality: int, ice: bool = False) -> DataFrame:
+    """Pixels (lon, lat, sst in kelvin, ice, quality): sst, or the ice fraction, of those of the quality asked for."""
+    good = pixels.where(F.col("quality") >= least_quality)
+    value = F.col("ice") if ice else kelvin_to_celsius(F.col("sst"))
+    return good.withColumns({"elem": F.lit(OBS_TYPES["sic" if ice else "sst"]), "dat": value}).drop("sst", "ice", "quality")
+
+
+def ice_lines(lines: DataFrame, nlat: int, most: float = 100.0) -> DataFrame:
+    """Lines (line, cells of i and percent) of a raster written north first: i, j from the south, dat as a fraction; values out of 0 to ``most`` go."""
+    cells = lines.select("line", F.explode("cells").alias("c")).where((F.col("c.percent") >= 0) & (F.col("c.percent") <= most))
+    return cells.select("c.i", (nlat + 1 - F.col("line")).alias("j"), (F.col("c.percent") / most).alias("dat"))
