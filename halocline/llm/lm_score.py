@@ -6,8 +6,9 @@ self-attention layer, which knows places by how far apart they are, to bigram
 log-probabilities. The bigram counts come from all documents that may be learned
 from. The attention starts from ``sample_documents`` of them, those of least id
 hash, and is then trained on every subword of all of them, in shards whose
-weights are averaged. The distribution over subwords is that of a class times
-that of a member of the class, about the square root of the vocabulary each.
+weights are averaged. The distribution over subwords is the product of two
+choices, one for each digit of a subword's number, of about the square root of the
+vocabulary each; the bigram counts set the logits of each choice exactly.
 
 Every window holds CONTEXT subwords. For scores it gives its last half, and
 windows follow each other by half a window: each subword is scored once, with at
@@ -59,23 +60,27 @@ _TEXTS_BYTES = 4 << 20
 
 @dataclass(frozen=True)
 class Subwords:
-    """A subword's number is its class times ``members`` plus its place in the class; number 0 is the end of text."""
+    """A subword's number has two digits, of the sizes ``shape``: its class and its place in the class. Number 0 is the end of text."""
 
     ranks: dict[bytes, int]
     number: np.ndarray
-    classes: int
-    members: int
+    shape: tuple[int, int]
 
     @property
     def size(self) -> int:
-        return self.classes * self.members
+        return int(np.prod(self.shape))
+
+    def digits(self, numbers: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each digit: the number of the digit before, 0 for the first, and the digit."""
+        group, place = np.divmod(numbers, self.shape[1])
+        return [(np.zeros_like(numbers), group), (group, place)]
 
 
 @dataclass
 class LanguageModel:
     subwords: Subwords
-    class_bias: np.ndarray
-    member_bias: np.ndarray
+    #: Bigram logits of each digit: a row for each digit before it, and in that for each subword before.
+    biases: list[np.ndarray]
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
 
@@ -83,8 +88,13 @@ def load_subwords(path: str = RANKS_FILE, ranks: int = 1024) -> Subwords:
     with open(path, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines) if int(b) < ranks}
     n = len(table) + 1
-    classes = int(np.ceil(np.sqrt(n)))
-    return Subwords(table, np.arange(1, n), classes, -(-n // classes))
+    side = int(np.ceil(np.sqrt(n)))
+    return Subwords(table, np.arange(1, n), (side, -(-n // side)))
+
+
+def stream_type(s: Subwords) -> np.dtype:
+    """Integers that hold a subword's number, as texts of subwords are written."""
+    return np.dtype("<u2" if s.size <= 1 << 16 else "<u4")
 
 
 _ENCODERS: dict[int, tiktoken.Encoding] = {}
@@ -161,8 +171,11 @@ def _whole_windows(stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
 #: By query and key of a window: how far the key is behind, and minus infinity where it is ahead.
 _BEHIND = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]
 _CAUSAL = np.where(_BEHIND >= 0, 0, -np.inf).astype(np.float32)
+#: Windows and targets that one numpy call works on: what it reads and writes stays in a processor's cache.
+_AT_ONCE, _ROWS = 32, 512
 #: Ends of the output weights, so that no exponential of a float32 overflows.
 _MOST_WEIGHT = 4.0
+_DIGITS = ("digit0", "digit1")
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -176,68 +189,69 @@ def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((e @ (w["q"] * e.dtype.type(WIDTH**-0.5)), e @ w["x"]), axis=1), np.concatenate((e @ w["k"], e @ w["v"]), axis=1)
 
 
-def _forward(m: LanguageModel, ids: np.ndarray, real: np.ndarray, asked: int) -> dict[str, np.ndarray]:
-    """ids and real (windows, CONTEXT): hidden states of the last ``asked`` places, with what the gradients need."""
+def _forward(m: LanguageModel, ids: np.ndarray, real: np.ndarray, asked: int) -> tuple[np.ndarray, list[dict[str, np.ndarray]]]:
+    """ids and real (windows, CONTEXT): hidden states of the last ``asked`` places, and by part of the windows what the gradients need."""
     w = m.weights
     queries, keys = _tables(w)
-    n = len(ids)
-    qx, kv = queries.take(ids[:, -asked:], axis=0), keys.take(ids, axis=0)
-    q, k, v = qx[..., :WIDTH], kv[..., :WIDTH], kv[..., WIDTH:]
-    e = np.matmul(q, k.transpose(0, 2, 1))
-    e += (w["near"][np.maximum(_BEHIND, 0)] + _CAUSAL)[-asked:]
-    np.minimum(e, 60, out=e)
-    np.exp(e, out=e)
-    # Later keys are masked already, and with them places past a text's end: what is left is the half before its start.
-    e[~real[:, 0], :, :HALF] = 0
-    size = _sums(e.reshape(-1, CONTEXT))
-    size += 1e-30
-    o = np.matmul(e, v).reshape(-1, WIDTH)
-    o /= size[:, None]
-    h = o @ w["o"]
-    h += qx[..., WIDTH:].reshape(n * asked, WIDTH)
-    np.tanh(h, out=h)
-    return {"q": q, "k": k, "v": v, "e": e, "size": size, "o": o, "h": h}
+    h = np.empty((len(ids) * asked, WIDTH), dtype=w["embed"].dtype)
+    near = (w["near"][np.maximum(_BEHIND, 0)] + _CAUSAL)[-asked:]
+    parts = []
+    for start in range(0, len(ids), _AT_ONCE):
+        own = ids[start : start + _AT_ONCE]
+        qx, kv = queries.take(own[:, -asked:], axis=0), keys.take(own, axis=0)
+        q, k, v = qx[..., :WIDTH], kv[..., :WIDTH], kv[..., WIDTH:]
+        e = np.matmul(q, k.transpose(0, 2, 1))
+        e += near
+        np.minimum(e, 60, out=e)
+        np.exp(e, out=e)
+        # Later keys are masked already, and with them places past a text's end: what is left is the half before its start.
+        e[~real[start : start + _AT_ONCE, 0], :, :HALF] = 0
+        size = _sums(e.reshape(-1, CONTEXT))
+        size += 1e-30
+        o = np.matmul(e, v).reshape(-1, WIDTH)
+        o /= size[:, None]
+        z = h[start * asked : start * asked + len(o)]
+        np.matmul(o, w["o"], out=z)
+        z += qx[..., WIDTH:].reshape(-1, WIDTH)
+        np.tanh(z, out=z)
+        parts.append({"q": q, "k": k, "v": v, "e": e, "size": size, "o": o})
+    return h, parts
 
 
 def _targets(m: LanguageModel, ids: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Places of the targets that count, in order of class: rows, subword before, class, place in it, and where each class begins."""
-    s = m.subwords
+    """Places of the targets that count, in order of subword: rows, subword before, subword."""
     flat = targets.reshape(-1)
     rows = np.flatnonzero(flat >= 0)
-    group = flat[rows] // s.members
-    rows = rows[np.argsort(group.astype(np.uint8) if s.classes < 256 else group, kind="stable")]
-    target, previous = flat[rows], ids[:, -targets.shape[1] :].reshape(-1)[rows]
-    group = target // s.members
-    return rows, previous, group, target % s.members, np.searchsorted(group, np.arange(s.classes + 1))
-
-
-def _logits(m: LanguageModel, h: np.ndarray | None, previous: np.ndarray, group: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of classes, and of members of the target's class, of each target."""
-    s, w = m.subwords, m.weights
-    top = m.class_bias.take(previous, axis=0)
-    low = m.member_bias.reshape(-1, s.members).take(group * s.size + previous, axis=0)
-    if h is not None:
-        top = top.astype(h.dtype, copy=False)
-        low = low.astype(h.dtype, copy=False)
-        top += h @ w["class"]
-        for c in range(s.classes):
-            own = slice(cuts[c], cuts[c + 1])
-            if cuts[c] < cuts[c + 1]:
-                low[own] += h[own] @ w["member"][c]
-    return top, low
+    rows = rows[np.argsort(flat[rows].astype(np.uint16) if m.subwords.size < 1 << 16 else flat[rows], kind="stable")]
+    return rows, ids[:, -targets.shape[1] :].reshape(-1)[rows], flat[rows]
+
+
+def _choices(m: LanguageModel, previous: np.ndarray, target: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, tuple[str, int]]]:
+    """The two choices of each target, in parts of a few hundred rows that stay in a processor's cache: rows, bigram logits, the place of the right one, and which weights."""
+    s = m.subwords
+    for level, (group, place) in enumerate(s.digits(target)):
+        bias = m.biases[level].reshape(-1, s.shape[level])
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            g = int(group[first])
+            for a in range(first, last, _ROWS):
+                own = slice(a, min(a + _ROWS, last))
+                yield own, bias.take(previous[own] + g * s.size, axis=0), place[own], (f"digit{level}", g)
 
 
 def log_probs(m: LanguageModel, ids: np.ndarray, real: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of ``targets`` (windows, places; negative: none) after as many of the last of ``ids``."""
-    rows, previous, group, place, cuts = _targets(m, ids, targets)
-    h = _forward(m, ids, real, targets.shape[1])["h"][rows] if m.weights else None
-    top, low = _logits(m, h, previous, group, cuts)
-    at = np.arange(len(rows))
-    found = top[at, group] + low[at, place]
-    np.exp(top, out=top)
-    np.exp(low, out=low)
+    rows, previous, target = _targets(m, ids, targets)
+    h = _forward(m, ids, real, targets.shape[1])[0].take(rows, axis=0) if m.weights else None
+    found = np.zeros(len(rows))
+    for own, z, right, name in _choices(m, previous, target):
+        if h is not None:
+            z = z + h[own] @ m.weights[name[0]][name[1]]
+        found[own] += z[np.arange(len(z)), right]
+        np.exp(z, out=z)
+        found[own] -= np.log(_sums(z))
     out = np.zeros(targets.size)
-    out[rows] = found - np.log(_sums(top)) - np.log(_sums(low))
+    out[rows] = found
     return out.reshape(targets.shape)
 
 
@@ -253,7 +267,7 @@ def score_streams(m: LanguageModel, stream: np.ndarray, at: np.ndarray) -> np.nd
 
 
 def with_counts(subwords: Subwords, pairs: np.ndarray, counts: np.ndarray, prior: float = 8.0) -> LanguageModel:
-    """Bigram biases; ``pairs`` are previous times the vocabulary's size plus next. Subwords are dealt to classes as numbered."""
+    """Bigram biases; ``pairs`` are previous times the vocabulary's size plus next. """
     n = np.zeros((subwords.size, subwords.size))
     n.reshape(-1)[pairs] = counts
     once = n.sum(axis=0) + 0.1
@@ -261,69 +275,73 @@ def with_counts(subwords: Subwords, pairs: np.ndarray, counts: np.ndarray, prior
     real[: len(subwords.ranks) + 1] = True
     once = np.where(real, once, 0)
     p = (n + prior * once / once.sum()) / (n.sum(axis=1, keepdims=True) + prior)
-    p = p.reshape(subwords.size, subwords.classes, subwords.members)
-    of_class = p.sum(axis=2)
+    p = p.reshape(subwords.size, *subwords.shape)
+    of = [p.sum(axis=2), p]
+    before = [np.ones(subwords.size), of[0]]
+    biases = []
     with np.errstate(divide="ignore", invalid="ignore"):
-        members = np.maximum(np.log(np.where(of_class[:, :, None] > 0, p / of_class[:, :, None], 0)), -60)
-        classes = np.maximum(np.log(of_class), -60)
-    return LanguageModel(subwords, classes.astype(np.float32), np.ascontiguousarray(members.transpose(1, 0, 2)).astype(np.float32))
+        for x, y in zip(of, before):
+            y = y[..., None]
+            logs = np.maximum(np.log(np.where(y > 0, x / y, 0)), -60).reshape(subwords.size, -1, x.shape[-1])
+            biases.append(np.ascontiguousarray(logs.transpose(1, 0, 2)).astype(np.float32))
+    return LanguageModel(subwords, biases)
 
 
-def _by_subword(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of ``rows`` by subword."""
-    flat = ids.reshape(-1)
-    order = np.argsort(flat.astype(np.uint16) if size < 1 << 16 else flat, kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.diff(flat, prepend=-1))
-    out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
-    out[flat[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
-    return out
+def _add_by_subword(total: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each of ``rows`` to its subword's row of ``total``."""
+    order = np.argsort(ids.astype(np.uint16) if len(total) < 1 << 16 else ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    total[ids[first]] += np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 def _gradients(m: LanguageModel, ids: np.ndarray, real: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean loss of ``targets`` (windows, places; negative: none), of every weight."""
     s, w, asked = m.subwords, m.weights, targets.shape[1]
-    f = _forward(m, ids, real, asked)
-    rows, previous, group, place, cuts = _targets(m, ids, targets)
-    h, n = f["h"][rows], len(rows)
-    top, low = _logits(m, h, previous, group, cuts)
-    at = np.arange(n)
-    for z, right in ((top, group), (low, place)):
+    kind = w["embed"].dtype
+    every, parts = _forward(m, ids, real, asked)
+    rows, previous, target = _targets(m, ids, targets)
+    h, n = every.take(rows, axis=0), len(rows)
+    g = {name: np.zeros_like(a) for name, a in w.items()}
+    dt = np.zeros_like(h)
+    for own, z, right, name in _choices(m, previous, target):
+        weight, x = w[name[0]][name[1]], h[own]
+        z = z + x @ weight
         np.exp(z, out=z)
-        share = n * _sums(z)
-        z /= share[:, None]
-        z[at, right] -= z.dtype.type(1 / n)
-    g = {"class": h.T @ top, "member": np.zeros_like(w["member"])}
-    dt = top @ w["class"].T
-    for c in range(s.classes):
-        own = slice(cuts[c], cuts[c + 1])
-        if cuts[c] < cuts[c + 1]:
-            np.matmul(h[own].T, low[own], out=g["member"][c])
-            dt[own] += low[own] @ w["member"][c].T
-    dz = np.zeros_like(f["h"])
-    dz[rows] = dt * (1 - h**2)
-    g["o"] = f["o"].T @ dz
-    do = dz @ w["o"].T
-    # With unnormalised attention e of sum ``size``, the gradient of a logit is e / size times what its value exceeds the mean by.
-    mean = np.einsum("ij,ij->i", do, f["o"]) / f["size"]
-    do /= f["size"][:, None]
-    do = do.reshape(len(ids), asked, WIDTH)
-    # Gradients of key, value, query and direct input of each place, side by side.
-    by_id = np.zeros((len(ids), CONTEXT, 4, WIDTH), dtype=do.dtype)
-    by_id[:, :, 1] = np.matmul(f["e"].transpose(0, 2, 1), do)
-    d = np.matmul(do, f["v"].transpose(0, 2, 1))
-    d -= mean.reshape(len(ids), asked, 1)
-    d *= f["e"]
-    by_place = np.ones(len(ids), dtype=d.dtype) @ d.reshape(len(ids), -1)
-    g["near"] = np.bincount(np.maximum(_BEHIND, 0)[-asked:].reshape(-1), weights=by_place, minlength=CONTEXT).astype(d.dtype)
-    by_id[:, :, 0] = np.matmul(d.transpose(0, 2, 1), f["q"])
-    by_id[:, -asked:, 2] = np.matmul(d, f["k"])
-    by_id[:, -asked:, 3] = dz.reshape(len(ids), asked, WIDTH)
-    by_id = _by_subword(ids, by_id.reshape(-1, 4 * WIDTH), s.size).reshape(s.size, 4, WIDTH)
+        z *= (1 / (n * _sums(z)))[:, None]
+        z[np.arange(len(z)), right] -= kind.type(1 / n)
+        g[name[0]][name[1]] += x.T @ z
+        dt[own] += z @ weight.T
+    every[:] = 0
+    every[rows] = dt * (1 - h * h)
+    by_id = np.zeros((s.size, 4 * WIDTH), dtype=kind)
+    by_place = np.zeros((asked, CONTEXT), dtype=kind)
+    for part, start in zip(parts, range(0, len(ids), _AT_ONCE)):
+        own = ids[start : start + _AT_ONCE]
+        dz = every[start * asked : (start + len(own)) * asked]
+        g["o"] += part["o"].T @ dz
+        do = dz @ w["o"].T
+        # With unnormalised attention e of sum ``size``, the gradient of a logit is e / size times what its value exceeds the mean by.
+        mean = np.einsum("ij,ij->i", do, part["o"]) / part["size"]
+        do /= part["size"][:, None]
+        do = do.reshape(len(own), asked, WIDTH)
+        d = np.matmul(do, part["v"].transpose(0, 2, 1))
+        d -= mean.reshape(len(own), asked, 1)
+        d *= part["e"]
+        by_place += (np.ones(len(own), dtype=kind) @ d.reshape(len(own), -1)).reshape(asked, CONTEXT)
+        # Gradients of key, value, query and direct input of each place, side by side.
+        each = np.zeros((len(own), CONTEXT, 4, WIDTH), dtype=kind)
+        each[:, :, 0] = np.matmul(d.transpose(0, 2, 1), part["q"])
+        each[:, :, 1] = np.matmul(part["e"].transpose(0, 2, 1), do)
+        each[:, -asked:, 2] = np.matmul(d, part["k"])
+        each[:, -asked:, 3] = dz.reshape(len(own), asked, WIDTH)
+        _add_by_subword(by_id, own.reshape(-1), each.reshape(-1, 4 * WIDTH))
+    by_id = by_id.reshape(s.size, 4, WIDTH)
     by_id[:, 2] *= WIDTH**-0.5
-    e, parts = w["embed"], {name: by_id[:, i] for i, name in enumerate("kvqx")}
-    g |= {name: e.T @ x for name, x in parts.items()}
-    g["embed"] = sum(x @ w[name].T for name, x in parts.items())
+    g["near"] = np.bincount(np.maximum(_BEHIND, 0)[-asked:].reshape(-1), weights=by_place.reshape(-1), minlength=CONTEXT).astype(kind)
+    for i, name in enumerate("kvqx"):
+        g[name] = w["embed"].T @ by_id[:, i]
+        g["embed"] += by_id[:, i] @ w[name].T
     return g
 
 
@@ -338,7 +356,7 @@ class Adam:
             self.mean[k] = 0.9 * self.mean[k] + 0.1 * g[k]
             self.square[k] = 0.99 * self.square[k] + 0.01 * g[k] ** 2
             self.w[k] -= (rate * (self.mean[k] / (1 - 0.9**self.step)) / (np.sqrt(self.square[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
-        for k in ("class", "member"):
+        for k in _DIGITS:
             np.clip(self.w[k], -_MOST_WEIGHT, _MOST_WEIGHT, out=self.w[k])
 
 
@@ -350,7 +368,7 @@ def train(m: LanguageModel, texts: list[bytes], steps: int = 600, windows: int =
     stream, at = Tokens(texts, s).streams()
     context, scored = _whole_windows(stream, at)
     draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-    m.weights = {"embed": draw(s.size, WIDTH, scale=0.3), "near": np.zeros(CONTEXT, dtype=np.float32), **{k: draw(WIDTH, WIDTH, scale=0.25) for k in "qkvox"}, "class": draw(WIDTH, s.classes, scale=0.02), "member": draw(s.classes, WIDTH, s.members, scale=0.02)}
+    m.weights = {"embed": draw(s.size, WIDTH, scale=0.3), "near": np.zeros(CONTEXT, dtype=np.float32), **{k: draw(WIDTH, WIDTH, scale=0.25) for k in "qkvox"}, **{k: draw(int(np.prod(s.shape[:i])), WIDTH, s.shape[i], scale=0.02) for i, k in enumerate(_DIGITS)}}
     adam = Adam(m.weights)
     for step in range(1, steps + 1):
         own = rng.integers(0, len(context), windows)
@@ -375,13 +393,13 @@ def train_on_all(streams: DataFrame, m: LanguageModel, documents: int) -> Langua
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
-        own = LanguageModel(start.subwords, start.class_bias, start.member_bias, {k: a.copy() for k, a in start.weights.items()})
-        adam, n = Adam(own.weights), 0
+        own = LanguageModel(start.subwords, start.biases, {k: a.copy() for k, a in start.weights.items()})
+        adam, n, kind = Adam(own.weights), 0, stream_type(own.subwords)
         for batch in batches:
             texts = batch.column("stream").to_pylist()
             for a, b in _groups(texts, _TEXTS_BYTES):
-                stream = np.frombuffer(b"".join(texts[a:b]), dtype="<u4").astype(np.int64)
-                context, scored = _whole_windows(stream, np.cumsum([0] + [len(t) // 4 for t in texts[a:b]]))
+                stream = np.frombuffer(b"".join(texts[a:b]), dtype=kind).astype(np.int64)
+                context, scored = _whole_windows(stream, np.cumsum([0] + [len(t) // kind.itemsize for t in texts[a:b]]))
                 order = np.random.default_rng(len(context)).permutation(len(context))
                 for i in range(0, len(order), TRAIN_WINDOWS):
                     c, t = context[order[i : i + TRAIN_WINDOWS]], scored[order[i : i + TRAIN_WINDOWS]]
@@ -430,14 +448,14 @@ def corpus_counts(docs: DataFrame, subwords: Subwords, buckets: int) -> DataFram
         return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(ids, pa.int64())], ["bucket", "keys", "counts", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(subwords.size**2, dtype=np.int64)
+        pairs, kind = np.zeros(subwords.size**2, dtype=np.int64), stream_type(subwords)
         for batch in batches:
             texts, ids = byte_list(batch.column("text")), batch.column("doc_id").to_pylist()
             for a, b in _groups(texts, _TEXTS_BYTES):
                 t = Tokens(texts[a:b], subwords)
                 stream, at = t.streams()
-                small = stream.astype("<u4").tobytes()
-                yield row([_STREAMS] * (b - a), [small[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], [b""] * (b - a), ids[a:b])
+                small = stream.astype(kind).tobytes()
+                yield row([_STREAMS] * (b - a), [small[kind.itemsize * x : kind.itemsize * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], [b""] * (b - a), ids[a:b])
                 inside = np.ones(len(stream), dtype=bool)
                 inside[at[1:] - 1] = False
                 own = np.flatnonzero(inside)
