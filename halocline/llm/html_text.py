@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +40,13 @@ CELLS = 1 << 14
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript textarea iframe svg".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|[^<]+|<", re.S)
+#: Each alternative ends at the latest at the page's end and never goes back, so a page is read once. A quote opens a value after = only; one left open takes the rest of the page, as in browsers.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z](?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+(?:>|\Z)|[^<]++|<", re.S)
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"\w+")
+#: Inline elements that are followed at once, and characters of the classes and ids of one element that are looked at.
+_MOST_INLINE, _MOST_NAMES = 64, 400
 
 
 @dataclass
@@ -52,11 +56,20 @@ class Block:
     linked: int
 
 
+#: Open elements that a tag closes by itself.
+_IMPLIED = {"li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}}
+#: Of a path deeper than both together, so many outer and inner elements are looked at.
+OUTER, INNER = 6, 12
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
-    """Leaf blocks with text, character references decoded, white space as one space."""
+    """Leaf blocks with text, character references decoded, white space as one space. Time and memory are in proportion to the page, however its tags nest."""
     page = page or ""
     blocks: list[Block] = []
+    # Open block elements with their words, open inline elements since the last of them, and how many of each name are open.
     stack: list[tuple[str, str]] = []
+    inline: list[list[str]] = [[]]
+    n_open: Counter[str] = Counter()
     parts: list[str] = []
     linked = at = 0
 
@@ -64,15 +77,22 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            blocks.append(Block(tuple(x for name, x in stack if name not in INLINE), text, linked))
+            shown = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+            blocks.append(Block(tuple(x for _, x in shown), text, linked))
         parts.clear()
         linked = 0
 
+    def pop() -> str:
+        name, _ = stack.pop()
+        n_open[name] -= 1
+        n_open.subtract(inline.pop())
+        return name
+
     while (m := _TOKEN.match(page, at)) is not None:
         token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
             parts.append(token)
-            if any(name == "a" for name, _ in stack):
+            if n_open["a"] > 0:
                 linked += len(token)
             continue
         tag = _TAG.match(token)
@@ -80,16 +100,19 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         name = tag[1].lower()
         if token[1] == "/":
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name in INLINE:
-                if depth is not None and not any(n not in INLINE for n, _ in stack[depth + 1 :]):
-                    del stack[depth]
+                if name in inline[-1]:
+                    # The latest of its name.
+                    k = len(inline[-1]) - 1 - inline[-1][::-1].index(name)
+                    del inline[-1][k]
+                    n_open[name] -= 1
                 continue
             close_block()
-            if depth is not None:
-                del stack[depth:]
+            if n_open[name] > 0:
+                while pop() != name:
+                    pass
         elif name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            end = re.compile(rf"</{name}\b[^>]*+>?", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name == "br":
             parts.append(" ")
@@ -97,16 +120,24 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if name not in INLINE and name != "img":
                 close_block()
         elif name in INLINE:
-            stack.append((name, name))
+            if len(inline[-1]) < _MOST_INLINE:
+                inline[-1].append(name)
+                n_open[name] += 1
         else:
             close_block()
-            implied = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}}.get(name, {"p"})
-            while stack and (stack[-1][0] in implied or stack[-1][0] in INLINE):
-                stack.pop()
+            n_open.subtract(inline[-1])
+            inline[-1].clear()
+            implied = _IMPLIED.get(name, {"p"})
+            while stack and stack[-1][0] in implied:
+                pop()
+                n_open.subtract(inline[-1])
+                inline[-1].clear()
             if name == "body" and stack and stack[-1][0] == "head":
-                stack.pop()
-            words = " ".join("".join(x) for x in _NAMES.findall(token)).lower()
+                pop()
+            words = " ".join("".join(x) for x in _NAMES.findall(token)).lower()[:_MOST_NAMES]
             stack.append((name, f"{name} {words}" if words else name))
+            inline.append([])
+            n_open[name] += 1
     close_block()
     return blocks
 
