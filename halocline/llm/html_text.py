@@ -5,9 +5,15 @@ of open tags, classes and ids over it and its words. A bidirectional LSTM in num
 reads hashed vectors of path and words, so that each block is classified with the
 whole page as context; the blocks classified as main text are joined by two \\n.
 
-The model is trained in numpy on pages written from a random grammar of page
-parts (menus, headers, footers, sidebars, notices, adverts, forms, comments,
-articles), whose labels are known by construction; seed and sizes are parameters.
+The model is trained in numpy on pages written from random grammars of page parts
+(menus, headers, footers, sidebars, notices, adverts, forms, comments, articles),
+whose labels are known by construction: pages whose tags and classes say what
+they are, pages of bare elements, pages laid out by a table, and text right in
+the body. Seed and sizes
+are parameters. Grammars of the test are not trained on.
+
+A page is read once, so very long pages, attributes and nesting cost time in
+proportion. Blocks that score alike are judged alike; their order is the page's.
 
 Null and empty html, and pages without main text, give empty text. Unclosed and
 truncated tags, stray ``<`` and unknown character references are read as browsers
@@ -21,7 +27,7 @@ import html
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -272,104 +278,280 @@ def _phrase(rng: np.random.Generator, low: int, high: int) -> str:
     return " ".join(words).capitalize()
 
 
-def written_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
-    """A random page and, for each leaf block in order, whether it is main text."""
-    out: list[str] = []
-    labels: list[bool] = []
+class _Writer:
+    """Writes one random page and keeps, for each leaf block in order, whether it is main text."""
+
+    def __init__(self, rng: np.random.Generator):
+        self.rng, self.out, self.labels = rng, [], []
+
+    def put(self, markup: str, *is_main: bool) -> None:
+        self.out.append(markup)
+        self.labels.extend(is_main)
+
+    def pick(self, *choices: str) -> str:
+        return str(self.rng.choice(choices))
 
-    def put(markup: str, *is_main: bool) -> None:
-        out.append(markup)
-        labels.extend(is_main)
+    def phrase(self, low: int, high: int) -> str:
+        return _phrase(self.rng, low, high)
+
+    def within(self, tag: str, body: Callable[[], None]) -> None:
+        self.out.append(f"<{tag}>")
+        body()
+        self.out.append(f"</{tag.split()[0]}>")
+
+    def links(self, n: int, shape: str) -> None:
+        """n links as blocks of their own, or all in one block with separators."""
+        words = [f'<a href="/{k}">{self.phrase(1, 4)}</a>' for k in range(n)]
+        if shape == "line":
+            self.put(f"<p>{self.pick(' | ', ' ', ' &middot; ', ' / ').join(words)}</p>", False)
+        else:
+            for w in words:
+                self.put(f"<{shape}>{w}</{shape}>", False)
 
-    def items(n: int, word: str) -> None:
-        for _ in range(n):
-            put(f'<li><a href="/{word}">{_phrase(rng, 1, 3)}</a></li>', False)
+    def sentence(self) -> str:
+        return self.phrase(1, int(self.rng.choice((4, 12, 60)))) + self.pick(".", ".", ".", "", "!")
 
-    def pick(*choices: str) -> str:
-        return str(rng.choice(choices))
+    def long_sentence(self) -> str:
+        return " ".join(self.phrase(5, 25) + self.pick(".", ".", "?", "!") for _ in range(self.rng.integers(1, 5)))
+
+
+#: Names of neutral meaning, as layouts have them.
+_NEUTRAL = ("", "", ' class="row"', ' class="col-8"', ' class="wrap"', ' id="x1"', ' class="c4 clearfix"', ' class="inner"')
+
+
+def _named_parts(w: _Writer) -> dict[str, Callable[[], None]]:
+    """Parts around an article whose tags, classes or ids say what they are."""
 
     def menu() -> None:
-        tag = pick("nav", 'div class="menu"', 'div id="nav"', "nav class=main-menu")
-        out.append(f"<{tag}><ul>")
-        items(int(rng.integers(2, 9)), "m")
-        out.append(f"</ul></{tag.split()[0]}>")
+        w.within(w.pick("nav", 'div class="menu"', 'div id="nav"', "nav class=main-menu"), lambda: w.within("ul", lambda: w.links(int(w.rng.integers(2, 9)), "li")))
 
     def header() -> None:
-        put(f'<header><h1 class="logo">{_phrase(rng, 1, 4)}</h1><p>{_phrase(rng, 3, 9)}</p></header>', False, False)
+        w.put(f'<header><h1 class="logo">{w.phrase(1, 4)}</h1><p>{w.phrase(3, 9)}</p></header>', False, False)
 
     def advert() -> None:
-        tag = pick('div class="ad"', 'div class="advert"', 'div class="sponsored"', 'aside class="ads"', 'div class="promo"')
-        put(f"<{tag}>{_phrase(rng, 3, 14)}.</{tag.split()[0]}>", False)
+        tag = w.pick('div class="ad"', 'div class="advert"', 'div class="sponsored"', 'aside class="ads"', 'div class="promo"')
+        w.put(f"<{tag}>{w.phrase(3, 14)}.</{tag.split()[0]}>", False)
 
     def notice() -> None:
-        tag = pick('div class="cookie-notice"', 'div id="banner"', 'div class="notice"', 'div role="alert"', 'div class="newsletter"')
-        put(f"<{tag}><p>{_phrase(rng, 5, 20)}.</p></{tag.split()[0]}>", False)
+        tag = w.pick('div class="cookie-notice"', 'div id="banner"', 'div class="notice"', 'div role="alert"', 'div class="newsletter"')
+        w.put(f"<{tag}><p>{w.phrase(5, 20)}.</p></{tag.split()[0]}>", False)
 
     def side() -> None:
-        tag = pick("aside", 'div class="sidebar"', 'div class="related"', 'div id="sidebar"')
-        out.append(f"<{tag}>")
-        put(f"<h3>{_phrase(rng, 1, 4)}</h3><p>{_phrase(rng, 3, 15)}.</p>", False, False)
-        out.append("<ul>")
-        items(int(rng.integers(0, 5)), "r")
-        out.append(f"</ul></{tag.split()[0]}>")
+        def body() -> None:
+            w.put(f"<h3>{w.phrase(1, 4)}</h3>", False)
+            if w.rng.random() < 0.7:
+                w.put(f"<p>{w.phrase(3, 15)}.</p>", False)
+            w.within("ul", lambda: w.links(int(w.rng.integers(0, 6)), "li"))
+
+        w.within(w.pick("aside", 'div class="sidebar"', 'div class="related"', 'div id="sidebar"', 'div class="recent-posts"', 'section class="widget"'), body)
 
     def form() -> None:
-        put(f"<form><label>{_phrase(rng, 1, 3)}</label><input name=q></form>", False)
+        w.put(f"<form><label>{w.phrase(1, 3)}</label><input name=q></form>", False)
 
     def comments() -> None:
-        tag = pick('section class="comments"', 'div id="comments"', 'div class="reader-comments"')
-        out.append(f"<{tag}>")
-        for _ in range(rng.integers(1, 4)):
-            put(f'<div class="comment"><p>{_phrase(rng, 3, 25)}.</p></div>', False)
-        out.append(f"</{tag.split()[0]}>")
+        def body() -> None:
+            for _ in range(w.rng.integers(1, 4)):
+                w.put(f'<div class="comment"><p>{w.phrase(3, 25)}.</p></div>', False)
+
+        w.within(w.pick('section class="comments"', 'div id="comments"', 'div class="reader-comments"'), body)
+
+    def footer() -> None:
+        tag = w.pick("footer", 'div class="footer"', 'footer id="foot"')
+        w.put(f"<{tag}>&copy; {w.phrase(2, 14)}.</{tag.split()[0]}>", False)
+
+    return {"menu": menu, "header": header, "advert": advert, "notice": notice, "side": side, "form": form, "comments": comments, "footer": footer}
+
+
+def _table(w: _Writer, rows: int) -> None:
+    """A table of values in an article."""
+
+    def body() -> None:
+        for r in range(rows):
+            cell = "th" if r == 0 else "td"
+            w.put("<tr>" + "".join(f"<{cell}>{w.phrase(1, 5)}</{cell}>" for _ in range(3)) + "</tr>", True, True, True)
+
+    w.within("table", body)
+
+
+def semantic_page(w: _Writer) -> None:
+    """An article in a tag or class of that name, among parts that are named too."""
+    part = _named_parts(w)
 
     def article() -> None:
-        tag = pick("article", "article", 'article class="post"', "main", 'div class="content"', 'div class="article-body"', 'main id="content"')
-        out.append(f"<{tag}>")
-        if rng.random() < 0.8:
-            put(f"<{(t := pick('h1', 'h2'))}>{_phrase(rng, 2, 9)}.</{t}>", True)
-        for _ in range(rng.integers(1, 14)):
-            kind, text = rng.random(), _phrase(rng, 1, int(rng.choice((4, 12, 60)))) + pick(".", ".", "", "!")
-            if kind < 0.6:
-                put(f"<p>{text}</p>", True)
-            elif kind < 0.75:
-                put(f"<p><b>{text}<br>", True)
-            elif kind < 0.82:
-                put(f"<h2>{text}</h2>", True)
-            elif kind < 0.88:
-                put(f"<ul><li>{text}</li><li>{_phrase(rng, 2, 12)}</li></ul>", True, True)
-            elif kind < 0.93:
-                put(f'<blockquote>{text} <a href="/x">{_phrase(rng, 1, 3)}</a></blockquote>', True)
+        if w.rng.random() < 0.8:
+            w.put(f"<{(t := w.pick('h1', 'h2'))}>{w.phrase(2, 9)}.</{t}>", True)
+        for _ in range(w.rng.integers(1, 14)):
+            kind, text = w.rng.random(), w.sentence()
+            if kind < 0.58:
+                w.put(f"<p>{text}</p>", True)
+            elif kind < 0.73:
+                w.put(f"<p><b>{text}<br>", True)
+            elif kind < 0.80:
+                w.put(f"<h2>{text}</h2>", True)
+            elif kind < 0.86:
+                w.put(f"<ul><li>{text}</li><li>{w.phrase(2, 12)}</li></ul>", True, True)
+            elif kind < 0.90:
+                w.put(f'<blockquote>{text} <a href="/x">{w.phrase(1, 3)}</a></blockquote>', True)
+            elif kind < 0.94:
+                part["advert"]()
             elif kind < 0.97:
-                advert()
+                _table(w, int(w.rng.integers(2, 4)))
             else:
-                put(f"<pre>{text}</pre>", True)
-        if rng.random() < 0.15:
-            comments()
-        out.append(f"</{tag.split()[0]}>")
+                w.put(f"<pre>{text}</pre>", True)
+        if w.rng.random() < 0.15:
+            part["comments"]()
 
-    def footer() -> None:
-        tag = pick("footer", 'div class="footer"', 'footer id="foot"')
-        put(f"<{tag}>&copy; {_phrase(rng, 2, 14)}.</{tag.split()[0]}>", False)
-
-    put(f"<!DOCTYPE html><html><head><title>{_phrase(rng, 2, 9)}</title><style>p{{}}</style></head><body>", False)
-    for part in (notice, header, menu, advert, form):
-        if rng.random() < (0.8 if part is menu else 0.4):
-            part()
-    if rng.random() < 0.3:
-        side()
-    article()
-    for part in (comments, side, advert, form, notice):
-        if rng.random() < 0.3:
-            part()
-    if rng.random() < 0.9:
-        footer()
+    for name in ("notice", "header", "menu", "advert", "form"):
+        if w.rng.random() < (0.8 if name == "menu" else 0.4):
+            part[name]()
+    if w.rng.random() < 0.3:
+        part["side"]()
+    w.within(w.pick("article", "article", 'article class="post"', "main", 'div class="content"', 'div class="article-body"', 'main id="content"'), article)
+    for name in ("comments", "side", "advert", "form", "notice"):
+        if w.rng.random() < 0.3:
+            part[name]()
+    if w.rng.random() < 0.9:
+        part["footer"]()
+
+
+def _plain_menu(w: _Writer) -> None:
+    w.within(f"{w.pick('div', 'ul', 'td')}{w.pick(*_NEUTRAL)}", lambda: w.links(int(w.rng.integers(3, 9)), w.pick("li", "div", "line", "p")))
+
+
+def _plain_footer(w: _Writer) -> None:
+    text = w.pick(f"&copy; {w.phrase(2, 8)}", f"&copy; 2024 {w.phrase(1, 5)}. {w.phrase(2, 5)}.", f"Copyright {w.phrase(1, 5)}")
+    before, after = w.pick("<p>|</p>", "<div>|</div>", "<p><small>|</small></p>").split("|")
+    w.put(before + text + after, False)
+
+
+def _plain_side(w: _Writer) -> None:
+    def body() -> None:
+        before, after = w.pick("<h3>|</h3>", "<h4>|</h4>", "<p><b>|</b></p>", "<div>|</div>").split("|")
+        w.put(before + w.phrase(1, 3) + after, False)
+        w.links(int(w.rng.integers(2, 7)), w.pick("li", "div", "p"))
+
+    w.within(f"{w.pick('div', 'td', 'section')}{w.pick(*_NEUTRAL)}", body)
+
+
+def bare_page(w: _Writer, tag: str | None = None) -> None:
+    """An article in elements that say nothing, among blocks of links that say nothing either."""
+    tag = tag or w.pick("div", "div", "section")
+    # Text right in the element that holds all of it, cut by rules, is a block too.
+    before, after = w.pick("<p>|</p>", "<p>|</p>", "<div>|</div>", "|<hr>").split("|")
+
+    def article() -> None:
+        if w.rng.random() < 0.8:
+            w.put(f"<{(t := w.pick('h1', 'h2'))}>{w.phrase(2, 9)}</{t}>", True)
+        for _ in range(w.rng.integers(2, 12)):
+            kind = w.rng.random()
+            if kind < 0.75:
+                w.put(before + w.long_sentence() + after, True)
+            elif kind < 0.82:
+                w.put(f"{before}{w.phrase(4, 12)} <a href=/x>{w.phrase(1, 3)}</a> {w.phrase(3, 12)}.{after}", True)
+            elif kind < 0.90:
+                w.put(f"<h3>{w.phrase(1, 6)}</h3>", True)
+            elif kind < 0.95:
+                w.put(f"<ul><li>{w.phrase(3, 12)}.</li><li>{w.phrase(3, 12)}.</li></ul>", True, True)
+            else:
+                _table(w, 2)
+
+    for f, p in ((_plain_menu, 0.9), (_plain_side, 0.2)):
+        if w.rng.random() < p:
+            f(w)
+    if w.rng.random() < 0.3:
+        _named_parts(w)[w.pick("advert", "notice", "form")]()
+    outer = f"{w.pick('div', 'div', 'section')}{w.pick(*_NEUTRAL)}"
+    if after == "<hr>" and w.rng.random() < 0.5:
+        article()
+    else:
+        w.within(outer, lambda: w.within(f"{tag}{w.pick(*_NEUTRAL)}", article) if w.rng.random() < 0.5 else article())
+    if w.rng.random() < 0.2:
+        _named_parts(w)["comments"]()
+    for f, p in ((_plain_side, 0.5), (_plain_menu, 0.3), (_plain_footer, 0.8)):
+        if w.rng.random() < p:
+            f(w)
+
+
+def layout_page(w: _Writer) -> None:
+    """A table lays the page out: a column of links, one of text."""
+
+    def column() -> None:
+        if w.rng.random() < 0.7:
+            w.put(f"<h1>{w.phrase(2, 8)}</h1>", True)
+        for _ in range(w.rng.integers(2, 9)):
+            w.put(f"<p>{w.long_sentence()}</p>" if w.rng.random() < 0.8 else f"<div>{w.long_sentence()}</div>", True)
+
+    def row() -> None:
+        if w.rng.random() < 0.8:
+            w.within("td" + w.pick(*_NEUTRAL), lambda: w.links(int(w.rng.integers(2, 8)), w.pick("div", "li", "p")))
+        w.within("td" + w.pick(*_NEUTRAL), column)
+        if w.rng.random() < 0.4:
+            w.within("td" + w.pick(*_NEUTRAL), lambda: w.links(int(w.rng.integers(2, 6)), w.pick("div", "p")))
+
+    w.within("table", lambda: w.within("tr", row))
+    if w.rng.random() < 0.8:
+        _plain_footer(w)
+
+
+def body_page(w: _Writer) -> None:
+    """Text right in the body, cut by headings and rules; links in lines. No part has an element of its own."""
+    w.links(int(w.rng.integers(3, 8)), "line")
+    w.put(f"<h1>{w.phrase(2, 8)}</h1>", True)
+    for _ in range(w.rng.integers(2, 8)):
+        if w.rng.random() < 0.5:
+            w.put(f"{w.long_sentence()}<hr>", True)
+        else:
+            w.put(f"{w.long_sentence()}<p>{w.long_sentence()}</p>", True, True)
+    if w.rng.random() < 0.8:
+        w.links(int(w.rng.integers(3, 7)), "line")
+    if w.rng.random() < 0.8:
+        w.put(f"<p>&copy; {w.phrase(1, 6)}</p>", False)
+
+
+def mixed_page(w: _Writer) -> None:
+    """A named menu and footer around bare text in sections, with widgets that say nothing between."""
+    part = _named_parts(w)
+    part["menu"]()
+    for _ in range(w.rng.integers(1, 4)):
+        w.put(f"<section><h2>{w.phrase(2, 7)}</h2><div>{w.long_sentence()}</div><div>{w.long_sentence()}</div></section>", True, True, True)
+    _plain_side(w)
+    part["footer"]()
+
+
+def steps_page(w: _Writer) -> None:
+    """Instructions as a numbered list in bare elements, with links in lines above and a plain footer."""
+    w.links(int(w.rng.integers(3, 8)), w.pick("line", "div"))
+
+    def steps() -> None:
+        for _ in range(w.rng.integers(2, 7)):
+            w.put(f"<li>{w.long_sentence()}</li>", True)
+
+    def body() -> None:
+        w.put(f"<h1>{w.phrase(2, 7)}</h1><p>{w.long_sentence()}</p>", True, True)
+        w.within("ol", steps)
+        w.put(f"<p>{w.long_sentence()}</p>", True)
+
+    w.within(f"{w.pick('div', 'section')}{w.pick(*_NEUTRAL)}", body)
+    _plain_side(w)
+    _plain_footer(w)
+
+
+#: Page grammars that are trained on, with their shares, and those held out for the test.
+GRAMMARS, HELD_OUT = ((semantic_page, 0.45), (bare_page, 0.3), (layout_page, 0.13), (body_page, 0.12)), (mixed_page, steps_page)
+
+
+def written_page(rng: np.random.Generator, grammar: Callable[[_Writer], None] | None = None) -> tuple[str, list[bool]]:
+    """A random page of a grammar, or of one drawn from GRAMMARS, and for each leaf block in order whether it is main text."""
+    w = _Writer(rng)
+    chosen = grammar or GRAMMARS[int(rng.choice(len(GRAMMARS), p=[share for _, share in GRAMMARS]))][0]
+    w.put(f"<!DOCTYPE html><html><head><title>{w.phrase(2, 9)}</title><style>p{{}}</style></head><body>", False)
+    chosen(w)
     if rng.random() < 0.9:
-        out.append("</body></html>")
-    return "".join(out), labels
+        w.out.append("</body></html>")
+    return "".join(w.out), w.labels
 
 
-def train(pages: int = 400, steps: int = 240, seed: int = 3) -> dict[str, np.ndarray]:
+def train(pages: int = 700, steps: int = 480, seed: int = 3) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     while len(xs) < pages:
