@@ -26,6 +26,10 @@ from .spatial import cube, touching
 
 #: Observations and points of a block: bounds what a task holds.
 BLOCK_OBS, BLOCK_POINTS = 20_000, 2_000
+#: Fixed value: types that lie at a level; their distance to a point's level counts.
+LEVELLED = ("sst", "sss", "u", "v", "t", "s")
+#: Levels of a point that are transformed together, and points that are solved together.
+LEVELS_AT_ONCE, SOLVED_AT_ONCE = 64, 64
 _SUMS = "point long, n long, a binary, b binary"
 _KEY = ["c", "o", "g"]
 
@@ -43,7 +47,10 @@ def _block_sums(config: FilterConfig):
             take = lambda t, c: t.column(c).to_numpy().astype(np.float64)
             where = _xyz(take(obs, "lon"), take(obs, "lat"))
             olev, dep, err = take(obs, "lev"), take(obs, "dep"), take(obs, "err")
-            surface = np.isin(obs.column("elem").to_numpy(), [OBS_TYPES["sst"], OBS_TYPES["sss"]])
+            elem = obs.column("elem").to_numpy()
+            surface = np.isin(elem, [OBS_TYPES["sst"], OBS_TYPES["sss"]])
+            # Types whose level counts; sea level and all others act on the whole column.
+            levelled = np.isin(elem, [OBS_TYPES[name] for name in LEVELLED])
             pert = obs.column("pert").combine_chunks()
             y = pert.values.to_numpy(zero_copy_only=False)[pert.offsets[0].as_py() : pert.offsets[-1].as_py()].reshape(obs.num_rows, -1)
             at = _xyz(take(points, "lon"), take(points, "lat"))
@@ -58,7 +65,7 @@ def _block_sums(config: FilterConfig):
                 use = dist <= CUT_OFF * sigma
                 squares = (dist / sigma) ** 2
                 if config.vertical_localisation:
-                    apart = np.abs(olev - lev[i]) / config.sigma_vertical
+                    apart = np.where(levelled, np.abs(olev - lev[i]), 0.0) / config.sigma_vertical
                     use &= apart <= CUT_OFF
                     squares = squares + apart**2
                 if config.block_basins:
@@ -98,49 +105,71 @@ def local_sums(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterC
     return o.groupBy(*_KEY).cogroup(p.groupBy(*_KEY)).applyInArrow(_block_sums(config), _SUMS)
 
 
-def transform_of(a: np.ndarray, b: np.ndarray, inflation: float) -> np.ndarray:
-    """The transform whose columns are the weights of the analysis members, from the summed normal equations."""
-    m = len(b)
+def transforms_of(a: np.ndarray, b: np.ndarray, inflation: float) -> np.ndarray:
+    """For each point the transform whose columns are the weights of the analysis members, from its summed normal equations."""
+    m = b.shape[1]
     values, vectors = np.linalg.eigh(a + np.eye(m) * ((m - 1) / inflation))
-    mean = vectors @ ((vectors.T @ b) / values)
-    return (vectors * np.sqrt((m - 1) / values)) @ vectors.T + mean[:, None]
+    turned = vectors.transpose(0, 2, 1)
+    mean = vectors @ ((turned @ b[:, :, None]) / values[:, :, None])
+    return (vectors * np.sqrt((m - 1) / values)[:, None, :]) @ turned + mean
 
 
-def transforms(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """point, n_obs and trans (members x members, row by row) of every point that has an observation in reach."""
+def packed_transforms(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
+    """As ``transforms``, with the numbers of trans as bytes: matrices pass through the JVM as they are."""
     if not config.inflation > 0:
         raise ValueError("inflation is over 0")
     inflation = config.inflation
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums arrive in the order of points: one point is held at a time."""
-        name, n, a, b = None, 0, None, None
+        """Sums arrive in the order of points: those of one point are added up, and some points are solved at once."""
+        names, counts, a, b = [], [], [], []
 
-        def done() -> pa.RecordBatch:
-            t = transform_of(a.reshape(len(b), len(b)), b, inflation)
-            return pa.record_batch([pa.array([name], pa.int64()), pa.array([n], pa.int64()), pa.array([t.reshape(-1)], pa.list_(pa.float64()))], ["point", "n_obs", "trans"])
+        def done(n: int) -> pa.RecordBatch:
+            m = len(b[0])
+            t = transforms_of(np.stack(a[:n]).reshape(n, m, m), np.stack(b[:n]), inflation)
+            out = pa.record_batch([pa.array(names[:n], pa.int64()), pa.array(counts[:n], pa.int64()), pa.array([x.tobytes() for x in t], pa.binary())], ["point", "n_obs", "trans"])
+            for column in (names, counts, a, b):
+                del column[:n]
+            return out
 
         for batch in batches:
             for point, count, part_a, part_b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if point != name:
-                    if name is not None:
-                        yield done()
-                    name, n, a, b = point, 0, 0.0, 0.0
-                n, a, b = n + count, a + np.frombuffer(part_a), b + np.frombuffer(part_b)
-        if name is not None:
-            yield done()
+                if names and names[-1] == point:
+                    counts[-1] += count
+                    a[-1] = a[-1] + np.frombuffer(part_a)
+                    b[-1] = b[-1] + np.frombuffer(part_b)
+                    continue
+                if len(names) == SOLVED_AT_ONCE:
+                    yield done(len(names))
+                for column, x in zip((names, counts, a, b), (point, count, np.frombuffer(part_a), np.frombuffer(part_b))):
+                    column.append(x)
+        if names:
+            yield done(len(names))
+
+    return local_sums(points, obs, config).repartition("point").sortWithinPartitions("point").mapInArrow(solve, "point long, n_obs long, trans binary")
+
+
+def transforms(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
+    """point, n_obs and trans (members x members, row by row) of every point that has an observation in reach."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x) for x in batch.column("trans").to_pylist()]
+            yield pa.record_batch([batch.column("point"), batch.column("n_obs"), pa.array(rows, pa.list_(pa.float64()))], ["point", "n_obs", "trans"])
 
-    return local_sums(points, obs, config).repartition("point").sortWithinPartitions("point").mapInArrow(solve, "point long, n_obs long, trans array<double>")
+    return packed_transforms(points, obs, config).mapInArrow(unpack, "point long, n_obs long, trans array<double>")
 
 
 def analyse(state: DataFrame, trans: DataFrame | None, config: FilterConfig = FilterConfig()) -> DataFrame:
     """``state`` (point, k, var, kmt, ens) with ana: the ensemble times its point's transform.
 
-    A point without observations gets sqrt(inflation) times its perturbations; if
-    there is no observation at all the ensemble stays as it is (``trans`` None).
-    Land (kmt < 1) has zeros. A point's rows travel together: they are its levels
-    and variables, a bounded number. With additive inflation ``state`` has the
-    draws of each row as well (addi, an array over members).
+    ``trans`` is of ``transforms`` or ``packed_transforms``. A point without
+    observations gets sqrt(inflation) times its perturbations; if there is no
+    observation at all the ensemble stays as it is (``trans`` None). Land
+    (kmt < 1) has zeros. LEVELS_AT_ONCE levels of a point travel together with its
+    transform, so a group is bounded by the number of variables. With additive
+    inflation ``state`` has the draws of each row as well (addi, an array over
+    members). All rows have the same number of members.
     """
     if config.additive and "addi" not in state.columns:
         raise ValueError("additive inflation needs the draws, addi")
@@ -148,22 +177,33 @@ def analyse(state: DataFrame, trans: DataFrame | None, config: FilterConfig = Fi
         return state.select("point", "k", "var", "kmt", "ens", F.col("ens").alias("ana"))
     root = config.inflation**0.5
     addi = (F.col("addi") if config.additive else F.lit(None)).cast("array<double>").alias("addi")
-    rows = state.groupBy("point").agg(F.collect_list(F.struct("k", "var", "kmt", "ens", addi)).alias("rows"))
+    layer = F.floor(F.col("k") / LEVELS_AT_ONCE).alias("_layer")
+    fields = [F.col("k").cast("int").alias("k"), F.col("var"), F.col("kmt").cast("int").alias("kmt"), F.col("ens").cast("array<double>").alias("ens"), addi]
+    rows = state.groupBy(F.col("point").cast("long").alias("point"), layer).agg(F.collect_list(F.struct(*fields)).alias("rows"))
     joined = rows.join(trans.select("point", "trans"), "point", "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for point, rows_, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ens = np.array([r["ens"] for r in rows_], dtype=np.float64)
-                mean = ens.mean(axis=1, keepdims=True)
-                pert = ens - mean
-                ana = mean + (pert * root if t is None else pert @ np.array(t).reshape(ens.shape[1], -1))
-                ana[[r["kmt"] is not None and r["kmt"] < 1 for r in rows_]] = 0.0
-                names = [[r[c] for r in rows_] for c in ("k", "var", "kmt")]
-                yield pa.record_batch(
-                    [pa.array([point] * len(rows_), pa.int64()), pa.array(names[0], pa.int32()), pa.array(names[1], pa.string()), pa.array(names[2], pa.int32()), pa.array(ens.tolist(), pa.list_(pa.float64())), pa.array(ana.tolist(), pa.list_(pa.float64())), pa.array([r["addi"] for r in rows_], pa.list_(pa.float64()))],
-                    ["point", "k", "var", "kmt", "ens", "ana", "addi"],
-                )
+            lists = batch.column("rows")
+            sizes, flat = lists.value_lengths().to_numpy(), lists.flatten()
+            ens = flat.field("ens")
+            x = ens.flatten().to_numpy().reshape(len(flat), -1)
+            ana = x - x.mean(axis=1, keepdims=True)
+            start = 0
+            for n, t in zip(sizes.tolist(), batch.column("trans").to_pylist()):
+                own = slice(start, start + n)
+                matrix = None if t is None else np.frombuffer(t) if isinstance(t, bytes) else np.array(t)
+                ana[own] = ana[own] * root if matrix is None else ana[own] @ matrix.reshape(x.shape[1], -1)
+                start += n
+            ana += x.mean(axis=1, keepdims=True)
+            kmt = flat.field("kmt")
+            ana[kmt.fill_null(1).to_numpy(zero_copy_only=False) < 1] = 0.0
+            starts = pa.array(np.arange(len(flat) + 1) * x.shape[1], pa.int32())
+            points = batch.column("point").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.record_batch(
+                [points, flat.field("k"), flat.field("var"), kmt, ens, pa.ListArray.from_arrays(starts, pa.array(ana.reshape(-1))), flat.field("addi")],
+                ["point", "k", "var", "kmt", "ens", "ana", "addi"],
+            )
 
     out = joined.select("point", "rows", "trans").mapInArrow(apply, "point long, k int, var string, kmt int, ens array<double>, ana array<double>, addi array<double>")
     return finished(out, config).drop("addi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ensemble
 from ..operators.quality_control import ensemble_check
-from ..operators.transform import analyse, transforms
+from ..operators.transform import analyse, packed_transforms
 from ..schema import FilterConfig
 
 
@@ -22,11 +22,11 @@ def analysis(state: DataFrame, points: DataFrame, obs: DataFrame, config: Filter
     if good.isEmpty():
         return analyse(state, None, config)
     if not config.mixed_layer:
-        return analyse(state, transforms(points, good, config), config)
+        return analyse(state, packed_transforms(points, good, config), config)
     of = lambda upper: 2 * F.col("point") + upper.cast("long")
     layers = points.withColumn("upper", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("point", of(F.col("upper"))).drop("mixed")
     own = state.join(points.select("point", "mixed"), "point", "left").withColumn("point", of(F.coalesce(F.col("k") <= F.col("mixed"), F.lit(True)))).drop("mixed")
-    return analyse(own, transforms(layers, good, config), config).withColumn("point", F.shiftright("point", 1))
+    return analyse(own, packed_transforms(layers, good, config), config).withColumn("point", F.shiftright("point", 1))
 
 
 def statistics(ana: DataFrame) -> DataFrame:

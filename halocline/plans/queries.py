@@ -309,7 +309,7 @@ def _single(spark, d, distant: bool) -> DataFrame:
     obs = e.select("obs_id", "elem", "lon", "lat", "lev", "err", (F.col("dat") - ensemble.mean(F.col("hx"))).alias("dep"), ensemble.perturbations(F.col("hx")).alias("pert"))
     points = e.select(F.col("obs_id").alias("point"), ((F.col("lon") + (0.5 if distant else 0.0)).alias("lon")), "lat", "lev", F.lit(True).alias("upper"))
     state = e.select(F.col("obs_id").alias("point"), F.lit(1).alias("k"), F.lit("t").alias("var"), F.when(F.col("obs_id") % 4 == 0, 0).otherwise(3).alias("kmt"), F.reverse("hx").alias("ens"))
-    return whole.statistics(transform.analyse(state, transform.transforms(points, obs, _ALONE), _ALONE)).select("point", r("mean", 5).alias("mean"), r("spread", 5).alias("spread"))
+    return whole.statistics(transform.analyse(state, transform.packed_transforms(points, obs, _ALONE), _ALONE)).select("point", r("mean", 5).alias("mean"), r("spread", 5).alias("spread"))
 
 
 _SINGLE = f"""WITH {t.ENS}, x AS (SELECT obs_id, err, dat - list_sum(hx) / len(hx) AS dep, list_transform(hx, lambda v: v - list_sum(hx) / len(hx)) AS h, list_sum(hx) / len(hx) AS m, list_transform(list_reverse(hx), lambda v: v - list_sum(hx) / len(hx)) AS p FROM ens),

@@ -65,6 +65,15 @@ def test_transforms_are_those_of_all_observations_at_once(spark, monkeypatch, bl
         np.testing.assert_allclose(square.sum(axis=0), math.sqrt(1.2), atol=1e-9)
 
 
+def test_level_counts_for_types_at_a_level_only(spark):
+    config = FilterConfig(sigma_equator=300_000.0, sigma_pole=100_000.0, vertical_localisation=True, sigma_vertical=10.0)
+    p = spark.createDataFrame([(1, 0.0, 0.0, 1000.0, True)], "point long, lon double, lat double, lev double, upper boolean")
+    rows = [(k, elem, 0.0, 0.0, 0.0, 0.5, 1.0, [1.0, -1.0]) for k, elem in enumerate((5526, 5351, 3073, 5525))]
+    o = spark.createDataFrame(rows, "obs_id long, elem int, lon double, lat double, lev double, dep double, err double, pert array<double>")
+    # Sea level acts at depth, temperature at the surface does not.
+    assert [r.n_obs for r in transform.transforms(p, o, config).collect()] == [2]
+
+
 def test_errors_without_bound_leave_the_ensemble(spark):
     config = FilterConfig(sigma_equator=300_000.0, sigma_pole=100_000.0)
     _, _, o, p = _assimilation(spark, config)
