@@ -11,9 +11,13 @@ the notice templates below, so a line without any of them has the score of an
 empty line, which is unknown, and is set aside before scoring. A multinomial
 logistic regression with an L1 penalty is fitted on variants of the templates and
 on a bounded sample of the corpus's lines (``sample_lines``, by hash order) as
-the unknown class. The least probability for a licence is calibrated on held-out
-variants and lines, and a prediction stands only if the line also holds enough of
-its family's template.
+the unknown class. Margins over unknown become probabilities by a logistic fit on
+held-out variants and lines. A prediction stands if that probability is 0.5 or
+more and the paragraph compares with a template of its family: enough of the
+template's words, and enough of its neighbouring pairs of words as neighbours.
+
+A long text has as many paragraphs as lines and none is cut. Of predictions that
+tie the class first in the alphabet counts; of runs that tie the likelier one.
 
 Null and empty texts have one empty line and no licence. Repeated rows are
 judged one by one and told apart by doc_id and text; rows that repeat both give
@@ -26,7 +30,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +88,9 @@ class LicenseScanner:
     vocabulary: list[str]
     families: list[str]
     model: LogisticRegressionModel
-    threshold: float
+    #: Slope and intercept that make a margin over unknown a probability, from held-out paragraphs.
+    slope: float
+    intercept: float
 
 
 def _tokens(line: Column) -> Column:
@@ -138,19 +144,29 @@ def fit(docs: DataFrame, sample_lines: int = 2000) -> LicenseScanner:
     rows = rows.withColumn("label", F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1)
     rows = _vectors(rows, terms).withColumn("_fold", F.pmod(F.xxhash64("line"), F.lit(4))).coalesce(1).cache()
     model = LogisticRegression(family="multinomial", regParam=1e-3, elasticNetParam=0.5, maxIter=60).fit(rows.where("_fold <> 0"))
-    held = _probable(model.transform(rows.where("_fold = 0")))
-    ends = held.agg(F.min(F.when(F.col("label") > 0, F.col("_best"))).alias("low"), F.max(F.when(F.col("label") == 0, F.col("_best"))).alias("high")).first()
-    # Halfway between the most certain held-out unknown and the least certain held-out notice, within fixed ends.
-    low, high = (ends["low"] if ends["low"] is not None else 1.0), (ends["high"] if ends["high"] is not None else 0.0)
+    held = _probable(model.transform(rows.where("_fold = 0"))).select("_margin", (F.col("label") > 0).cast("double").alias("label"))
+    slope, intercept = _calibration(held)
     rows.unpersist()
-    return LicenseScanner(terms, families, model, min(0.9, max(0.5, (low + high) / 2)))
+    return LicenseScanner(terms, families, model, slope, intercept)
+
+
+def _calibration(held: DataFrame) -> tuple[float, float]:
+    """Platt's fit: margins of held-out paragraphs to the probability of a licence. Without both kinds margins stand as log-odds."""
+    kinds = held.agg(F.countDistinct("label").alias("n")).first()["n"]
+    if kinds < 2:
+        return 1.0, 0.0
+    fitted = LogisticRegression(regParam=1e-3, maxIter=50, standardization=False).fit(VectorAssembler(inputCols=["_margin"], outputCol="features").transform(held))
+    # A paragraph never is likelier a notice for a lesser margin.
+    return max(0.0, float(fitted.coefficients[0])), float(fitted.intercept)
 
 
 def _probable(scored: DataFrame) -> DataFrame:
-    """_best: the largest probability of a licence; _at: its class."""
+    """_best: the largest probability of a licence; _at: its class; _margin: its log-odds over unknown."""
     p = settled(scored.withColumn("_p", vector_to_array("probability")))
     best = F.expr("array_max(slice(_p, 2, size(_p) - 1))")
-    return p.withColumn("_best", best).withColumn("_at", F.expr("array_position(slice(_p, 2, size(_p) - 1), array_max(slice(_p, 2, size(_p) - 1)))"))
+    at = F.expr("array_position(slice(_p, 2, size(_p) - 1), array_max(slice(_p, 2, size(_p) - 1)))")
+    margin = F.log(F.greatest(best, F.lit(1e-12))) - F.log(F.greatest(F.col("_p")[0], F.lit(1e-12)))
+    return p.withColumn("_best", best).withColumn("_at", at).withColumn("_margin", margin)
 
 
 def _template_words(text: str) -> list[str]:
@@ -175,6 +191,18 @@ def _template_share(tokens: str, family: Column | None = None) -> Column:
     return F.greatest(*shares)
 
 
+def _in_order(tokens: str, family: Column) -> tuple[Column, Column]:
+    """_pairs, and from them the largest share of a template's neighbouring word pairs that the paragraph has as neighbours too, over templates of the family; 1 for a template of one word."""
+    pairs = F.expr(f"CASE WHEN size({tokens}) < 2 THEN array() ELSE transform(sequence(1, size({tokens}) - 1), i -> array_join(slice({tokens}, i, 2), ' ')) END")
+    shares = []
+    for name, text in TEMPLATES:
+        w = "".join(c if c.isalpha() else " " for c in text.replace("{v}", "").lower()).split()
+        own = sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
+        share = F.size(F.array_intersect(F.array(*map(F.lit, own)), F.col("_pairs"))) / F.lit(float(len(own))) if own else F.lit(1.0)
+        shares.append(F.when(family == name, share).otherwise(0.0))
+    return pairs, F.greatest(*shares)
+
+
 def _runs(docs: DataFrame, single: list[str]) -> DataFrame:
     """doc_id, _th, position, n_lines, line, _tokens: lines, and runs of lines without a blank one, that have a word of a template.
 
@@ -198,7 +226,7 @@ def _runs(docs: DataFrame, single: list[str]) -> DataFrame:
     )
 
 
-def license_paragraphs(docs: DataFrame, scanner: LicenseScanner, least_share: float = 0.7) -> DataFrame:
+def license_paragraphs(docs: DataFrame, scanner: LicenseScanner, least_share: float = 0.7, least_order: float = 0.5, least_probability: float = 0.5) -> DataFrame:
     """One row per line or run of lines that is a licence notice: doc_id, _th, position, n_lines, line, family, probability, template_share."""
     single = [t for t in scanner.vocabulary if " " not in t]
     # Each step is settled: Spark would otherwise write one step's expression into every use of it in the next.
@@ -206,9 +234,13 @@ def license_paragraphs(docs: DataFrame, scanner: LicenseScanner, least_share: fl
     # A run below the share for all families cannot have it for one.
     runs = settled(runs).where(F.col("_likely") >= least_share).drop("_likely")
     scored = settled(_probable(scanner.model.transform(_vectors(settled(runs), scanner.vocabulary))).drop("features", "rawPrediction", "probability", "prediction", "_p"))
+    probability = 1 / (1 + F.exp(-(F.col("_margin") * scanner.slope + scanner.intercept)))
+    scored = scored.withColumn("_best", probability)
     family = F.element_at(F.array(*map(F.lit, scanner.families[1:])), F.col("_at").cast("int"))
-    hits = settled(scored.where(F.col("_best") >= scanner.threshold).withColumn("family", family))
+    hits = settled(scored.where(F.col("_best") >= least_probability).withColumn("family", family))
     hits = settled(hits.withColumn("template_share", _template_share("_tokens", F.col("family")))).where(F.col("template_share") >= least_share)
+    pairs, in_order = _in_order("_tokens", F.col("family"))
+    hits = settled(hits.withColumn("_pairs", pairs)).where(in_order >= least_order)
     return hits.select("doc_id", "_th", "position", "n_lines", "line", "family", F.col("_best").alias("probability"), "template_share")
 
 

@@ -26,3 +26,20 @@ def test_wrapped_headers_and_close_families(spark):
     assert {k: got[k].families for k, *_ in CASES} == {k: f for k, _, f in CASES}
     assert not any(got[k].families for k, _ in plain)
     assert got[1].n_license_paragraphs >= 3 and got[1].n_paragraphs == CASES[0][1].count("\n") + 1
+
+
+def test_words_of_a_notice_in_another_order_are_none(spark):
+    words = MIT.split()
+    docs = [(1, " ".join(sorted(words))), (2, MIT), (3, None), (4, "")] + [(100 + i, f"plain words about rivers and use of the land in any form {i}") for i in range(40)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    scanner = licenses.fit(table)
+    assert scanner.slope > 0
+    got = {r.doc_id: r for r in licenses.scan(table, scanner).collect()}
+    assert (got[1].families, got[2].families, got[3].families, got[4].families) == ("", "mit", "", "")
+    assert 0.5 <= got[2].probability <= 1
+    assert licenses.scan(table.limit(0), scanner).count() == 0
+
+
+def test_calibration_with_one_kind_only_keeps_margins(spark):
+    held = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0)], "_margin double, label double")
+    assert licenses._calibration(held) == (1.0, 0.0)
