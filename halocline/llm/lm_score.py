@@ -51,6 +51,8 @@ MOST_HEAD = 1 << 17
 #: Documents that train one copy of the weights, about, and windows of one of its steps.
 SHARD_DOCUMENTS = 2000
 TRAIN_WINDOWS = 256
+#: Documents whose word counts share a bucket, some tens of megabytes, and how many buckets there are at least.
+BUCKET_DOCUMENTS, LEAST_BUCKETS = 20_000, 64
 _SUM = "n long, sums binary"
 _WORD = Rolling(41)
 #: The end token's hash in the table of counts.
@@ -494,8 +496,9 @@ def score(docs: DataFrame, learn: Column, held_out: Column, ranks_file: str = RA
     spark = docs.sparkSession
     bounded_batches(spark)
     subwords = load_subwords(ranks_file, ranks)
-    buckets = max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = docs.where(learn)
+    # A bucket's partial counts are held whole by a task: their number follows the documents.
+    buckets = max(LEAST_BUCKETS, -(-known.count() // BUCKET_DOCUMENTS))
     partial = materialise(corpus_counts(known, subwords, buckets), "counts")
     counts = materialise(partial.where("bucket >= 0").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_summed, "h long, c long"), "words")
     pairs = partial.where(F.col("bucket") == _PAIRS).select("keys", "counts").mapInArrow(_pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()

@@ -35,6 +35,8 @@ from .common import Rolling, bounded_batches, byte_list, drop_materialised, mate
 
 #: Difference covers, period to residues; every difference modulo the period occurs.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
+#: Batches whose hashes share a bucket: at most some 30 MB each, where every window repeats.
+BATCHES_A_BUCKET, LEAST_BUCKETS = 4, 64
 _SENT = "bucket int, batch long, once binary, doc binary, pos binary, often binary, sure_doc binary, sure_pos binary"
 _FOUND = "batch long, doc binary, pos binary"
 _WORD, _ANCHOR, _LOW, _HIGH = Rolling(11), Rolling(12), Rolling(13), Rolling(14)
@@ -249,8 +251,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, batch_bytes: int = 8 << 20
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) for every row of ``docs``."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    s = shape(window, buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     packed = materialise(pack(docs, batch_bytes), "packed")
+    # A bucket is held whole by a task: their number follows the text, about BATCHES_A_BUCKET batches of it for each.
+    s = shape(window, buckets or max(LEAST_BUCKETS, -(-packed.count() // BATCHES_A_BUCKET)))
     near = materialise(packed.mapInArrow(_send_anchors(s), _SENT).groupBy("bucket").applyInArrow(_meet(6), _FOUND), "anchors")
     release(spark)
     sent = packed.groupBy("batch").cogroup(near.groupBy("batch")).applyInArrow(_send_windows(s), _SENT)
