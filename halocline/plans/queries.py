@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import ensemble, geo, seawater, statistics, times
@@ -199,6 +201,13 @@ def nearest_cell(spark, d):
     return spatial.nearest(_places(spark, d), t.field(spark, d).select("ij", "lon", "lat"), 1_500_000.0).select("obs_id", r("dist", 3).alias("dist"))
 
 
+@query(f"""WITH {_PLACES}, {t.FIELD}, x AS (SELECT o.obs_id, f.ij, {_chord('f', 'o')} AS dist FROM places o JOIN field f ON abs(f.lat - o.lat) < 20 WHERE o.lon % 5 <> 0 AND o.lat % 5 <> 0)
+SELECT obs_id, arg_min(ij, dist) AS ij FROM x WHERE dist <= 1500000 GROUP BY obs_id""")
+def nearest_cell_names(spark, d):
+    """Places off the middle between cells: there two cells are as near."""
+    return spatial.nearest(_places(spark, d).where("lon % 5 <> 0 and lat % 5 <> 0"), t.field(spark, d).select("ij", "lon", "lat"), 1_500_000.0).select("obs_id", "ij")
+
+
 @query(f"""WITH {_PLACES}, {t.FIELD}, x AS (SELECT o.obs_id, {_chord('f', 'o')} AS dist FROM places o JOIN field f ON abs(f.lat - o.lat) < 30),
 y AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY dist) AS k FROM x WHERE dist <= 2000000) SELECT obs_id, count(*) AS n, round(sum(dist), 2) AS dist FROM y WHERE k <= 4 GROUP BY obs_id""")
 def nearest_four_cells(spark, d):
@@ -434,7 +443,14 @@ def neighbourhood_fill(spark, d):
     return interpolation.fill_from_neighbourhood(f.select("i", "j", F.when(keep, F.col("value")).alias("value")), f, 2, 36).select("i", "j", r("value").alias("value"))
 
 
-@query()
+def _low_pass_terms(cutoff: float, half: int) -> str:
+    """The filter of 2 half + 1 points as a sum over list elements."""
+    w = {n: 2 * cutoff if n == 0 else math.sin(2 * math.pi * cutoff * n) / (math.pi * n) * math.sin(math.pi * n / half) / (math.pi * n / half) for n in range(-half, half + 1)}
+    total = sum(w.values())
+    return " + ".join(f"({x / total!r})::DOUBLE * hx[(i + {n + 64}) % 64 + 1]" for n, x in w.items())
+
+
+@query(f"WITH {t.ENS}, w AS (SELECT obs_id, list_transform(range(0, 64), lambda i: {_low_pass_terms(0.1, 10)}) AS z FROM ens) SELECT {_DIGEST} FROM w")
 def low_pass(spark, d):
     """The members of each observation after the cyclic filter."""
     return _digest(t.ensemble_observations(spark, d).select("obs_id", interpolation.lanczos(F.col("hx"), 0.1).alias("z")))
