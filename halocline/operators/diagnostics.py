@@ -77,3 +77,9 @@ def require_diversity(rows: DataFrame, ens: str) -> None:
     found = diversity(rows.withColumn("_all", F.lit(1)), ens, ["_all"]).first()
     if found is not None and not found["diverse"]:
         raise ValueError("all members are identical")
+
+
+def dump(obs: DataFrame) -> DataFrame:
+    """``obs`` as lines of text, with a mark at errors that are not positive."""
+    fields = [F.col(c).cast("string") for c in ("elem", "lon", "lat", "lev", "dat", "err")]
+    return obs.select(F.concat_ws(" ", *fields, F.when(F.col("err") <= 0, "bad_error")).alias("line"))

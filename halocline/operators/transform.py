@@ -28,6 +28,8 @@ from .spatial import cube, touching
 BLOCK_OBS, BLOCK_POINTS = 20_000, 2_000
 #: Fixed value: types that lie at a level; their distance to a point's level counts.
 LEVELLED = ("sst", "sss", "u", "v", "t", "s")
+#: The variable of layer thicknesses.
+THICKNESS = "h"
 #: Levels of a point that are transformed together, and points that are solved together.
 LEVELS_AT_ONCE, SOLVED_AT_ONCE = 64, 64
 _SUMS = "point long, n long, a binary, b binary"
@@ -105,35 +107,37 @@ def local_sums(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterC
     return o.groupBy(*_KEY).cogroup(p.groupBy(*_KEY)).applyInArrow(_block_sums(config), _SUMS)
 
 
-def transforms_of(a: np.ndarray, b: np.ndarray, inflation: float) -> np.ndarray:
+def transforms_of(a: np.ndarray, b: np.ndarray, inflation: np.ndarray) -> np.ndarray:
     """For each point the transform whose columns are the weights of the analysis members, from its summed normal equations."""
     m = b.shape[1]
-    values, vectors = np.linalg.eigh(a + np.eye(m) * ((m - 1) / inflation))
+    values, vectors = np.linalg.eigh(a + np.eye(m) * ((m - 1) / inflation)[:, None, None])
     turned = vectors.transpose(0, 2, 1)
     mean = vectors @ ((turned @ b[:, :, None]) / values[:, :, None])
     return (vectors * np.sqrt((m - 1) / values)[:, None, :]) @ turned + mean
 
 
 def packed_transforms(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """As ``transforms``, with the numbers of trans as bytes: matrices pass through the JVM as they are."""
+    """As ``transforms``, with the numbers of trans as bytes: matrices pass through the JVM as they are.
+
+    Where ``points`` have an inflation of their own, over 0, it replaces that of the settings.
+    """
     if not config.inflation > 0:
         raise ValueError("inflation is over 0")
-    inflation = config.inflation
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums arrive in the order of points: those of one point are added up, and some points are solved at once."""
-        names, counts, a, b = [], [], [], []
+        names, counts, a, b, inflation = [], [], [], [], []
 
         def done(n: int) -> pa.RecordBatch:
             m = len(b[0])
-            t = transforms_of(np.stack(a[:n]).reshape(n, m, m), np.stack(b[:n]), inflation)
+            t = transforms_of(np.stack(a[:n]).reshape(n, m, m), np.stack(b[:n]), np.array(inflation[:n]))
             out = pa.record_batch([pa.array(names[:n], pa.int64()), pa.array(counts[:n], pa.int64()), pa.array([x.tobytes() for x in t], pa.binary())], ["point", "n_obs", "trans"])
-            for column in (names, counts, a, b):
+            for column in (names, counts, a, b, inflation):
                 del column[:n]
             return out
 
         for batch in batches:
-            for point, count, part_a, part_b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for point, count, part_a, part_b, factor in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if names and names[-1] == point:
                     counts[-1] += count
                     a[-1] = a[-1] + np.frombuffer(part_a)
@@ -141,12 +145,18 @@ def packed_transforms(points: DataFrame, obs: DataFrame, config: FilterConfig =
                     continue
                 if len(names) == SOLVED_AT_ONCE:
                     yield done(len(names))
-                for column, x in zip((names, counts, a, b), (point, count, np.frombuffer(part_a), np.frombuffer(part_b))):
+                for column, x in zip((names, counts, a, b, inflation), (point, count, np.frombuffer(part_a), np.frombuffer(part_b), factor)):
                     column.append(x)
         if names:
             yield done(len(names))
 
-    return local_sums(points, obs, config).repartition("point").sortWithinPartitions("point").mapInArrow(solve, "point long, n_obs long, trans binary")
+    sums = local_sums(points, obs, config)
+    own = F.lit(float(config.inflation))
+    if "inflation" in points.columns:
+        sums = sums.join(points.select("point", F.col("inflation").cast("double").alias("_own")), "point")
+        own = F.when(F.col("_own") > 0, F.col("_own")).otherwise(own)
+    sums = sums.select("point", "n", "a", "b", own.alias("inflation"))
+    return sums.repartition("point").sortWithinPartitions("point").mapInArrow(solve, "point long, n_obs long, trans binary")
 
 
 def transforms(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
@@ -210,7 +220,7 @@ def analyse(state: DataFrame, trans: DataFrame | None, config: FilterConfig = Fi
 
 
 def finished(df: DataFrame, config: FilterConfig) -> DataFrame:
-    """Relaxation, additive inflation and physical limits on ``ana``, given the background ``ens`` and the draws ``addi``; no draws (null) add nothing."""
+    """Relaxation, additive inflation and physical limits on ``ana``, and layer thicknesses as they were unless they are to be updated, given the background ``ens`` and the draws ``addi``; no draws (null) add nothing."""
     if config.rtpp and config.rtps:
         raise ValueError("relax perturbations or spread, not both")
     wet = F.coalesce(F.col("kmt") >= 1, F.lit(True))
@@ -220,7 +230,16 @@ def finished(df: DataFrame, config: FilterConfig) -> DataFrame:
         df = df.withColumn("ana", F.when(wet, ensemble.rtps(F.col("ana"), F.col("ens"), config.rtps)).otherwise(F.col("ana")))
     if config.additive:
         df = df.withColumn("ana", F.when(wet & F.col("addi").isNotNull(), ensemble.additive(F.col("ana"), F.col("addi"), config.additive)).otherwise(F.col("ana")))
+    if not config.update_thickness:
+        df = df.withColumn("ana", F.when(F.col("var") == THICKNESS, F.col("ens")).otherwise(F.col("ana")))
     for var, (low, high) in config.physical_limits.items():
         held = F.transform("ana", lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high)))
         df = df.withColumn("ana", F.when((F.col("var") == var) & wet, held).otherwise(F.col("ana")))
     return df
+
+
+def inflation_field(points: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
+    """point and inflation as the next cycle reads it: what was used, and 0 on land (kmt < 1). The filter doesn't adapt it."""
+    own = F.col("inflation").cast("double") if "inflation" in points.columns else F.lit(None).cast("double")
+    used = F.when(own > 0, own).otherwise(F.lit(float(config.inflation)))
+    return points.select("point", F.when(F.col("kmt") < 1, 0.0).otherwise(used).alias("inflation"))

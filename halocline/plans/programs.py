@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import seawater
-from ..operators import diagnostics, interpolation, masks, matching, quality_control
+from ..operators import diagnostics, interpolation, masks, matching, quality_control, transform
+from ..schema import FilterConfig
 from ..sources import decoders
 from . import observation_operators as programs
 from . import tables as t
@@ -350,3 +350,15 @@ def zero_model_rejects(spark, d):
 SELECT i, j, round(least(value * 2.0::DOUBLE / top, 1.5::DOUBLE), 7) AS value FROM field, b""")
 def capped_variances(spark, d):
     return interpolation.scaled_and_capped(t.field(spark, d), (100.0, 250.0, -30.0, 30.0), 2.0, 1.5).select("i", "j", r("value", 7).alias("value"))
+
+
+@query(f"WITH {t.STATIONS} SELECT point, CASE WHEN kmt < 1 THEN 0.0 WHEN point % 3 = 0 THEN 1.2 ELSE 1.05 END::DOUBLE AS inflation FROM stations")
+def inflation_of_points(spark, d):
+    own = t.stations(spark, d).withColumn("inflation", F.when(F.col("point") % 3 == 0, 1.2).otherwise(-1.0))
+    return transform.inflation_field(own, FilterConfig(inflation=1.05))
+
+
+@query(f"WITH {t.OBS} SELECT CASE WHEN err - 1 <= 0 THEN true ELSE false END AS marked, count(*) AS n FROM obs GROUP BY 1")
+def dumped_observations(spark, d):
+    lines = diagnostics.dump(t.observations(spark, d).withColumn("err", F.col("err") - 1.0))
+    return lines.groupBy(F.col("line").endswith("bad_error").alias("marked")).agg(F.count("*").alias("n"))

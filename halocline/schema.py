@@ -78,4 +78,5 @@ class FilterConfig:
     additive: float = 0.0
     mixed_layer: bool = False
     block_basins: bool = False
+    update_thickness: bool = True
     physical_limits: dict[str, tuple[float, float]] = field(default_factory=lambda: dict(LIMITS))

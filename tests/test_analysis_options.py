@@ -44,3 +44,18 @@ def test_additive_draws(spark):
 
 def test_no_accepted_observation_leaves_the_ensemble(spark):
     np.testing.assert_array_equal(_run(spark, FilterConfig(inflation=1.5), dat=1e6), [ENS] * 3)
+
+
+def test_inflation_of_a_point_replaces_that_of_the_settings(spark):
+    obs = spark.createDataFrame([(1, 3073, 0.0, 0.0, 0.0, 0.5, 1.0, [1.0, -1.0])], "obs_id long, elem int, lon double, lat double, lev double, dep double, err double, pert array<double>")
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0, True, 1.5), (2, 0.0, 0.0, 0.0, True, -1.0)], "point long, lon double, lat double, lev double, upper boolean, inflation double")
+    got = {r.point: r.trans for r in transform.transforms(points, obs, FilterConfig(inflation=1.1)).collect()}
+    for point, factor in ((1, 1.5), (2, 1.1)):
+        alone = transform.transforms(points.drop("inflation").where(F.col("point") == point), obs, FilterConfig(inflation=factor)).first()
+        np.testing.assert_allclose(got[point], alone.trans)
+
+
+def test_layer_thickness_stays_when_it_is_not_updated(spark):
+    rows = spark.createDataFrame([("h", 5, [1.0, 2.0], [3.0, 4.0]), ("t", 5, [1.0, 2.0], [3.0, 4.0])], "var string, kmt int, ens array<double>, ana array<double>")
+    got = {r["var"]: r.ana for r in transform.finished(rows, FilterConfig(update_thickness=False)).collect()}
+    assert got == {"h": [1.0, 2.0], "t": [3.0, 4.0]}
