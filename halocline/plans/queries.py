@@ -475,7 +475,24 @@ def pressures(spark, d):
     return t.observations(spark, d).select("obs_id", r(seawater.pressure_from_depth(F.col("lev"), F.col("lat"))).alias("pressure"))
 
 
-@query()
+def _lapse_sql(temp: str, pressure: str) -> str:
+    """The lapse rate at a salinity of 35, where the terms of salinity vanish."""
+    poly = lambda c: " + ".join(f"({x!r})::DOUBLE * power({temp}, {k})" for k, x in enumerate(c))
+    return f"({poly((3.5803e-5, 8.5258e-6, -6.836e-8, 6.6228e-10))} + ({poly((1.8741e-8, -6.7795e-10, 8.733e-12, -5.4481e-14))} + ({poly((-4.6206e-13, 1.8676e-14, -2.1687e-16))}) * ({pressure})) * ({pressure}))"
+
+
+_ROOT = math.sqrt(0.5)
+
+
+@query(f"""WITH {t.OBS}, a AS (SELECT obs_id, dat % 30 AS t, 1 - (5.92e-3::DOUBLE + power(sin(abs(lat) * 3.141592654::DOUBLE / 180), 2) * 5.25e-3::DOUBLE) AS c, lev FROM obs),
+b AS (SELECT obs_id, t, (c - sqrt(c * c - 8.84e-6::DOUBLE * lev)) / 4.42e-6::DOUBLE AS p FROM a),
+k1 AS (SELECT *, -p AS h, -p * {_lapse_sql('t', 'p')} AS k FROM b),
+k2 AS (SELECT obs_id, p, h, t + 0.5::DOUBLE * k AS t, k AS q FROM k1),
+k3 AS (SELECT obs_id, p, h, t, q, h * {_lapse_sql('t', 'p + 0.5::DOUBLE * h')} AS k FROM k2),
+k4 AS (SELECT obs_id, p, h, t + {1 - _ROOT!r}::DOUBLE * (k - q) AS t, {2 - 2 * _ROOT!r}::DOUBLE * k + ({3 * _ROOT - 2!r})::DOUBLE * q AS q FROM k3),
+k5 AS (SELECT obs_id, p, h, t, q, h * {_lapse_sql('t', 'p + 0.5::DOUBLE * h')} AS k FROM k4),
+k6 AS (SELECT obs_id, p, h, t + {1 + _ROOT!r}::DOUBLE * (k - q) AS t, {2 + 2 * _ROOT!r}::DOUBLE * k - {3 * _ROOT + 2!r}::DOUBLE * q AS q FROM k5)
+SELECT obs_id, round(t + (h * {_lapse_sql('t', 'p + h')} - 2 * q) / 6, 6) AS theta FROM k6""")
 def potential_temperatures(spark, d):
     """Salinity 35, temperature from the value, pressure from the depth."""
     x = evaluated(t.observations(spark, d).select("obs_id", "dat", seawater.pressure_from_depth(F.col("lev"), F.col("lat")).alias("p")))
