@@ -29,13 +29,13 @@ def _grid(spark, d) -> DataFrame:
 def _state(spark, d) -> DataFrame:
     """t and s of every cell and level."""
     k = F.explode(F.sequence(F.lit(1), F.lit(5)))
-    return t.field(spark, d).select("i", "j", k.alias("k"), "value").select("i", "j", "k", (F.col("value") / 1000 - F.col("k")).alias("t"), (F.col("value") / 10000 + 34.0 + F.col("k") * 0.1).alias("s"))
+    return t.field(spark, d).select("i", "j", k.alias("k"), "value").select("i", "j", "k", (F.col("value") / 997 - F.col("k")).alias("t"), (F.col("value") / 7919 + 34.0 + F.col("k") * 0.1).alias("s"))
 
 
 _FIXTURE = f"""{t.OBS}, {t.FIELD},
 placed AS (SELECT obs_id, elem, lon, lat, lev, dat, err - 1 AS err, flags, slot, (lon - 5.0::DOUBLE) / 10 + 1 AS ri, (lat + 85.0::DOUBLE) / 10 + 1 AS rj, lev / 100 + 1 AS rk FROM obs),
 grd AS (SELECT i, j, lon, lat, kmt + CASE WHEN i % 5 > 0 THEN 2 ELSE 0 END AS kmt FROM field),
-state AS (SELECT i, j, k, value / 1000 - k AS t, value / 10000 + 34.0::DOUBLE + k * 0.1::DOUBLE AS s FROM field, range(1, 6) AS x(k))"""
+state AS (SELECT i, j, k, value / 997 - k AS t, value / 7919 + 34.0::DOUBLE + k * 0.1::DOUBLE AS s FROM field, range(1, 6) AS x(k))"""
 
 
 def _observed(source: str, field: str, three_d: bool, mask: int = 2, first: str = "", later: str = "", value: str = "value") -> str:
@@ -158,13 +158,13 @@ a AS (WITH {_observed('SELECT * FROM placed WHERE elem IN (3073, 5521)', 'f3 f O
 f2 AS (SELECT e AS elem, i, j, value + e AS value FROM field, (VALUES (5351), (5522), (5525)) AS v(e)),
 b AS (WITH {_observed('SELECT * FROM placed WHERE elem IN (5351, 5522, 5525)', 'f2 f ON q.i = f.i AND q.j = f.j AND q.elem = f.elem', False)} SELECT * FROM done),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
-SELECT elem, coalesce(reason, 'accepted') AS reason, count(*) AS n, round(sum(CASE WHEN reason IS NULL THEN hx END), 3) AS ohx FROM u GROUP BY 1, 2""")
+SELECT elem, coalesce(reason, 'accepted') AS reason, count(*) AS n, round(sum(CASE WHEN reason IS NULL THEN hx END), 5) AS ohx FROM u GROUP BY 1, 2""")
 def dispatched_operator(spark, d):
     s = _state(spark, d)
     deep = s.select(F.lit(3073).alias("elem"), "i", "j", "k", F.col("t").alias("value")).union(s.select(F.lit(5521), "i", "j", "k", "s"))
     flat = t.field(spark, d).withColumn("elem", F.explode(F.array(*map(F.lit, (5351, 5522, 5525))))).select("elem", "i", "j", (F.col("value") + F.col("elem")).alias("value"))
     x = programs.dispatched(_placed(spark, d), deep, flat, _grid(spark, d), _GRID)
-    return x.groupBy("elem", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), r(F.sum("ohx"), 3).alias("ohx"))
+    return x.groupBy("elem", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), r(F.sum("ohx"), 5).alias("ohx"))
 
 
 # ---- masks, matches, filters
@@ -243,10 +243,10 @@ d AS (SELECT profile, m, s, lag(s) OVER w AS s1, lag(s, 2) OVER w AS s2, lead(s)
 tg AS (SELECT profile, m, s, CASE WHEN abs(sn - s) + abs(s1 - s2) = 0 THEN 0 ELSE (abs(sn - s) * s1 + abs(s1 - s2) * s) / (abs(sn - s) + abs(s1 - s2)) END AS t FROM d),
 k AS (SELECT b.profile, b.x, b.y, tg.s, tg.t, lead(b.x) OVER w - b.x AS dx, lead(tg.t) OVER w AS t2 FROM big b JOIN tg ON b.profile = tg.profile AND b.m = tg.m WINDOW w AS (PARTITION BY b.profile ORDER BY b.m))
 SELECT profile, z, round(y + (z - x) * t + (z - x) * (z - x) * (3 * s - 2 * t - t2) / dx + (z - x) * (z - x) * (z - x) * (t + t2 - 2 * s) / dx / dx, 6) AS value
-FROM k, (VALUES (12.0::DOUBLE), (23.5::DOUBLE), (34.25::DOUBLE)) AS v(z) WHERE z >= x AND z < x + dx""")
+FROM k, (VALUES (12.142857::DOUBLE), (23.714286::DOUBLE), (34.285714::DOUBLE)) AS v(z) WHERE z >= x AND z < x + dx""")
 def akima_profiles(spark, d):
     p = t.profiles(spark, d).select("profile", F.col("depth").alias("x"), (F.col("level") * 3 % 7 + F.col("profile") % 5).cast("double").alias("y"))
-    z = p.select("profile").distinct().withColumn("z", F.explode(F.array(F.lit(12.0), F.lit(23.5), F.lit(34.25))))
+    z = p.select("profile").distinct().withColumn("z", F.explode(F.array(F.lit(12.142857), F.lit(23.714286), F.lit(34.285714))))
     return interpolation.akima(p, z, "profile").where("value is not null").select("profile", "z", r("value").alias("value"))
 
 
@@ -255,10 +255,10 @@ o AS (SELECT obs_id, (lon + 5) / 10 AS ri, (lat * 1.5::DOUBLE + 95) / 10 AS rj F
 q AS (SELECT obs_id, rj, (floor(ri)::INT + a + 35) % 36 + 1 AS i, floor(rj)::INT + b AS j, (CASE a WHEN 1 THEN ri - floor(ri) ELSE 1 - (ri - floor(ri)) END) * (CASE b WHEN 1 THEN rj - floor(rj) ELSE 1 - (rj - floor(rj)) END) AS w
   FROM o, (VALUES (0), (1)) AS v1(a), (VALUES (0), (1)) AS v2(b)),
 m AS (SELECT obs_id, max(rj) AS rj, CASE WHEN count(value) = count(*) THEN sum(w * value) END AS hx FROM q LEFT JOIN field f ON q.i = f.i AND q.j = f.j WHERE w > 0 GROUP BY obs_id)
-SELECT obs_id, round(CASE WHEN rj > 18 THEN (SELECT value FROM top) ELSE hx END, 5) AS value FROM m""")
+SELECT obs_id, round(CASE WHEN rj > 18 THEN (SELECT value FROM top) ELSE hx END, 7) AS value FROM m""")
 def regridded_with_polar_row(spark, d):
     o = t.observations(spark, d).select("obs_id", ((F.col("lon") + 5) / 10).alias("ri"), ((F.col("lat") * 1.5 + 95) / 10).alias("rj"))
-    return interpolation.bilinear_polar(o, t.field(spark, d), 36, 18).select("obs_id", r("hx", 5).alias("value"))
+    return interpolation.bilinear_polar(o, t.field(spark, d), 36, 18).select("obs_id", r("hx", 7).alias("value"))
 
 
 def filled_rasters(spark, d):
