@@ -223,7 +223,9 @@ SELECT obs_id, round((lon + 5) / 10, 6) AS ri, round((lat + 95) / 10, 6) AS rj F
 def curvilinear_indexes(spark, d):
     """On a regular grid the index of the curvilinear rule is that of the axes (no places on cell edges, where two cells are as near)."""
     o = t.observations(spark, d).where("lat between -84 and 84 and cast(lon * 10 as int) % 50 <> 0 and cast(lat * 10 as int) % 50 <> 0").select("obs_id", "lon", "lat")
-    x = matching.curvilinear_index(o, t.field(spark, d).select("i", "j", "lon", "lat"), 36, 1_500_000.0)
+    n = F.col("id")
+    grid = spark.range(648).select((n % 36 + 1).cast("int").alias("i"), (F.floor(n / 36) + 1).cast("int").alias("j"), (n % 36 * 10.0 + 5.0).alias("lon"), (F.floor(n / 36) * 10.0 - 85.0).alias("lat"))
+    x = matching.curvilinear_index(o, grid, 36, 1_500_000.0)
     # The same longitude has two names: 0.5 and 36.5.
     return x.select("obs_id", r(F.when(F.col("lon") < 5, F.when(F.col("ri") > 36, F.col("ri") - 36).otherwise(F.col("ri"))).otherwise(F.col("ri"))).alias("ri"), r("rj").alias("rj"))
 
