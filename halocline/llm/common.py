@@ -77,9 +77,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def id_crc32(column: Column) -> Column:
+    """crc32 of the id written as text, unsigned; a null id counts as empty text."""
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
+
+
 def remainder(column: Column, modulus: int) -> Column:
-    """crc32 of the id written as text, modulo ``modulus``; a null id counts as empty text."""
-    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
+    """id_crc32 modulo ``modulus``."""
+    return id_crc32(column) % F.lit(modulus)
 
 
 def same_document(a: DataFrame, b: DataFrame) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, licenses, line_dedup, lm_score, pieces, quality, simhash, substring_dedup
-from .common import read, remainder
+from . import decontaminate, html_text, language_id, licenses, line_dedup, lm_score, periodic_runs, pieces, quality, simhash, substring_dedup
+from .common import id_crc32, read, remainder
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(read(spark, sf_dir, "documents")).drop("cleaned", "lost_share")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document; a tenth of the documents repeat a stretch of theirs up to the end."""
+    docs = read(spark, sf_dir, "documents")
+    h = id_crc32(F.col("doc_id"))
+    g = F.floor(h / 10)
+
+    def place(n: Column) -> tuple[Column, Column]:
+        return g % n, F.lit(1) + F.floor((n - g % n) / (3 + g % 8))
+
+    text = periodic_runs.with_repeats(F.col("text"), h % 10 == 0, place)
+    out = periodic_runs.runs_of(docs.select("doc_id", text.alias("text")), digests=True)
+    return out.select(
+        "_row.doc_id",
+        "n_runs",
+        "start",
+        "length",
+        "period",
+        F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.col("runs").alias("runs_sha256"),
+        F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_lm_score": op2_lm_score,
@@ -80,6 +103,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: The default QualityRules of op10, for its SQL.
