@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import WORD_SPLIT, Rolling, bounded_batches, byte_list, packed, word_spans
 
@@ -270,7 +271,7 @@ def find_runs(words: np.ndarray, first: np.ndarray, least: int = 12) -> Runs:
     return Runs(text[order], start[order] - first[text[order]], length[order], period[order])
 
 
-_SCHEMA = "n_words long, n_runs long, start long, length long, period long, runs string, collapsed string"
+_FOUND = [*(StructField(x, LongType()) for x in ("n_words", "n_runs", "start", "length", "period")), StructField("runs", StringType()), StructField("collapsed", StringType())]
 
 
 def _collapsed(text: bytes, start: np.ndarray, length: np.ndarray, period: np.ndarray) -> bytes:
@@ -313,10 +314,10 @@ def runs_of(docs: DataFrame, text: Column | str = "text", least: int = 12, diges
                 listed.append(sha256(line.encode()).hexdigest() if digests else line)
                 kept.append(sha256(short).hexdigest().encode() if digests else short)
             columns = [*(pa.array(x, pa.int64()) for x in rows), pa.array(listed, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.record_batch([batch.column("_row"), *columns], ["_row", *(x.split()[0] for x in _SCHEMA.split(", "))])
+            yield pa.record_batch([batch.column("_row"), *columns], ["_row", *(f.name for f in _FOUND)])
 
     own = packed(docs, F.coalesce(text, F.lit("")).alias("_text"))
-    return own.mapInArrow(run, f"_row {own.schema['_row'].dataType.simpleString()}, {_SCHEMA}")
+    return own.mapInArrow(run, StructType([own.schema["_row"], *_FOUND]))
 
 
 def with_repeats(text: Column, chosen: Column, place: Callable[[Column], tuple[Column, Column]]) -> Column:
