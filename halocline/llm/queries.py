@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, licenses, line_dedup, lm_score, periodic_runs, pieces, quality, simhash, substring_dedup
+from . import decontaminate, html_text, language_id, licenses, line_dedup, lm_score, merkle, periodic_runs, pieces, quality, simhash, substring_dedup, toxicity
 from .common import id_crc32, read, remainder
 
 
@@ -69,6 +69,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(read(spark, sf_dir, "documents")).drop("cleaned", "lost_share")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = remainder(F.col("doc_id"), 4)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), fold != 2)
+    out = toxicity.score(docs.withColumn("held_out", fold == 2), model, threshold=0.3)
+    return out.select("_row.doc_id", "_row.held_out", "score", "predicted")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and whether the manifest notices that a third of the documents were lower-cased."""
+    docs = read(spark, sf_dir, "documents")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    leaf = lambda text: merkle.digest(*[docs[c] for c in ("doc_id", "source", "lang", "n_chars")], text)
+    tampered = F.when(remainder(docs["doc_id"], 3) == 0, leaf(F.translate(docs["text"], capitals, capitals.lower())))
+    rows = docs.select("doc_id", "lang", leaf(docs["text"]).alias("own"), tampered.alias("tampered"))
+    out = merkle.manifest(rows, F.col("lang"), F.col("doc_id"), F.col("own"))
+    out = out.select("_row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(F.coalesce("_row.tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document; a tenth of the documents repeat a stretch of theirs up to the end."""
     docs = read(spark, sf_dir, "documents")
@@ -103,6 +123,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_toxicity": op11_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -112,7 +134,36 @@ _BARS = " + ".join(f"(length(line) - length(replace(line, '{x}', ''))) / {len(x)
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+#: crc32 of a text in DuckDB: the table of its bytes, then a step for each byte.
+_CRC_TABLE = "(SELECT list(list_reduce([i] || range(8), lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY i) FROM range(256) r(i))"
+_CRC32 = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a >> 8, crc.bytes[xor(a & 255, b) + 1])), 4294967295)"
+_TRANSLATED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
 ORACLE_SQL = {
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS bytes),
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("text")} AS leaf, CASE WHEN {_CRC32.format(text="doc_id::VARCHAR")} % 3 = 0 THEN {_leaf(_TRANSLATED)} ELSE {_leaf("text")} END AS other FROM documents, crc),
+e AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+nodes AS (SELECT tree, 0 AS level, i, leaf AS h, n FROM e UNION ALL
+          SELECT tree, level + 1, i // {merkle.ARITY}, sha256(string_agg(h, '' ORDER BY i)), (n + {merkle.ARITY - 1}) // {merkle.ARITY} FROM nodes WHERE n > 1 GROUP BY tree, level, n, i // {merkle.ARITY}),
+subroots AS (SELECT tree, h AS subroot, level AS height, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, i, subroot AS h, n FROM subroots UNION ALL
+         SELECT level + 1, i // {merkle.ARITY}, sha256(string_agg(h, '' ORDER BY i)), (n + {merkle.ARITY - 1}) // {merkle.ARITY} FROM tops WHERE n > 1 GROUP BY level, n, i // {merkle.ARITY}),
+every AS (SELECT tree, level, i, h, n FROM nodes UNION ALL SELECT '*', level, i, h, n FROM tops),
+sides AS (SELECT tree, level, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+          FROM every WHERE n > 1 WINDOW w AS (PARTITION BY tree, level, i // {merkle.ARITY} ORDER BY i)),
+steps AS (SELECT e.tree, e.i, s.level, s.l, s.r FROM e JOIN sides s ON s.tree = e.tree AND s.i = e.i // ({merkle.ARITY} ** s.level)::BIGINT
+          UNION ALL SELECT e.tree, e.i, t.height + s.level, s.l, s.r FROM e JOIN subroots t ON e.tree = t.tree JOIN sides s ON s.tree = '*' AND s.i = t.i // ({merkle.ARITY} ** s.level)::BIGINT),
+paths AS (SELECT tree, i, list(l || '|' || r ORDER BY level) AS path FROM steps GROUP BY tree, i),
+f AS (SELECT e.doc_id, e.leaf, t.subroot, (SELECT h FROM tops WHERE n = 1) AS root, coalesce(path, []) AS path, other FROM e JOIN subroots t ON e.tree = t.tree LEFT JOIN paths p ON p.tree = e.tree AND p.i = e.i),
+g AS (SELECT *, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, list_reduce([other] || path, lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root FROM f)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM g
+""",
     "op6_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
