@@ -66,6 +66,10 @@ KINDS = (0, 4, 5, 6)
 STRENGTHS = (40.0, 8.0, 3.0)
 MOST_TOXIC, MOST_CLEAN = 3072, 1024
 LEAST_TEXTS = 3
+#: Standard errors between the shares of a feature in toxic and clean texts: there are up to millions of features to choose from.
+LEAST_Z = 5.0
+#: What a text without a label counts in the first round, when there are labels to start from.
+FIRST_SHARE = 0.02
 
 _HASH = Rolling(11)
 _SALT = {k: mixed(np.array([k + 1], dtype=np.uint64))[0] for k in KINDS}
@@ -276,8 +280,8 @@ def maximised(pairs: np.ndarray, total: np.ndarray, labels: np.ndarray) -> Label
     return LabelModel(float(np.clip((total[1] + 1) / (total.sum() + 10), 1e-4, 0.5)), float(np.clip(agreed, 0.9, 0.999)), parent, np.clip(rate, 1e-4, 1 - 1e-4))
 
 
-def _expected(model: LabelModel | None):
-    """Rows (cell, value) that add up to the expected counts: pairs, totals, labels by y."""
+def _expected(model: LabelModel | None, share: float):
+    """Rows (cell, value) that add up to the expected counts: pairs, totals, labels by y. A text without a label counts ``share``."""
     k = len(VOTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +289,7 @@ def _expected(model: LabelModel | None):
         for batch in batches:
             votes, label, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("votes", "label", "n"))
             toxic = model.posterior(votes, label) if model else first_posterior(votes, label)
+            n = np.where(label < 0, share * n, n)
             fired = unpack(votes).astype(float)
             for y, r in enumerate((n * (1 - toxic), n * toxic)):
                 sums[y * k * k : (y + 1) * k * k] += (fired.T @ (fired * r[:, None])).reshape(-1)
@@ -300,10 +305,11 @@ def _expected(model: LabelModel | None):
 def fit_labels(votes: DataFrame, rounds: int = 5) -> tuple[LabelModel, np.ndarray]:
     """The label model of ``votes`` (votes, label: -1 for none, n), and the pairs of its last round."""
     k, model = len(VOTERS), None
+    labelled = votes.where("label >= 0").select("label").distinct().count() == 2
     pairs = np.zeros((2, k, k))
-    for _ in range(rounds):
+    for turn in range(rounds):
         sums = np.zeros(2 * k * k + 6)
-        for r in votes.mapInArrow(_expected(model), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
+        for r in votes.mapInArrow(_expected(model, FIRST_SHARE if labelled and not turn else 1.0), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
             sums[r.cell] = r.value
         pairs = sums[: 2 * k * k].reshape(2, k, k)
         model = maximised(pairs, sums[2 * k * k : 2 * k * k + 2], sums[2 * k * k + 2 :].reshape(2, 2))
@@ -431,8 +437,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_cla
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)) + 1e-12)
     odds = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
     counts = materialise(counts.where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).select("feature", "kind", "toxic", z.alias("z"), odds.alias("odds")), "toxicity-counts")
-    toxic = counts.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("odds") >= STRENGTHS[-1]) & (F.col("z") >= 3)).orderBy(F.desc("z"), "feature").limit(MOST_TOXIC)
-    clean = counts.where(F.col("z") <= -3).orderBy("z", "feature").limit(MOST_CLEAN)
+    toxic = counts.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("odds") >= STRENGTHS[-1]) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "feature").limit(MOST_TOXIC)
+    clean = counts.where(F.col("z") <= -LEAST_Z).orderBy("z", "feature").limit(MOST_CLEAN)
     known = chosen_features([(r.feature & (1 << 64) - 1, r.kind, r.odds) for r in toxic.union(clean).collect()])
 
     votes = docs.mapInArrow(_voted(known), "doc_id long, votes long").groupBy("doc_id", "votes").agg(F.count("*").alias("n"))
