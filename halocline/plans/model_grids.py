@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import layers
+from ..operators import curvilinear, layers
+from ..schema import EARTH_RADIUS, PI
 from . import tables as t
 from .registry import query, r
 
@@ -70,3 +71,77 @@ ed AS (SELECT part, j, CASE WHEN n < 3 OR j = 1 OR j = n OR (a - a0) * (a2 - a)
 c AS (SELECT num.*, t AS c0, u - t AS c1, 6 * a - 3 * (t + u) AS c2 FROM num JOIN ed ON num.part = ed.part AND num.j = ed.j), {_OUT}""")
 def layers_by_parabolic_profiles(spark, d):
     return _reconstructed(spark, d, "parabolic")
+
+
+# ---- curvilinear grids: 36 x 18 nodes on a sheared grid across the date line, so that indexes have a closed form
+
+_SHEAR = (300.317, 6.13, -1.57, -50.211, 0.83, 4.07)
+
+
+def _sheared(spark, d) -> DataFrame:
+    x0, xi, xj, y0, yi, yj = _SHEAR
+    n = F.col("o_orderkey") % 648
+    nodes = t.read(spark, d, "orders").select((n % 36).cast("int").alias("i"), F.floor(n / 36).cast("int").alias("j")).distinct()
+    i, j = F.col("i"), F.col("j")
+    return nodes.select((i + 1).alias("i"), (j + 1).alias("j"), F.pmod(x0 + xi * i + xj * j, F.lit(360.0)).alias("lon"), (y0 + yi * i + yj * j).alias("lat"))
+
+
+def _sheared_index(extra: str = "") -> str:
+    """CTEs up to ``ix`` (obs_id, lon, lat, a, b: indexes from 0, null outside of the grid)."""
+    x0, xi, xj, y0, yi, yj = _SHEAR
+    det = f"({xi}::DOUBLE * {yj} - {xj}::DOUBLE * {yi})"
+    return f"""{t.OBS}, dx AS (SELECT obs_id, lon, lat, lat - {y0}::DOUBLE AS v, lon - {x0}::DOUBLE + 360 * k AS u FROM obs, (VALUES (0), (1)) AS turns(k)),
+ab AS (SELECT *, (u * {yj}::DOUBLE - v * {xj}::DOUBLE) / {det} AS a, (v * {xi}::DOUBLE - u * {yi}::DOUBLE) / {det} AS b FROM dx),
+hit AS (SELECT * FROM ab WHERE a >= 0 AND a <= 35 AND b >= 0 AND b <= 17),
+ix AS (SELECT o.obs_id, hit.lon, hit.lat, a, b FROM obs o LEFT JOIN hit ON o.obs_id = hit.obs_id)"""
+
+
+@query(f"WITH {_sheared_index()} SELECT obs_id, round(a + 1, 6) AS ri, round(b + 1, 6) AS rj FROM ix")
+def quadrilateral_indexes(spark, d):
+    """Indexes of all observations by inverting the bilinear mapping of the cell that holds them."""
+    o = t.observations(spark, d).select("obs_id", "lon", "lat")
+    return curvilinear.quadrilateral_index(o, _sheared(spark, d), 36, 18, periodic=False, step=5.0).select("obs_id", r("ri").alias("ri"), r("rj").alias("rj"))
+
+
+_PI180 = f"({PI}::DOUBLE / 180)"
+
+
+@query(f"""WITH {_sheared_index()}, c AS (SELECT obs_id, lon, lat, floor(a) AS i, floor(b) AS j, p, q FROM ix, (VALUES (0), (1)) AS x(p), (VALUES (0), (1)) AS y(q) WHERE a IS NOT NULL),
+g AS (SELECT *, {_SHEAR[0]}::DOUBLE + {_SHEAR[1]}::DOUBLE * (i + p) + {_SHEAR[2]}::DOUBLE * (j + q) AS glon, {_SHEAR[3]}::DOUBLE + {_SHEAR[4]}::DOUBLE * (i + p) + {_SHEAR[5]}::DOUBLE * (j + q) AS glat FROM c),
+w AS (SELECT *, 1 / pow(acos(least(1, sin(lat * {_PI180}) * sin(glat * {_PI180}) + cos(lat * {_PI180}) * cos(glat * {_PI180}) * cos((glon - lon) * {_PI180}))), 2) AS w FROM g),
+m AS (SELECT obs_id, 1 + sum(w * (i + p)) / sum(w) AS ri, 1 + sum(w * (j + q)) / sum(w) AS rj FROM w GROUP BY obs_id)
+SELECT ix.obs_id, round(ri, 5) AS ri, round(rj, 5) AS rj FROM ix LEFT JOIN m ON ix.obs_id = m.obs_id""")
+def quadrilateral_indexes_by_distance(spark, d):
+    """Indexes of all observations as means over the corners of their cell by inverse squares of distances."""
+    o = t.observations(spark, d).select("obs_id", "lon", "lat")
+    out = curvilinear.quadrilateral_index(o, _sheared(spark, d), 36, 18, periodic=False, weights="distance", step=5.0)
+    return out.select("obs_id", r("ri", 5).alias("ri"), r("rj", 5).alias("rj"))
+
+
+@query(f"""WITH {t.OBS}, {t.FIELD}, node AS (SELECT i, j, ((lon * 1.7::DOUBLE + lat * 0.31::DOUBLE) % 360 + 360) % 360 AS lon, lat * 0.9::DOUBLE + i * 0.37::DOUBLE AS lat FROM field),
+o AS (SELECT obs_id, lon, lat FROM (SELECT min(obs_id) AS obs_id, lon, lat FROM obs GROUP BY lon, lat)),
+d AS (SELECT obs_id, i, j, acos(least(1, greatest(-1, sin(o.lat * {_PI180}) * sin(n.lat * {_PI180}) + cos(o.lat * {_PI180}) * cos(n.lat * {_PI180}) * cos((n.lon - o.lon) * {_PI180})))) * {EARTH_RADIUS}::DOUBLE AS dist FROM o, node n),
+k AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY dist, (j - 1) * 36 + i) AS rank FROM d WHERE dist <= 2000000),
+f AS (SELECT *, first_value(i) OVER (PARTITION BY obs_id ORDER BY rank) AS i0, count(*) OVER (PARTITION BY obs_id) AS n FROM k WHERE rank <= 4),
+m AS (SELECT obs_id, max(i0) + sum((((i - i0 + 18) % 36 + 36) % 36 - 18) / dist / dist) / sum(1 / dist / dist) AS ri, sum(j / dist / dist) / sum(1 / dist / dist) AS rj FROM f WHERE n = 4 GROUP BY obs_id)
+SELECT o.obs_id, round(ri, 4) AS ri, round(rj, 4) AS rj FROM o LEFT JOIN m ON o.obs_id = m.obs_id""")
+def nearest_four_indexes(spark, d):
+    """Indexes of all places of observations as means over the four nearest nodes of a twisted grid."""
+    f = t.field(spark, d)
+    grid = f.select("i", "j", F.pmod(F.col("lon") * 1.7 + F.col("lat") * 0.31, F.lit(360.0)).alias("lon"), (F.col("lat") * 0.9 + F.col("i") * 0.37).alias("lat"))
+    o = t.observations(spark, d).groupBy("lon", "lat").agg(F.min("obs_id").alias("obs_id"))
+    return curvilinear.nearest_four_index(o, grid, 36).select("obs_id", r("ri", 4).alias("ri"), r("rj", 4).alias("rj"))
+
+
+@query(f"""WITH {t.FIELD}, {t.STATIONS}, top AS (SELECT avg(value) AS value FROM field WHERE j = 18),
+node AS (SELECT ij AS cell, (lon * 1.30713::DOUBLE + lat * 0.21377::DOUBLE + 720) % 360 AS lon, lat * 1.05139::DOUBLE AS lat FROM field),
+o AS (SELECT cell, (lon - 5 + 360) % 360 / 10 + 1 AS ri, (lat + 85) / 10 + 1 AS rj FROM node),
+q AS (SELECT cell, (floor(ri)::INT + a + 35) % 36 + 1 AS i, floor(rj)::INT + b AS j, (CASE a WHEN 1 THEN ri - floor(ri) ELSE 1 - (ri - floor(ri)) END) * (CASE b WHEN 1 THEN rj - floor(rj) ELSE 1 - (rj - floor(rj)) END) AS w
+  FROM o, (VALUES (0), (1)) AS v1(a), (VALUES (0), (1)) AS v2(b) WHERE rj >= 1),
+m AS (SELECT cell, CASE WHEN count(value) = count(*) THEN sum(w * value) END AS hx FROM q LEFT JOIN field f ON q.i = f.i AND q.j = f.j WHERE w > 0 GROUP BY cell)
+SELECT o.cell, round(CASE WHEN rj > 18 THEN (SELECT value FROM top) ELSE hx END, 6) AS hx FROM o LEFT JOIN m ON o.cell = m.cell""")
+def regridded_to_curvilinear(spark, d):
+    """A field of a regular grid at the nodes of a curvilinear one that goes beyond its first and last rows."""
+    f = t.field(spark, d)
+    nodes = f.select(F.col("ij").alias("cell"), F.pmod(F.col("lon") * 1.30713 + F.col("lat") * 0.21377, F.lit(360.0)).alias("lon"), (F.col("lat") * 1.05139).alias("lat"))
+    return curvilinear.to_curvilinear(f, nodes, 5.0, 10.0, 36, -85.0, 10.0, 18).select("cell", r("hx").alias("hx"))
