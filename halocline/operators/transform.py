@@ -6,8 +6,10 @@ cubes of space are cut into blocks of bounded numbers of observations and of
 points, each block pair adds up its sums in numpy, and the sums of a point are
 added up as a stream before its eigenproblem is solved.
 
-One transform serves all variables and levels of a point; with a mixed layer a
-column has two points, and surface observations count for the upper one only.
+One transform serves all levels of a point and all variables of a group: variables
+whose weights of observation types are equal. Distances are found once for all
+groups. With a mixed layer a column has two points, and surface observations count
+for the upper one only.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ LEVELLED = ("sst", "sss", "u", "v", "t", "s")
 THICKNESS = "h"
 #: Levels of a point that are transformed together, and points that are solved together.
 LEVELS_AT_ONCE, SOLVED_AT_ONCE = 64, 64
-_SUMS = "point long, n long, a binary, b binary"
+#: Variables take no part in types of a lesser weight.
+LEAST_WEIGHT = 1e-30
+_SUMS = "point long, grp int, n long, a binary, b binary"
 _KEY = ["c", "o", "g"]
 
 
@@ -42,9 +46,11 @@ def _xyz(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
 
 
 def _block_sums(config: FilterConfig):
+    groups = [{OBS_TYPES[name]: w for name, w in row.items()} for row in config.variable_groups()[1]]
+
     def run(obs: pa.Table, points: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        out: list[list] = [[], [], [], [], []]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         if obs.num_rows and points.num_rows:
             take = lambda t, c: t.column(c).to_numpy().astype(np.float64)
             where = _xyz(take(obs, "lon"), take(obs, "lat"))
@@ -59,6 +65,7 @@ def _block_sums(config: FilterConfig):
             lat, lev = take(points, "lat"), take(points, "lev")
             own_basin, basin = obs.column("basin").to_numpy(), points.column("basin").to_numpy()
             upper = points.column("upper").to_numpy(zero_copy_only=False).astype(bool)
+            weights = [np.array([row.get(e, 1.0) for e in elem.tolist()]) for row in groups]
             for i, name in enumerate(points.column("point").to_pylist()):
                 sigma = (1.0 - abs(lat[i]) / 90.0) * (config.sigma_equator - config.sigma_pole) + config.sigma_pole
                 dist = np.sqrt(((where - at[i]) ** 2).sum(axis=1))
@@ -74,18 +81,22 @@ def _block_sums(config: FilterConfig):
                     use &= own_basin * basin[i] != 2
                 if not upper[i]:
                     use &= ~surface
-                k = np.flatnonzero(use)
-                if len(k):
-                    c = y[k] * (np.exp(-0.5 * squares[k]) / err[k] ** 2)[:, None]
-                    for column, x in zip(out, (name, len(k), (c.T @ y[k]).tobytes(), (c.T @ dep[k]).tobytes())):
-                        column.append(x)
-        return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], ["point", "n", "a", "b"])
+                near = np.flatnonzero(use)
+                decayed = np.exp(-0.5 * squares[near]) / err[near] ** 2
+                for group, weight in enumerate(weights):
+                    own = weight[near] >= LEAST_WEIGHT
+                    k = near[own]
+                    if len(k):
+                        c = y[k] * (decayed[own] * weight[k])[:, None]
+                        for column, x in zip(out, (name, group, len(k), (c.T @ y[k]).tobytes(), (c.T @ dep[k]).tobytes())):
+                            column.append(x)
+        return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], ["point", "grp", "n", "a", "b"])
 
     return run
 
 
 def local_sums(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """point, n, a, b: parts of each point's sums, one for each block of observations that has any within reach.
+    """point, grp, n, a, b: parts of the sums of each point and group of variables, one for each block of observations that has any within reach.
 
     ``points``: point, lon, lat, lev, upper. ``obs``: obs_id, elem, lon, lat, lev,
     dep, err, pert; rows with a null in these or err <= 0 are left out.
@@ -126,26 +137,26 @@ def packed_transforms(points: DataFrame, obs: DataFrame, config: FilterConfig =
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums arrive in the order of points: those of one point are added up, and some points are solved at once."""
-        names, counts, a, b, inflation = [], [], [], [], []
+        names, groups, counts, a, b, inflation = [], [], [], [], [], []
 
         def done(n: int) -> pa.RecordBatch:
             m = len(b[0])
             t = transforms_of(np.stack(a[:n]).reshape(n, m, m), np.stack(b[:n]), np.array(inflation[:n]))
-            out = pa.record_batch([pa.array(names[:n], pa.int64()), pa.array(counts[:n], pa.int64()), pa.array([x.tobytes() for x in t], pa.binary())], ["point", "n_obs", "trans"])
-            for column in (names, counts, a, b, inflation):
+            out = pa.record_batch([pa.array(names[:n], pa.int64()), pa.array(groups[:n], pa.int32()), pa.array(counts[:n], pa.int64()), pa.array([x.tobytes() for x in t], pa.binary())], ["point", "grp", "n_obs", "trans"])
+            for column in (names, groups, counts, a, b, inflation):
                 del column[:n]
             return out
 
         for batch in batches:
-            for point, count, part_a, part_b, factor in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if names and names[-1] == point:
+            for point, group, count, part_a, part_b, factor in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if names and (names[-1], groups[-1]) == (point, group):
                     counts[-1] += count
                     a[-1] = a[-1] + np.frombuffer(part_a)
                     b[-1] = b[-1] + np.frombuffer(part_b)
                     continue
                 if len(names) == SOLVED_AT_ONCE:
                     yield done(len(names))
-                for column, x in zip((names, counts, a, b, inflation), (point, count, np.frombuffer(part_a), np.frombuffer(part_b), factor)):
+                for column, x in zip((names, groups, counts, a, b, inflation), (point, group, count, np.frombuffer(part_a), np.frombuffer(part_b), factor)):
                     column.append(x)
         if names:
             yield done(len(names))
@@ -155,23 +166,23 @@ def packed_transforms(points: DataFrame, obs: DataFrame, config: FilterConfig =
     if "inflation" in points.columns:
         sums = sums.join(points.select("point", F.col("inflation").cast("double").alias("_own")), "point")
         own = F.when(F.col("_own") > 0, F.col("_own")).otherwise(own)
-    sums = sums.select("point", "n", "a", "b", own.alias("inflation"))
-    return sums.repartition("point").sortWithinPartitions("point").mapInArrow(solve, "point long, n_obs long, trans binary")
+    sums = sums.select("point", "grp", "n", "a", "b", own.alias("inflation"))
+    return sums.repartition("point", "grp").sortWithinPartitions("point", "grp").mapInArrow(solve, "point long, grp int, n_obs long, trans binary")
 
 
 def transforms(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """point, n_obs and trans (members x members, row by row) of every point that has an observation in reach."""
+    """point, grp, n_obs and trans (members x members, row by row) of every point and group of variables that has an observation in reach."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [np.frombuffer(x) for x in batch.column("trans").to_pylist()]
-            yield pa.record_batch([batch.column("point"), batch.column("n_obs"), pa.array(rows, pa.list_(pa.float64()))], ["point", "n_obs", "trans"])
+            yield pa.record_batch([*(batch.column(c) for c in ("point", "grp", "n_obs")), pa.array(rows, pa.list_(pa.float64()))], ["point", "grp", "n_obs", "trans"])
 
-    return packed_transforms(points, obs, config).mapInArrow(unpack, "point long, n_obs long, trans array<double>")
+    return packed_transforms(points, obs, config).mapInArrow(unpack, "point long, grp int, n_obs long, trans array<double>")
 
 
 def analyse(state: DataFrame, trans: DataFrame | None, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """``state`` (point, k, var, kmt, ens) with ana: the ensemble times its point's transform.
+    """``state`` (point, k, var, kmt, ens) with ana: the ensemble times the transform of its point and its variable's group.
 
     ``trans`` is of ``transforms`` or ``packed_transforms``. A point without
     observations gets sqrt(inflation) times its perturbations; if there is no
@@ -189,8 +200,10 @@ def analyse(state: DataFrame, trans: DataFrame | None, config: FilterConfig = Fi
     addi = (F.col("addi") if config.additive else F.lit(None)).cast("array<double>").alias("addi")
     layer = F.floor(F.col("k") / LEVELS_AT_ONCE).alias("_layer")
     fields = [F.col("k").cast("int").alias("k"), F.col("var"), F.col("kmt").cast("int").alias("kmt"), F.col("ens").cast("array<double>").alias("ens"), addi]
-    rows = state.groupBy(F.col("point").cast("long").alias("point"), layer).agg(F.collect_list(F.struct(*fields)).alias("rows"))
-    joined = rows.join(trans.select("point", "trans"), "point", "left")
+    of = [F.lit(x) for pair in config.variable_groups()[0].items() for x in pair]
+    group = F.coalesce(F.create_map(*of)[F.col("var")], F.lit(0)) if of else F.lit(0)
+    rows = state.groupBy(F.col("point").cast("long").alias("point"), group.alias("grp"), layer).agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    joined = rows.join(trans.select("point", "grp", "trans"), ["point", "grp"], "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -336,6 +336,21 @@ def analysis_without_observations(spark, d):
     return _single(spark, d, True)
 
 
+#: Salinity and the current take a quarter of what temperatures say and nothing of sea level; they share a transform.
+_GROUPED = FilterConfig(sigma_equator=1000.0, sigma_pole=1000.0, inflation=1.1, physical_limits={}, variable_weights={"s": {"t": 0.25, "eta": 0.0}, "u": {"eta": 0.0, "t": 0.25, "s": 1.0}})
+
+
+@query(f"""{_SINGLE}, g AS (SELECT y.obs_id, var, m, dep, a, hh, pp, ph, c * CASE WHEN var <> 't' AND elem = 3073 THEN 0.25::DOUBLE WHEN var <> 't' AND elem = 5351 THEN 0 ELSE 1 END AS c FROM y JOIN ens ON y.obs_id = ens.obs_id, (VALUES ('t'), ('s'), ('u')) AS v(var))
+SELECT obs_id AS point, var, round(m + c * dep * ph / (a + c * hh), 5) AS mean, round(sqrt(1.1::DOUBLE * (pp - (1 - a / (a + c * hh)) * ph * ph / hh) / 63), 5) AS spread FROM g""")
+def analysis_of_variable_groups(spark, d):
+    e = t.ensemble_observations(spark, d)
+    obs = e.select("obs_id", "elem", "lon", "lat", "lev", "err", (F.col("dat") - ensemble.mean(F.col("hx"))).alias("dep"), ensemble.perturbations(F.col("hx")).alias("pert"))
+    points = e.select(F.col("obs_id").alias("point"), "lon", "lat", "lev", F.lit(True).alias("upper"))
+    state = e.select(F.col("obs_id").alias("point"), F.lit(1).alias("k"), F.explode(F.array(*map(F.lit, "tsu"))).alias("var"), F.lit(3).alias("kmt"), F.reverse("hx").alias("ens"))
+    out = whole.statistics(transform.analyse(state, transform.packed_transforms(points, obs, _GROUPED), _GROUPED))
+    return out.select("point", "var", r("mean", 5).alias("mean"), r("spread", 5).alias("spread"))
+
+
 @query()
 def analysis(spark, d):
     """Points from nations, two levels and two variables; 64 members from the embeddings' columns; all observations."""

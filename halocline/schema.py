@@ -79,4 +79,19 @@ class FilterConfig:
     mixed_layer: bool = False
     block_basins: bool = False
     update_thickness: bool = True
+    #: Weights of observation types (names of OBS_TYPES, 1 where it has none) for variables; variables with equal weights share a transform.
+    variable_weights: dict[str, dict[str, float]] = field(default_factory=dict)
     physical_limits: dict[str, tuple[float, float]] = field(default_factory=lambda: dict(LIMITS))
+
+    def variable_groups(self) -> tuple[dict[str, int], list[dict[str, float]]]:
+        """The group of each variable that has weights, and the weights of each group; all other variables are in group 0, whose weights are 1."""
+        groups: list[dict[str, float]] = [{}]
+        of = {}
+        for var, weights in self.variable_weights.items():
+            if unknown := set(weights) - set(OBS_TYPES):
+                raise ValueError(f"no types of observations: {sorted(unknown)}")
+            row = {name: float(w) for name, w in sorted(weights.items()) if w != 1.0}
+            if row not in groups:
+                groups.append(row)
+            of[var] = groups.index(row)
+        return of, groups
