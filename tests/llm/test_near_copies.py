@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from halocline.llm import near_copies, simhash
@@ -61,6 +62,65 @@ def test_large_group_around_one_text(spark):
     assert stay == {0, 900}
 
 
+def _groups(sets, least=0.8):
+    """Least index that each set reaches by links, by brute force."""
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= least:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_links_join_what_brute_force_joins(across):
+    for turn in range(12):
+        sets = []
+        for _ in range(int(RNG.integers(1, 6))):
+            base = RNG.integers(0, 1 << 40, int(RNG.integers(4, 120)), dtype=np.uint64)
+            for _ in range(int(RNG.integers(1, 30))):
+                own = base.copy()
+                k = RNG.choice(len(own), int(RNG.integers(0, max(1, len(own) // 8) + 1)), replace=False)
+                own[k] = RNG.integers(0, 1 << 40, len(k), dtype=np.uint64)
+                sets.append(np.unique(own))
+        sets = [sets[k] for k in RNG.permutation(len(sets))]
+        n = len(sets)
+        labels = list(range(n)) if turn % 2 else [int(x) for x in np.array(_groups(sets, 0.95))]
+        links = []
+        if across:
+            block = [int(b) for b in RNG.integers(0, 3, n)]
+            for one in range(3):
+                for two in range(one, 3):
+                    own = [k for k in range(n) if block[k] in (one, two)]
+                    links += [(own[a], own[b]) for a, b in near_copies.links_of([sets[k] for k in own], [labels[k] for k in own], [block[k] for k in own], 0.8)]
+        else:
+            links = near_copies.links_of(sets, labels, [0] * n, 0.8)
+        root = list(labels)
+        for i, j in links:
+            assert len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        assert root == _groups(sets)
+
+
+@pytest.mark.parametrize("deal", [None, 30_000])
+def test_families_without_their_original(spark, monkeypatch, deal):
+    """Families of 2 to 200 copies of texts that are not there; with small blocks a bucket is compared by many tasks."""
+    if deal:
+        monkeypatch.setattr(near_copies, "DEAL_BYTES", deal)
+    texts = []
+    for size in (2, 3, 9, 20, 60, 60, 200):
+        base = _prose(300)
+        texts += [_changed(base, int(RNG.integers(3, 5))) for _ in range(size)]
+    sets = [np.array(sorted(hash(x) & (1 << 62) - 1 for x in _shingles(t)), dtype=np.uint64) for t in texts]
+    want = sorted(set(_groups(sets)))
+    order = RNG.permutation(len(texts))
+    docs = spark.createDataFrame([(int(k), texts[k]) for k in order], "doc_id long, text string")
+    got = sorted(r.doc_id for r in near_copies.one_of_each(docs).select("doc_id").collect())
+    assert got == want
+
+
 def test_null_empty_short_and_repeated_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A b"), (6, "a b c"), (None, "a b c"), (7, "x y z u v w"), (7, "x y z u v w"), (8, "x y z u v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
