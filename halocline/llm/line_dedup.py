@@ -21,13 +21,14 @@ from pyspark.sql.window import Window
 
 from .common import materialise, packed
 
+SPACE = "\x20\x09\x0A\x0B\x0C\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Deals of one key; documents of a key spread over these.
 SALTS = 64
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""), UPPER, LOWER)
+    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
 def _lines(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -120,6 +121,16 @@ def test_line_dedup(docs):
     assert kept_once.text.startswith("Common Line \n") and kept_once._n_dropped == 1
 
 
+def test_line_keys_of_long_lines(spark):
+    """A line of a million spaces inside costs what its length costs."""
+    rows = [(f" \t{x}\n\x0b\x0c\r ", x) for x in ("A" + " " * 1_000_000 + "b", "Ünd ÄB", "", "a\u00a0", "\u2003a")]
+    df = spark.createDataFrame(rows, "line string, want string")
+    start = time.time()
+    got = df.select(line_dedup.line_key(F.col("line")).alias("key"), "want").collect()
+    assert time.time() - start < 20
+    assert [r.key for r in got] == [_key(r.want) for r in got]
+
+
 def test_substring_dedup(docs):
     every = [_words(t) for _, t, *_ in ROWS]
     n = {}
