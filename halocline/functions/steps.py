@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,3 +17,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def evaluated(df: DataFrame) -> DataFrame:
     """``df`` behind a generator of one row: its expressions are not copied into what follows. Filters don't pass it, so filter before."""
     return df.select(F.explode(F.array(F.struct(*[df[c] for c in df.columns]))).alias("_row")).select("_row.*")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder of spark.checkpoint.dir, so that what follows starts from there.
+
+    Where that is unset, a local master gets a folder of its own; on a cluster it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -128,37 +126,6 @@ def bilinear_polar(obs: DataFrame, field: DataFrame, nlon: int, nlat: int, key:
     return bilinear(inside, field, nlon, key).unionByName(polar)
 
 
-def relaxed_fill(field: DataFrame, raster: str, nlon: int, nlat: int, tolerance: float = 1e-4, most: int = 10_000, fold: bool = True) -> DataFrame:
-    """raster, i, j, value (1-based cells): cells without value become the mean of their neighbours, again and again until no change exceeds ``tolerance`` of a value.
-
-    i is periodic; the first row stays; beyond the last row lies its mirror image
-    (``fold``). Each raster is one group: an iteration over one grid of a model,
-    rasters run side by side.
-    """
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.full((nlat, nlon), np.nan)
-        v[pdf["j"].to_numpy() - 1, pdf["i"].to_numpy() - 1] = pdf["value"].to_numpy(dtype=float)
-        gaps = np.isnan(v)
-        gaps[0] = False
-        for _ in range(most):
-            north = np.vstack((v[1:], v[-1:, ::-1] if fold else np.full((1, nlon), np.nan)))
-            near = np.stack((np.roll(v, -1, axis=1), north, np.roll(v, 1, axis=1), np.vstack((np.full((1, nlon), np.nan), v[:-1]))))
-            n, total = (~np.isnan(near)).sum(axis=0), np.nansum(near, axis=0)
-            had = ~np.isnan(v)
-            numer, denom = total + np.where(had, n * np.where(had, v, 0), 0), n * np.where(had, 2, 1)
-            change = gaps & (n > 0)
-            new = np.where(change, numer / np.maximum(denom, 1), v)
-            open_ = (change & ~had) | (change & had & (np.abs(np.where(had, v, 0) - new) > tolerance * np.abs(np.where(had, v, 0))))
-            v = new
-            if not open_.any():
-                break
-        j, i = np.divmod(np.arange(nlat * nlon), nlon)
-        return pd.DataFrame({raster: pdf[raster].iloc[0], "i": (i + 1).astype("int32"), "j": (j + 1).astype("int32"), "value": v.reshape(-1)})
-
-    return field.select(raster, "i", "j", "value").groupBy(raster).applyInPandas(fill, f"{raster} {field.schema[raster].dataType.simpleString()}, i int, j int, value double").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-
-
 def scaled_and_capped(field: DataFrame, box: tuple[float, float, float, float], scale: float, most: float) -> DataFrame:
     """``field`` (lon, lat, value) times ``scale`` over its largest value strictly inside the box (west, east, south, north), and ``most`` at most."""
     west, east, south, north = box

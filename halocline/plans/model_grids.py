@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import curvilinear, layers
+from ..operators import curvilinear, layers, tiles, variances
 from ..schema import EARTH_RADIUS, PI
 from . import tables as t
 from .registry import query, r
@@ -145,3 +145,84 @@ def regridded_to_curvilinear(spark, d):
     f = t.field(spark, d)
     nodes = f.select(F.col("ij").alias("cell"), F.pmod(F.col("lon") * 1.30713 + F.col("lat") * 0.21377, F.lit(360.0)).alias("lon"), (F.col("lat") * 1.05139).alias("lat"))
     return curvilinear.to_curvilinear(f, nodes, 5.0, 10.0, 36, -85.0, 10.0, 18).select("cell", r("hx").alias("hx"))
+
+
+# ---- rasters in tiles of ten cells, so that several meet
+
+
+@query(f"""WITH RECURSIVE {t.FIELD}, c AS (SELECT g.n, g.n % 36 + 1 AS i, g.n // 36 + 1 AS j, CASE WHEN f.kmt > 0 THEN f.value END AS v FROM range(648) g(n) LEFT JOIN field f ON f.ij = g.n + 1),
+start AS (SELECT list(v ORDER BY n) AS v0 FROM c),
+near AS (SELECT list([n + 1, j * 36 - 36 + i % 36 + 1, CASE WHEN j < 18 THEN n + 1 + 36 ELSE 17 * 36 + 37 - i END, j * 36 - 36 + (i + 34) % 36 + 1, CASE WHEN j > 1 THEN n + 1 - 36 END] ORDER BY n) AS q FROM c),
+s AS (SELECT 0 AS step, v0 AS v, 1::BIGINT AS moved FROM start UNION ALL
+  SELECT step + 1, list_transform(w, lambda x: x.new), len(list_filter(w, lambda x: x.moved)) FROM (
+    SELECT step, list_transform(m, lambda x: {{'new': CASE WHEN x.gap AND x.n > 0 THEN (x.t + x.n * coalesce(x.own, 0)) / (x.n * CASE WHEN x.own IS NULL THEN 1 ELSE 2 END) ELSE x.own END,
+      'moved': x.gap AND x.n > 0 AND (x.own IS NULL OR abs(x.own - (x.t + x.n * x.own) / (x.n * 2)) > 0.0001 * abs(x.own))}}) AS w FROM (
+      SELECT step, list_transform(q, lambda k, pos: {{'own': v[k[1]], 'gap': v0[k[1]] IS NULL AND pos > 36,
+        't': coalesce(v[k[2]], 0) + coalesce(v[k[3]], 0) + coalesce(v[k[4]], 0) + coalesce(v[k[5]], 0),
+        'n': CASE WHEN v[k[2]] IS NULL THEN 0 ELSE 1 END + CASE WHEN v[k[3]] IS NULL THEN 0 ELSE 1 END + CASE WHEN v[k[4]] IS NULL THEN 0 ELSE 1 END + CASE WHEN k[5] IS NULL OR v[k[5]] IS NULL THEN 0 ELSE 1 END}}) AS m
+      FROM s, start, near WHERE s.moved > 0))),
+l AS (SELECT v FROM s ORDER BY step DESC LIMIT 1), u AS (SELECT unnest(v) AS v, generate_subscripts(v, 1) - 1 AS n FROM l)
+SELECT (n % 36 + 1)::INT AS i, (n // 36 + 1)::INT AS j, round(v, 5) AS value FROM u""")
+def filled_rasters(spark, d):
+    """A field whose land cells take what relaxes to the mean of their neighbours."""
+    x = t.field(spark, d).select(F.lit(1).alias("raster"), "i", "j", F.when(F.col("kmt") > 0, F.col("value")).alias("value"))
+    return tiles.relaxed_fill(x, "raster", 36, 18, side=10).select("i", "j", r("value", 5).alias("value"))
+
+
+_WET = f"""{t.FIELD}, wet AS (SELECT k AS raster, i, j, value / 7919::DOUBLE + k * 0.37::DOUBLE AS value FROM field, (VALUES (1), (2), (3)) AS v(k) WHERE kmt >= k)"""
+
+
+def _wet(spark, d) -> DataFrame:
+    x = t.field(spark, d).withColumn("raster", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where(F.col("kmt") >= F.col("raster"))
+    return x.select("raster", "i", "j", (F.col("value") / 7919 + F.col("raster") * 0.37).alias("value"))
+
+
+@query(f"""WITH {_WET} SELECT a.raster, a.i, a.j, round(avg(b.value), 7) AS value FROM wet a JOIN wet b ON a.raster = b.raster AND abs(a.j - b.j) <= 2 AND least(abs(a.i - b.i), 36 - abs(a.i - b.i)) <= 3 GROUP BY 1, 2, 3""")
+def smoothed_variances(spark, d):
+    """Means over seven columns and five rows of wet cells, at three levels."""
+    return tiles.box_mean(_wet(spark, d), "raster", 36, 18, 3, 2, side=10).where("value is not null").select("raster", "i", "j", r("value", 7).alias("value"))
+
+
+@query(f"""WITH {_WET}, b AS (SELECT raster, least(floor(value * 100), 99)::INT AS b, count(*) AS n FROM wet WHERE floor(value * 100) >= 1 GROUP BY 1, 2),
+m AS (SELECT raster, b, row_number() OVER (PARTITION BY raster ORDER BY n DESC, b) AS o FROM b),
+e AS (SELECT x.raster, least(coalesce(b, 1) / 100.0::DOUBLE, 1.2 - 0.0 * x.raster) AS least FROM (SELECT DISTINCT raster FROM wet) x LEFT JOIN m ON m.raster = x.raster AND o = 1),
+w AS (SELECT wet.*, e.least FROM wet JOIN e USING (raster)),
+d AS (SELECT a.raster, a.i, a.j, greatest(abs(a.j - b.j), least(abs(a.i - b.i), 36 - abs(a.i - b.i))) AS d, b.value FROM w a JOIN w b ON a.raster = b.raster WHERE a.value < a.least AND b.value >= b.least),
+n AS (SELECT raster, i, j, min(d) AS d FROM d WHERE d <= 17 GROUP BY 1, 2, 3),
+f AS (SELECT d.raster, d.i, d.j, avg(value) AS value FROM d JOIN n ON d.raster = n.raster AND d.i = n.i AND d.j = n.j AND d.d = n.d GROUP BY 1, 2, 3)
+SELECT w.raster, w.i, w.j, round(coalesce(f.value, w.value), 6) AS value FROM w LEFT JOIN f ON w.raster = f.raster AND w.i = f.i AND w.j = f.j""")
+def filled_low_variances(spark, d):
+    """Values below the bound that most lie in, from the smallest squares around them."""
+    x = _wet(spark, d)
+    return tiles.fill_from_squares(x, "raster", 36, 18, tiles.fill_bounds(x, "raster", 1.2), side=10).where("value is not null").select("raster", "i", "j", r("value").alias("value"))
+
+
+_Z = [5.0, 15.0, 25.5, 40.0, 62.0, 90.0, 130.0, 180.0, 250.0, 340.0]
+
+
+@query(f"""WITH lay AS (SELECT l_partkey % 500 AS cell, row_number() OVER (PARTITION BY l_partkey % 500 ORDER BY l_suppkey % 10) - 1 AS k, 30 - (l_suppkey % 10) * 1.7::DOUBLE - avg(l_quantity) * 0.0713::DOUBLE AS v FROM lineitem GROUP BY l_partkey % 500, l_suppkey % 10),
+c AS (SELECT cell, list(v ORDER BY k) AS v, len(list(v)) AS n FROM lay GROUP BY cell),
+z AS (SELECT {_Z}::DOUBLE[] AS z), mid AS (SELECT z, list_transform(range(10), lambda k: CASE WHEN k = 0 THEN 0 ELSE (z[k] + z[k + 1]) / 2 END) AS m FROM z),
+ax AS (SELECT z, list_transform(range(10), lambda k: CASE WHEN k BETWEEN 1 AND 8 THEN (m[k + 2] - z[k + 1]) / (m[k + 2] - m[k + 1]) ELSE 0.5 END) AS w FROM mid),
+g AS (SELECT cell, n, list_transform(range(n), lambda k: CASE WHEN n = 1 THEN 0.0::DOUBLE WHEN n = 2 THEN (v[1] - v[2]) / (z[2] - z[1]) ELSE
+  (v[greatest(1, least(k, n - 2))] - v[greatest(1, least(k, n - 2)) + 1]) / (z[greatest(1, least(k, n - 2)) + 1] - z[greatest(1, least(k, n - 2))]) * w[greatest(1, least(k, n - 2)) + 1]
+  + (v[greatest(1, least(k, n - 2)) + 1] - v[greatest(1, least(k, n - 2)) + 2]) / (z[greatest(1, least(k, n - 2)) + 2] - z[greatest(1, least(k, n - 2)) + 1]) * (1 - w[greatest(1, least(k, n - 2)) + 1]) END) AS g FROM c, ax),
+t AS (SELECT max(list_max(g)) AS top FROM g), h AS (SELECT cell, n, list_transform(g, lambda x: greatest(x, 0) / top) AS h FROM g, t),
+f AS (SELECT cell, CASE WHEN n > 1 THEN [h[2]] || h[2:] ELSE h END AS f FROM h),
+q AS (SELECT cell, list_transform(f, lambda x: sqrt(x)) AS q FROM f),
+p AS (SELECT cell, q, CASE WHEN list_max(q) > 0 THEN list_position(q, list_max(q)) ELSE 1 END AS p FROM q),
+e AS (SELECT cell, list_transform(q, lambda x, k: CASE WHEN k >= p AND p < 10 THEN x * (z[10] - z[k] + 0.3::DOUBLE * (z[k] - z[p])) / (z[10] - z[p]) ELSE x END) AS e FROM p, z),
+s AS (SELECT cell, CASE WHEN e[1] < 0.2 THEN list_transform(e, lambda x, k: CASE WHEN k < coalesce(list_position(list_transform(e, lambda y: y >= 0.2), true), 0) THEN 0.2::DOUBLE ELSE x END)
+  WHEN e[1] > 0.8 THEN list_transform(e, lambda x, k: CASE WHEN k < coalesce(list_position(list_transform(e, lambda y: y <= 0.8), true), 0) THEN 0.8::DOUBLE ELSE x END) ELSE e END AS s FROM e),
+m AS (SELECT cell, list_transform(s, lambda x, k: list_avg(s[greatest(k - 1, 1):k + 1])) AS m FROM s)
+SELECT cell, (generate_subscripts(m, 1))::INT AS k, round(unnest(m), 7) AS value FROM m""")
+def variances_of_columns(spark, d):
+    """Vertical gradients, scaled by the largest, their roots, tapered, with bounds at the surface, and means of three levels."""
+    k = F.col("l_suppkey") % 10
+    rows = t.read(spark, d, "lineitem").groupBy((F.col("l_partkey") % 500).alias("cell"), k.alias("k")).agg(F.avg("l_quantity").alias("q"))
+    rows = rows.select("cell", "k", (30 - F.col("k") * 1.7 - F.col("q") * 0.0713).alias("v"))
+    x = rows.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("k", "v")))["v"].alias("v"))
+    x = variances.normalised(x.select(F.lit(1).alias("one"), "cell", variances.gradients(F.col("v"), _Z).alias("values")), ["one"])
+    x = x.select("cell", variances.tapered(variances.roots(F.col("values")), _Z, 0.3).alias("v"))
+    x = x.select("cell", variances.mean_of_levels(variances.surface_within(F.col("v"), 0.2, 0.8), 1).alias("v"))
+    return x.select("cell", F.posexplode("v").alias("k", "value")).select("cell", (F.col("k") + 1).alias("k"), r("value", 7).alias("value"))

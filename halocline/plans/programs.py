@@ -263,15 +263,6 @@ def regridded_with_polar_row(spark, d):
     return interpolation.bilinear_polar(o, t.field(spark, d), 36, 18).select("obs_id", r("hx", 7).alias("value"))
 
 
-def filled_rasters(spark, d):
-    """A field whose land cells take what relaxes to the mean of their neighbours."""
-    x = t.field(spark, d).select(F.lit(1).alias("raster"), "i", "j", F.when(F.col("kmt") > 0, F.col("value")).alias("value"))
-    return interpolation.relaxed_fill(x, "raster", 36, 18).select("i", "j", r("value", 3).alias("value"))
-
-
-query()(filled_rasters)
-
-
 # ---- diagnostics and sources
 
 

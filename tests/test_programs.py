@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators import diagnostics, interpolation, masks, matching
+from halocline.operators import diagnostics, interpolation, masks, matching, tiles
 from halocline.plans import observation_operators as programs
 
 RNG = np.random.default_rng(12)
@@ -77,13 +77,13 @@ def _relaxed(v, tolerance, most, fold):
     return v
 
 
-@pytest.mark.parametrize("fold", [True, False])
-def test_fill_matches_the_rule_cell_by_cell(spark, fold):
+@pytest.mark.parametrize("fold, side", [(True, 256), (False, 256), (True, 3), (False, 5)])
+def test_fill_matches_the_rule_cell_by_cell(spark, fold, side):
     v = RNG.uniform(1, 9, (6, 8))
     v[RNG.random((6, 8)) < 0.4] = np.nan
     want = _relaxed(v.copy(), 1e-4, 500, fold)
     rows = [(7, i + 1, j + 1, None if np.isnan(v[j, i]) else float(v[j, i])) for j in range(6) for i in range(8)]
-    got = interpolation.relaxed_fill(spark.createDataFrame(rows, "raster long, i int, j int, value double"), "raster", 8, 6, most=500, fold=fold).collect()
+    got = tiles.relaxed_fill(spark.createDataFrame(rows, "raster long, i int, j int, value double"), "raster", 8, 6, most=500, fold=fold, side=side).collect()
     have = np.full((6, 8), np.nan)
     for r in got:
         have[r.j - 1, r.i - 1] = np.nan if r.value is None else r.value
