@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.steps import scratch_folder
 from ..operators import curvilinear, layers, tiles, variances
 from ..schema import EARTH_RADIUS, PI
+from ..sources import gridded, records
 from . import tables as t
 from .registry import query, r
 
@@ -226,3 +228,32 @@ def variances_of_columns(spark, d):
     x = x.select("cell", variances.tapered(variances.roots(F.col("values")), _Z, 0.3).alias("v"))
     x = x.select("cell", variances.mean_of_levels(variances.surface_within(F.col("v"), 0.2, 0.8), 1).alias("v"))
     return x.select("cell", F.posexplode("v").alias("k", "value")).select("cell", (F.col("k") + 1).alias("k"), r("value", 7).alias("value"))
+
+
+# ---- files: tables through sinks and back
+
+
+@query("""WITH c AS (SELECT o_orderkey % 648 AS n, avg(o_totalprice)::FLOAT AS v, (count(*) * 1.5)::FLOAT AS w FROM orders GROUP BY 1),
+r AS (SELECT 't' AS field, 1 AS k, n, v FROM c UNION ALL SELECT 't', 2, n, w FROM c UNION ALL SELECT 'ssh', 1, n, v FROM c)
+SELECT field, k, (n % 36 + 1)::INT AS i, (n // 36 + 1)::INT AS j, CASE WHEN field = 't' THEN k * 10.0::DOUBLE END AS lev, (n % 36) * 10.0::DOUBLE + 5 AS lon, (n // 36) * 10.0::DOUBLE - 85 AS lat, v::DOUBLE AS value FROM r WHERE field = 'ssh' OR k = 1""")
+def rasters_written_and_read(spark, d):
+    """Cells written as a raster with its control file; of what was written only the first level is read."""
+    n = F.col("o_orderkey") % 648
+    c = t.read(spark, d, "orders").groupBy(n.alias("n")).agg(F.avg("o_totalprice").alias("v"), (F.count("*") * 1.5).alias("w"))
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("k"), F.col(v).alias("value")) for f, k, v in (("t", 1, "v"), ("t", 2, "w"), ("ssh", 1, "v"))])
+    cells = c.select((F.col("n") % 36 + 1).cast("int").alias("i"), (F.floor(F.col("n") / 36) + 1).cast("int").alias("j"), F.explode(parts).alias("p")).select("p.field", "p.k", "i", "j", "p.value")
+    place = scratch_folder(spark)
+    gridded.write_raster(cells, f"{place}.grd", 36, 18, [("t", 2), ("ssh", 1)])
+    gridded.write_control(f"{place}.ctl", f"{place}.grd", (5.0, 10.0, 36), (-85.0, 10.0, 18), [10.0, 20.0], [("t", 2), ("ssh", 0)])
+    return gridded.read_grids(spark, f"{place}.ctl", "described_raster", levels=[1]).select("field", "k", "i", "j", "lev", "lon", "lat", "value")
+
+
+@query(f"WITH {t.OBS} SELECT elem AS id, qc, count(*) AS n, round(sum(dat::FLOAT::DOUBLE), 4) AS dat, round(sum((err * 0.1::DOUBLE)::FLOAT::DOUBLE), 4) AS err FROM (SELECT *, (obs_id % 3)::INT AS qc FROM obs) GROUP BY 1, 2")
+def records_written_and_read(spark, d):
+    """Observations written as record files by every task, and read again."""
+    o = t.observations(spark, d)
+    rows = o.select(F.col("elem").alias("id"), "lon", "lat", "lev", "dat", (F.col("err") * 0.1).alias("err"), F.lit(3.0).alias("platform"), F.lit(0.25).alias("time"), F.col("lev").alias("ohx"), (F.col("obs_id") % 3).cast("int").alias("qc"))
+    place = scratch_folder(spark)
+    gridded.write_records(rows, place, extended=True)
+    back = records.read_records(spark, place, "coupled")
+    return back.groupBy("id", "qc").agg(F.count("*").alias("n"), r(F.sum("dat"), 4).alias("dat"), r(F.sum("err"), 4).alias("err"))

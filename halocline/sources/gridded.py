@@ -422,3 +422,12 @@ def write_records(obs: DataFrame, path: str, extended: bool = False, mode: str =
     register(obs.sparkSession)
     names = [f.name for f in COUPLED.fields]
     obs.select(*names).write.format("record_sink").options(path=path, extended=str(extended)).mode(mode).save()
+
+
+def write_control(path: str, data: str, lons: tuple[float, float, int], lats: tuple[float, float, int], levs: list[float], fields: list[tuple[str, int]], order: str = "big", void: float = VOID) -> None:
+    """A control file for one time of a raster: axes by first value, step and number; fields with their levels, 0 for none."""
+    lines = [f"DSET {data}", f"UNDEF {void!r}", f"OPTIONS {order}_endian", f"XDEF {lons[2]} LINEAR {lons[0]!r} {lons[1]!r}", f"YDEF {lats[2]} LINEAR {lats[0]!r} {lats[1]!r}"]
+    lines += [f"ZDEF {len(levs)} LEVELS {' '.join(map(repr, levs))}", "TDEF 1 LINEAR 00Z01JAN2000 1dy", f"VARS {len(fields)}", *(f"{name} {k} 99 {name}" for name, k in fields), "ENDVARS"]
+    system, name = _opened(path)
+    with system.open_output_stream(name) as f:
+        f.write("\n".join(lines).encode())
