@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .steps import let
+
 #: Epochs of the source formats.
 EPOCHS = {"altimeter": "1950-01-01", "geostationary": "1981-01-01", "avhrr": "1978-01-01", "ascii_altimeter": "1985-01-01", "salinity": "2015-01-01"}
 
@@ -53,11 +57,51 @@ def from_julian_day(number: Column) -> Column:
     return F.date_from_unix_date((number - 2440588).cast("int"))
 
 
+#: Dates from which another leap second counts, after 1972-01-01.
+LEAP_DATES = "1972-07-01 1973-01-01 1974-01-01 1975-01-01 1976-01-01 1977-01-01 1978-01-01 1979-01-01 1980-01-01 1981-07-01 1982-07-01 1983-07-01 1985-07-01 1988-01-01 1990-01-01 1991-01-01 1992-07-01 1993-07-01 1994-07-01 1996-01-01 1997-07-01 1999-01-01 2006-01-01 2009-01-01 2012-07-01 2015-07-01 2017-01-01".split()
+#: The epoch of atomic seconds.
+TAI_EPOCH = "1993-01-01"
+
+
 def tai_minus_utc(time: Column) -> Column:
     """Seconds that atomic time is ahead; 10 from 1972."""
-    # Dates from which another leap second counts.
-    steps = "1972-07-01 1973-01-01 1974-01-01 1975-01-01 1976-01-01 1977-01-01 1978-01-01 1979-01-01 1980-01-01 1981-07-01 1982-07-01 1983-07-01 1985-07-01 1988-01-01 1990-01-01 1991-01-01 1992-07-01 1993-07-01 1994-07-01 1996-01-01 1997-07-01 1999-01-01 2006-01-01 2009-01-01 2012-07-01 2015-07-01 2017-01-01".split()
-    return sum(((time >= F.lit(s).cast("timestamp_ntz")).cast("int") for s in steps), F.lit(10))
+    dates = F.lit([datetime.fromisoformat(s) for s in LEAP_DATES]).cast("array<timestamp_ntz>")
+    return F.when(time.isNotNull(), F.size(F.filter(dates, lambda d: time >= d)) + 10)
+
+
+def _since_epoch(day: str) -> int:
+    return (date.fromisoformat(day) - date.fromisoformat(TAI_EPOCH)).days * 86400
+
+
+def leap_starts() -> list[int]:
+    """Atomic seconds since 1993 at which each inserted second begins; it is 23:59:60 of the day before the date."""
+    before = sum(d <= TAI_EPOCH for d in LEAP_DATES)
+    return [_since_epoch(d) + n - before for n, d in enumerate(LEAP_DATES)]
+
+
+def utc_to_tai93(minute: Column, second: Column) -> Column:
+    """Atomic seconds since 1993 of a second (0 up to 61) of a minute; 23:59:60 is the inserted second where there is one, elsewhere the next minute's first."""
+    start = minute.cast("timestamp_ntz")
+    ahead = tai_minus_utc(start) - (10 + sum(d <= TAI_EPOCH for d in LEAP_DATES))
+    return F.timestamp_diff("SECOND", F.lit(TAI_EPOCH).cast("timestamp_ntz"), start) + ahead + second.cast("double")
+
+
+def tai93_to_utc(seconds: Column) -> Column:
+    """struct(minute, second) of atomic seconds since 1993: in an inserted second that is 60 and its part, in the minute that it ends."""
+    starts = F.lit(leap_starts()).cast("array<long>")
+    before = sum(d <= TAI_EPOCH for d in LEAP_DATES)
+
+    def utc(tai: Column) -> Column:
+        begun, over = F.size(F.filter(starts, lambda s: tai >= s)), F.size(F.filter(starts, lambda s: tai >= s + 1))
+        # An inserted second that has begun and isn't over belongs to the minute before: count from the second before it.
+        return let(F.struct((tai - begun + before).alias("plain"), (begun - over).alias("inserted")), clock)
+
+    def clock(x: Column) -> Column:
+        minutes = F.floor(x["plain"] / 60).cast("long")
+        minute = F.timestamp_add("MINUTE", minutes, F.lit(TAI_EPOCH).cast("timestamp_ntz"))
+        return F.struct(minute.alias("minute"), (x["plain"] - minutes * 60 + x["inserted"]).alias("second"))
+
+    return F.when(seconds.isNotNull(), let(seconds, utc))
 
 
 def month_weights(date: Column) -> tuple[Column, Column, Column, Column]:

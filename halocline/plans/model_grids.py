@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..functions.steps import scratch_folder
 from ..operators import curvilinear, layers, tiles, variances
 from ..schema import EARTH_RADIUS, PI
-from ..sources import gridded, records
+from ..sources import decoders, gridded, records
 from . import tables as t
 from .registry import query, r
 
@@ -257,3 +258,43 @@ def records_written_and_read(spark, d):
     gridded.write_records(rows, place, extended=True)
     back = records.read_records(spark, place, "coupled")
     return back.groupBy("id", "qc").agg(F.count("*").alias("n"), r(F.sum("dat"), 4).alias("dat"), r(F.sum("err"), 4).alias("err"))
+
+
+# ---- times: leap seconds, and swaths whose lines have a time here and there
+
+_LEAPS = f"(SELECT list(epoch(d::TIMESTAMP)::BIGINT - epoch(TIMESTAMP '1993-01-01')::BIGINT + k - 18 ORDER BY k) FROM (SELECT unnest({times.LEAP_DATES}) AS d, generate_subscripts({times.LEAP_DATES}, 1) AS k))"
+
+
+@query(f"""WITH l AS (SELECT {_LEAPS} AS leaps), x AS (SELECT o_orderkey, o_orderdate + (o_orderkey % 1440) * INTERVAL 1 MINUTE AS m, o_orderkey % 61 + 0.25::DOUBLE AS s, leaps, leaps[o_orderkey % 27 + 1] + o_orderkey % 5 - 2 + 0.25::DOUBLE AS tai FROM orders, l),
+y AS (SELECT *, epoch(m)::BIGINT - epoch(TIMESTAMP '1993-01-01')::BIGINT AS u, tai - (len(list_filter(leaps, lambda x: tai >= x + 1)) - 17) AS v, len(list_filter(leaps, lambda x: tai >= x AND tai < x + 1)) AS extra FROM x)
+SELECT o_orderkey, round(u + s + len(list_filter(leaps, lambda x: u >= x - len(list_filter(leaps, lambda z: z < x)) + 17)) - 17, 3) AS tai93,
+  strftime(TIMESTAMP '1993-01-01' + floor((v - extra) / 60)::BIGINT * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M') AS minute, round(v - extra - floor((v - extra) / 60) * 60 + extra, 3) AS second FROM y""")
+def atomic_times(spark, d):
+    """Atomic seconds of the times of orders, and the times of seconds around each leap."""
+    o = t.read(spark, d, "orders")
+    k = F.col("o_orderkey")
+    minute = F.timestamp_add("MINUTE", (k % 1440).cast("long"), F.col("o_orderdate").cast("timestamp_ntz"))
+    tai = F.get(F.array(*[F.lit(x).cast("long") for x in times.leap_starts()]), (k % 27).cast("int")) + k % 5 - 2 + 0.25
+    out = o.select("o_orderkey", r(times.utc_to_tai93(minute, k % 61 + 0.25), 3).alias("tai93"), times.tai93_to_utc(tai).alias("u"))
+    return out.select("o_orderkey", "tai93", F.date_format("u.minute", "yyyy-MM-dd HH:mm").alias("minute"), r("u.second", 3).alias("second"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS pixel, o_custkey % 50 AS swath, o_orderkey % 40 AS line, CASE WHEN o_orderkey % 11 = 0 THEN -9999.0::DOUBLE ELSE o_orderkey % 360 END AS lon, o_totalprice / 10000 AS sss, (o_orderkey % 30) / 10.0::DOUBLE AS err, (o_orderkey % 6 * 512)::INT AS flags FROM orders),
+l AS (SELECT DISTINCT swath, line, CASE WHEN line % 8 = 0 THEN swath * 1000 + line * 37.3::DOUBLE + line * line * 0.7::DOUBLE END AS s FROM p),
+n AS (SELECT *, last_value(CASE WHEN s IS NOT NULL THEN line END IGNORE NULLS) OVER a AS l0, last_value(s IGNORE NULLS) OVER a AS s0, first_value(CASE WHEN s IS NOT NULL THEN line END IGNORE NULLS) OVER b AS l1, first_value(s IGNORE NULLS) OVER b AS s1 FROM l
+  WINDOW a AS (PARTITION BY swath ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY swath ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+c AS (SELECT swath, line, ceil(s0 + CASE WHEN l1 = l0 THEN 0 ELSE (line - l0) / (l1 - l0) END * (s1 - s0)) AS t FROM n)
+SELECT pixel, t::BIGINT AS seconds, round(sss, 6) AS dat, greatest(err, 0.2::DOUBLE) AS err FROM p JOIN c USING (swath, line)
+WHERE abs(t - 20000) <= 9000 AND flags & 1023 = 0 AND err <= 2 AND sss BETWEEN 2 AND 38.5 AND err BETWEEN 0.1 AND 1.75 AND round(lon) <> -9999""")
+def timed_salinity_swaths(spark, d):
+    """Pixels of swaths within a window of the times of their lines, inside of the file's ranges, without flags and fill values."""
+    k = F.col("o_orderkey")
+    o = t.read(spark, d, "orders")
+    px = o.select(k.alias("pixel"), (F.col("o_custkey") % 50).alias("swath"), (k % 40).alias("line"), F.when(k % 11 == 0, -9999.0).otherwise((k % 360).cast("double")).alias("lon"), F.lit(0.0).alias("lat"), (F.col("o_totalprice") / 10000).alias("sss"), (k % 30 / 10).alias("err"), (k % 6 * 512).cast("int").alias("flags"))
+    line = F.col("line")
+    lines = px.select("swath", "line").distinct().withColumn("seconds", F.when(line % 8 == 0, F.col("swath") * 1000 + line * 37.3 + line * line * 0.7))
+    centre = times.from_epoch_seconds(F.lit(20000.0), times.EPOCHS["salinity"])
+    timed = decoders.timed_swath(px, lines, centre, 9000.0)
+    out = decoders.swath_salinity(timed, ["pixel", "time"], (2.0, 38.5), (0.1, 1.75), -9999.0)
+    seconds = F.timestamp_diff("SECOND", F.lit(times.EPOCHS["salinity"]).cast("timestamp_ntz"), F.col("time"))
+    return out.select("pixel", seconds.alias("seconds"), r("dat").alias("dat"), "err")

@@ -10,7 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.times import EPOCHS, from_epoch_seconds, in_window
 from ..schema import KELVIN, OBS_TYPES
 
 #: Bits of the swath flag word that reject a pixel (1, 2, 8, 10 to 13, and the two-bit field at 14).
@@ -36,13 +38,45 @@ def swath_sst(pixels: DataFrame, least_quality: int = 5, centre: Column | None =
     return pixels.where(keep).select(F.lit(OBS_TYPES["sst"]).alias("elem"), "lon", "lat", F.lit(0.0).alias("lev"), kelvin_to_celsius(F.col("sst")).alias("dat"), "err")
 
 
-def swath_salinity(pixels: DataFrame, keep_columns: Sequence[str] = ()) -> DataFrame:
-    """Pixels (lon, lat, sss, err, flags): large errors and flags go, small errors grow to the least. ``keep_columns`` stay beside."""
+def swath_salinity(pixels: DataFrame, keep_columns: Sequence[str] = (), sss_range: tuple[float, float] | None = None, err_range: tuple[float, float] | None = None, fill: float | None = None) -> DataFrame:
+    """Pixels (lon, lat, sss, err, flags): large errors and flags go, small errors grow to the least. ``keep_columns`` stay beside.
+
+    The file's valid ranges, where given, hold for values and errors; a pixel with
+    the ``fill`` value, to the nearest whole number, in any of the four goes.
+    """
     low, high = SALINITY_ERRORS
     keep = (F.col("flags").bitwiseAND(F.lit(SALINITY_BITS)) == 0) & (F.col("err") <= high) & F.col("sss").isNotNull()
+    for column, valid in (("sss", sss_range), ("err", err_range)):
+        if valid:
+            keep &= F.col(column).between(*valid)
+    if fill is not None:
+        for column in ("lon", "lat", "sss", "err"):
+            keep &= F.round(F.col(column)) != F.lit(float(round(fill)))
     return pixels.where(keep).select(F.lit(OBS_TYPES["sss"]).alias("elem"), "lon", "lat", F.lit(0.0).alias("lev"), F.col("sss").alias("dat"), F.greatest(F.col("err"), F.lit(low)).alias("err"), *keep_columns)
 
 
+def line_times(lines: DataFrame, epoch: str = EPOCHS["salinity"]) -> DataFrame:
+    """swath, line and time of scan lines (swath, line, seconds since ``epoch``), in whole seconds, rounded up.
+
+    A line without a time has one between the nearest lines before and after that do,
+    by its number; before the first and after the last of them it has none.
+    """
+    order = Window.partitionBy("swath").orderBy("line")
+    known = F.when(F.col("seconds").isNotNull(), F.struct("line", "seconds"))
+    last = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.first(known, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    spans = lines.withColumn("_a", last).withColumn("_b", following)
+    part = F.coalesce(F.try_divide(F.col("line") - F.col("_a.line"), F.col("_b.line") - F.col("_a.line")), F.lit(0.0))
+    seconds = F.col("_a.seconds") + part * (F.col("_b.seconds") - F.col("_a.seconds"))
+    return spans.select("swath", "line", from_epoch_seconds(F.ceil(seconds).cast("double"), epoch).alias("time"))
+
+
+def timed_swath(pixels: DataFrame, lines: DataFrame, centre: Column, seconds: float) -> DataFrame:
+    """``pixels`` (swath, line, ...) with the time of their line, of lines within ``seconds`` of ``centre``: the lines are chosen before they meet the pixels."""
+    chosen = line_times(lines).where(in_window(F.col("time"), centre, seconds))
+    return pixels.join(chosen, ["swath", "line"])
+
+
 def gridded_salinity(cells: DataFrame, err: float, keep_columns: Sequence[str] = ()) -> DataFrame:
     """Cells (lon, lat, sss, land, ice): any land or ice goes."""
     keep = (F.col("land") < LEAST_FRACTION) & (F.col("ice") < LEAST_FRACTION) & F.col("sss").isNotNull()
