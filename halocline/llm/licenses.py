@@ -80,7 +80,7 @@ UNKNOWN = "unknown"
 #: Words that a template which has them must find, and that a template without them must not find.
 DISTINCT = ("affero", "agpl", "apache", "artistic", "attribution", "boost", "bsd", "cc", "creative", "eclipse", "gpl", "isc", "lesser", "lgpl", "mit", "mozilla")
 #: Lengths of runs of lines; the standard notices broken at 60 columns or more have up to 16 lines.
-RUN_LINES = (1, 2, 3, 4, 6, 8, 12, 16, 24)
+RUN_LINES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 36)
 
 
 @dataclass(frozen=True)
@@ -206,19 +206,22 @@ def _in_order(tokens: str, family: Column) -> tuple[Column, Column]:
 def _runs(docs: DataFrame, single: list[str]) -> DataFrame:
     """doc_id, _th, position, n_lines, line, _tokens: lines, and runs of lines without a blank one, that have a word of a template.
 
-    The words of a line are split once. Of runs, those are left that start and end in a
-    line with such a word.
+    The words of a line are split once. Of runs, those are left that start in a line with
+    such a word or after a blank one, and end in one, before a blank line or with the text.
     """
     lines = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.split("text", "\n").alias("_lines"))
     lines = settled(lines.withColumn("_words", F.transform("_lines", _tokens)))
     known = F.array(*map(F.lit, single))
     lines = settled(lines.withColumn("_hit", F.transform("_words", lambda w: F.arrays_overlap(w, known)))).where(F.exists("_hit", lambda x: x))
-    at = """flatten(transform(filter(sequence(0, size(_lines) - 1), i -> _hit[i]), i ->
-                filter(transform(array(%s), n -> struct(i AS position, n AS n_lines)),
-                       r -> r.n_lines = 1 OR (r.position + r.n_lines <= size(_lines)
-                            AND NOT exists(slice(_words, r.position + 1, r.n_lines), w -> size(w) = 0)))))"""
+    # How many lines from each one there are up to a blank one or the end: longer runs are cut off there.
+    most = max(RUN_LINES)
+    lines = settled(lines.withColumn("_blank", F.transform("_words", lambda w: F.size(w) == 0)))
+    open_ = f"coalesce(nullif(array_position(slice(_blank, i + 1, {most}), true), 0) - 1, least({most}, size(_lines) - i))"
     lengths = ", ".join(map(str, RUN_LINES))
-    runs = settled(lines.withColumn("_run", F.explode(F.expr(at % lengths)))).where("_run.n_lines = 1 OR _hit[_run.position + _run.n_lines - 1]")
+    at = f"""flatten(transform(filter(sequence(0, size(_lines) - 1), i -> _hit[i] OR (NOT _blank[i] AND (i = 0 OR _blank[greatest(i - 1, 0)]) AND exists(slice(_hit, i + 1, {most}), x -> x))), i ->
+                transform(array_distinct(transform(array({lengths}), n -> CAST(least(n, greatest(1, {open_})) AS INT))),
+                          n -> struct(i AS position, n AS n_lines, n = {open_} AS whole))))"""
+    runs = settled(lines.withColumn("_run", F.explode(F.expr(at)))).where("_run.whole OR _hit[_run.position + _run.n_lines - 1]")
     return runs.select(
         "doc_id", "_th", F.col("_run.position").cast("int").alias("position"), F.col("_run.n_lines").cast("int").alias("n_lines"),
         F.expr("array_join(slice(_lines, _run.position + 1, _run.n_lines), ' ')").alias("line"),

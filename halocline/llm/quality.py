@@ -49,11 +49,11 @@ SPACED_SEPARATORS = (" / ", " > ", " - ", " :: ", " ~ ")
 SPACE = r"\x20\x09\x0B-\x0D"
 _SYMBOLS = "#*$%&|<>"
 _PLAIN = r"a-zA-Z0-9\p{L}\p{M}\p{N}"
-#: Fixed value: a sentence end, before closing quotes or brackets and spaces; looked for in the last END_CHARS characters of a line.
-SENTENCE_END = r"[.!?:;…。！？؟।][\"'”’»)\]]*[\x20\x09-\x0D]*$"
-END_CHARS = 8
+#: What ends a sentence, and what may follow it; white space at the end of a line counts for neither.
+SENTENCE_ENDS, CLOSERS = ".!?:;…。！？؟।", "\"'”’»)]"
+TRAILING = "\x20\x09\x0A\x0B\x0C\x0D"
 #: What a line that breaks off ends with, and what a bulleted line begins with.
-DOTS = r"(\.\.\.|…)[\x20\x09-\x0D]*$"
+DOTS = ("...", "…")
 BULLETS = r"^[\x20\x09-\x0D]*[-*•‣◦▪●·–—]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -175,9 +175,12 @@ def _judged(rules: QualityRules) -> Column:
         bad = ((n > solid * rules.most_symbol_share) & (symbols > solid * rules.most_symbol_share)) | much | run | menu | stock
         # Of a line without marks nothing is looked at.
         bad = ((n > 0) & bad) | stock
-        end = F.right(line, F.lit(END_CHARS))
-        letter = F.when(words == 0, "b").when((n > 0) & F.rlike(end, F.lit(SENTENCE_END)), "e").when(words <= rules.most_menu_words, "m").when(words <= rules.most_unended_words, "u").otherwise("o")
-        dotted, bulleted = (n > 0) & F.rlike(end, F.lit(DOTS)), (n > 0) & F.rlike(line, F.lit(BULLETS))
+        # Trimmed, not matched: neither trailing spaces nor closing marks have a length that hides the end.
+        end = F.rtrim(line, F.lit(TRAILING))
+        last = F.right(F.rtrim(end, F.lit(CLOSERS)), F.lit(1))
+        letter = F.when(words == 0, "b").when((n > 0) & (last != "") & F.contains(F.lit(SENTENCE_ENDS), last), "e").when(words <= rules.most_menu_words, "m").when(words <= rules.most_unended_words, "u").otherwise("o")
+        broken = end.endswith(DOTS[0]) | end.endswith(DOTS[1])
+        dotted, bulleted = (n > 0) & broken, (n > 0) & F.rlike(line, F.lit(BULLETS))
         return F.struct(letter.alias("m"), ((words > 0) & bad).alias("bad"), dotted.alias("dotted"), bulleted.alias("bulleted"))
 
     return F.transform("_lines", one)

@@ -192,16 +192,16 @@ twice AS (SELECT r, h FROM h GROUP BY r, h HAVING count(*) > 1),
 again AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT h.r, unnest(range(p, p + {_RULES.window})) AS q FROM h JOIN twice ON h.r = twice.r AND h.h = twice.h) GROUP BY r),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
 m AS (SELECT *, length(regexp_replace(line, '[{quality.SPACE}]+', '', 'g')) AS solid, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
-             regexp_replace(line, '[{quality._PLAIN}{quality.SPACE}]+', '', 'g') AS marks, lower(line) AS low, right(line, {quality.END_CHARS}) AS tail FROM l),
+             regexp_replace(line, '[{quality._PLAIN}{quality.SPACE}]+', '', 'g') AS marks, lower(line) AS low, rtrim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail FROM l),
 k AS (SELECT *, length(marks) AS n, length(marks) - length(regexp_replace(marks, '[{quality._SYMBOLS}]+', '', 'g')) AS symbols,
              length(marks) - length(regexp_replace(marks, '[{quality.SEPARATORS}]+', '', 'g')) + {_BARS} AS bars FROM m),
 j AS (SELECT r, i, line, solid, words, symbols,
-             CASE WHEN words = 0 THEN 'b' WHEN regexp_matches(tail, '{quality.SENTENCE_END.replace("'", "''")}') THEN 'e' WHEN words <= {_RULES.most_menu_words} THEN 'm' WHEN words <= {_RULES.most_unended_words} THEN 'u' ELSE 'o' END AS c,
+             CASE WHEN words = 0 THEN 'b' WHEN rtrim(tail, '{quality.CLOSERS.replace("'", "''")}') <> '' AND contains('{quality.SENTENCE_ENDS}', right(rtrim(tail, '{quality.CLOSERS.replace("'", "''")}'), 1)) THEN 'e' WHEN words <= {_RULES.most_menu_words} THEN 'm' WHEN words <= {_RULES.most_unended_words} THEN 'u' ELSE 'o' END AS c,
              words > 0 AND (symbols > solid * {_RULES.most_symbol_share} OR (n >= 3 AND n > solid * {_RULES.most_punctuation_share})
                OR len(list_filter(string_split(marks, ''), lambda x: x <> '' AND contains(line, repeat(x, {_RULES.punctuation_run})))) > 0
                OR (n >= 3 AND bars >= greatest(3, words * {_RULES.least_menu_share}))
                OR (words <= {_RULES.most_boilerplate_words} AND regexp_matches(low, '(^|[^a-z0-9_])({'|'.join(quality.BOILERPLATE)})'))) AS bad,
-             regexp_matches(tail, '{quality.DOTS}') AS dotted, regexp_matches(line, '{quality.BULLETS}') AS bulleted FROM k),
+             tail LIKE '%{quality.DOTS[0]}' OR tail LIKE '%{quality.DOTS[1]}' AS dotted, regexp_matches(line, '{quality.BULLETS}') AS bulleted FROM k),
 a AS (SELECT r, string_agg(c, '' ORDER BY i) AS c, greatest(1, count(*) FILTER (words > 0)) AS filled, count(*) FILTER (c = 'e') AS ended, count(*) FILTER (dotted) AS dotted, count(*) FILTER (bulleted) AS bulleted FROM j GROUP BY r),
 s AS (SELECT j.r, sum(solid)::BIGINT AS word_chars, sum(symbols)::BIGINT AS n_symbols, (count(*) FILTER (words > 0) - count(DISTINCT line) FILTER (words > 0))::BIGINT AS n_dup_lines,
              sum(CASE WHEN bad OR (j.c = 'm' AND contains(substr(repeat('.', {_RULES.menu_run - 1}) || a.c || repeat('.', {_RULES.menu_run - 1}), i::BIGINT, {2 * _RULES.menu_run - 1}), repeat('m', {_RULES.menu_run})))

@@ -43,3 +43,22 @@ def test_words_of_a_notice_in_another_order_are_none(spark):
 def test_calibration_with_one_kind_only_keeps_margins(spark):
     held = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0)], "_margin double, label double")
     assert licenses._calibration(held) == (1.0, 0.0)
+
+
+def test_notices_wrapped_at_any_width_up_to_blank_lines_and_ends(spark):
+    """Each template at 12 to 100 columns, before a blank line and at the end of the text."""
+    plain = [(9000 + i, f"the river number {i} runs to the sea\nplain words about rivers and use of the land in any form") for i in range(40)]
+    docs, want = list(plain), {}
+    for k, (family, text) in enumerate(licenses.TEMPLATES):
+        for n, width in enumerate((12, 24, 40, 72, 100)):
+            own = "\n".join(textwrap.wrap(text.replace("{v}", "2"), width, break_long_words=False, break_on_hyphens=False))
+            if own.count("\n") + 1 > max(licenses.RUN_LINES):
+                continue
+            name = 100 * k + 2 * n
+            docs += [(name, f"Intro words of a page\n\n{own}\n\nand the page goes on with other words"), (name + 1, f"Intro words of a page\n\n{own}")]
+            want |= {name: family, name + 1: family}
+    scanner = licenses.fit(spark.createDataFrame(plain, "doc_id long, text string"))
+    got = {r.doc_id: r.families for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), scanner).collect()}
+    missed = [(k, f, got[k]) for k, f in want.items() if got[k] != f]
+    assert len(want) > 250 and len(missed) <= 0.02 * len(want), missed
+    assert not any(got[k] for k, _ in plain)

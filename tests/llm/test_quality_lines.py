@@ -30,3 +30,15 @@ def test_pages_of_menus_are_rejected(spark):
     menus = "\n".join(f"Entry {i}" for i in range(60)) + "\n" + prose
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.clean_lines(spark.createDataFrame([(1, menus), (2, prose)], "doc_id long, text string")).collect()}
     assert got == {1: (False, False), 2: (False, True)}
+
+
+FAR = ")\"'»]" * 3
+
+
+def test_sentence_ends_before_any_number_of_spaces_and_closing_marks(spark):
+    ended = "\n".join(f"{x}{FAR}{' ' * 30}\t" for x in PROSE.split("\n"))
+    broken = "\n".join(f"{x.rstrip('.')} ...{' ' * 40}" for x in PROSE.split("\n"))
+    rows = [(1, f"{ended}\nRead more here\n{ended.upper()}"), (2, broken)]
+    got = {r.doc_id: r.cleaned for r in quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Read more here" not in got[1] and got[1].count("\n") == 7
+    assert got[2] == ""
