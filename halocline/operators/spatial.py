@@ -50,15 +50,15 @@ def localised(points: DataFrame, obs: DataFrame, sigma_equator: float, sigma_pol
 
 
 def nearest(obs: DataFrame, grid: DataFrame, reach: float, key: str = "obs_id", cell: str = "ij", k: int = 1, metric: str = "chord") -> DataFrame:
-    """The ``k`` nearest grid cells within ``reach`` of every observation: key, cell, dist and rank (ties: least cell).
+    """The ``k`` nearest grid cells within ``reach`` of every observation: key, cell, dist and rank; of cells that are as near to a millimetre the least comes first.
 
     ``reach`` is the largest distance that may occur, which follows from the
     grid's spacing; an observation with fewer cells in reach has fewer rows.
     """
     pairs = within(obs.select(key, "lon", "lat"), grid.select(cell, "lon", "lat"), reach, metric)
     if k == 1:
-        best = pairs.groupBy(key).agg(F.min(F.struct("dist", cell)).alias("_b"))
+        best = pairs.groupBy(key).agg(F.min(F.struct(F.round("dist", 3).alias("_d"), cell, "dist")).alias("_b"))
         return best.select(key, F.col(f"_b.{cell}").alias(cell), F.col("_b.dist").alias("dist"), F.lit(1).alias("rank"))
     # A filter on row_number is a limit in each group before the shuffle as well.
-    order = Window.partitionBy(key).orderBy("dist", cell)
+    order = Window.partitionBy(key).orderBy(F.round("dist", 3), cell)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, cell, "dist", "rank")

@@ -218,11 +218,10 @@ def drifter_as_of(spark, d):
     return matching.as_of(views, fixes, "user_id", "ts", ["last_value"]).select("event_id", "last_value")
 
 
-@query(f"""WITH {t.OBS}, {t.FIELD}, o AS (SELECT obs_id, lon, lat FROM obs WHERE lat BETWEEN -84 AND 84 AND (lon * 10)::INT % 50 <> 0 AND (lat * 10)::INT % 50 <> 0)
-SELECT obs_id, round((lon + 5) / 10, 6) AS ri, round((lat + 95) / 10, 6) AS rj FROM o""")
+@query(f"WITH {t.OBS} SELECT obs_id, round((lon + 5) / 10, 6) AS ri, round((lat + 95) / 10, 6) AS rj FROM obs")
 def curvilinear_indexes(spark, d):
-    """On a regular grid the index of the curvilinear rule is that of the axes (no places on cell edges, where two cells are as near)."""
-    o = t.observations(spark, d).where("lat between -84 and 84 and cast(lon * 10 as int) % 50 <> 0 and cast(lat * 10 as int) % 50 <> 0").select("obs_id", "lon", "lat")
+    """On a regular grid the index of the curvilinear rule is that of the axes, also in the middle between two cells."""
+    o = t.observations(spark, d).select("obs_id", "lon", "lat")
     n = F.col("id")
     grid = spark.range(648).select((n % 36 + 1).cast("int").alias("i"), (F.floor(n / 36) + 1).cast("int").alias("j"), (n % 36 * 10.0 + 5.0).alias("lon"), (F.floor(n / 36) * 10.0 - 85.0).alias("lat"))
     x = matching.curvilinear_index(o, grid, 36, 1_500_000.0)

@@ -201,11 +201,11 @@ def nearest_cell(spark, d):
     return spatial.nearest(_places(spark, d), t.field(spark, d).select("ij", "lon", "lat"), 1_500_000.0).select("obs_id", r("dist", 3).alias("dist"))
 
 
-@query(f"""WITH {_PLACES}, {t.FIELD}, x AS (SELECT o.obs_id, f.ij, {_chord('f', 'o')} AS dist FROM places o JOIN field f ON abs(f.lat - o.lat) < 20 WHERE o.lon % 5 <> 0 AND o.lat % 5 <> 0)
-SELECT obs_id, arg_min(ij, dist) AS ij FROM x WHERE dist <= 1500000 GROUP BY obs_id""")
+@query(f"""WITH {_PLACES}, {t.FIELD}, x AS (SELECT o.obs_id, f.ij, {_chord('f', 'o')} AS dist FROM places o JOIN field f ON abs(f.lat - o.lat) < 20)
+SELECT obs_id, ij FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY round(dist, 3), ij) AS n FROM x WHERE dist <= 1500000) WHERE n = 1""")
 def nearest_cell_names(spark, d):
-    """Places off the middle between cells: there two cells are as near."""
-    return spatial.nearest(_places(spark, d).where("lon % 5 <> 0 and lat % 5 <> 0"), t.field(spark, d).select("ij", "lon", "lat"), 1_500_000.0).select("obs_id", "ij")
+    """Also of places in the middle between cells, where the least cell counts."""
+    return spatial.nearest(_places(spark, d), t.field(spark, d).select("ij", "lon", "lat"), 1_500_000.0).select("obs_id", "ij")
 
 
 @query(f"""WITH {_PLACES}, {t.FIELD}, x AS (SELECT o.obs_id, {_chord('f', 'o')} AS dist FROM places o JOIN field f ON abs(f.lat - o.lat) < 30),
@@ -263,10 +263,10 @@ def layer_interpolation(spark, d):
     return interpolation.slab_mean(layers, targets, "profile", 3.0).select("profile", "z", r("value", 5).alias("value"))
 
 
-@query(f"""WITH {t.MEMBERS}, s AS (SELECT ij, k, var_samp(value) AS v FROM members WHERE var = 'N' GROUP BY ij, k HAVING count(*) > 1), x AS (SELECT ij, k, v, row_number() OVER (PARTITION BY ij ORDER BY v DESC, k) AS n FROM s)
+@query(f"""WITH {t.MEMBERS}, s AS (SELECT ij || var AS ij, k, var_samp(value) AS v FROM members GROUP BY ij, var, k HAVING count(*) > 1), x AS (SELECT ij, k, v, row_number() OVER (PARTITION BY ij ORDER BY v DESC, k) AS n FROM s)
 SELECT ij, CASE WHEN v > 0 THEN k ELSE 1 END AS mlev FROM x WHERE n = 1""")
 def mixed_layer_by_spread(spark, d):
-    x = ensemble.members_to_array(t.members(spark, d).where("var = 'N'"), ["ij", "k"]).where(F.size("ens") > 1)
+    x = ensemble.members_to_array(t.members(spark, d).withColumn("ij", F.concat("ij", "var")), ["ij", "k"]).where(F.size("ens") > 1)
     return diagnostics.mixed_layer_by_spread(x, "ij")
 
 
