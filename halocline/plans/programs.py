@@ -81,14 +81,30 @@ def temperature_profile_operator_nearest_mask(spark, d):
     return _result(programs.temperature_profiles(_placed(spark, d).where("elem = 3073"), _state(spark, d), _grid(spark, d), s))
 
 
+def _lapse(temp: str, pressure: str) -> str:
+    """The adiabatic lapse rate (Bryden 1973) in SQL; salinity is x."""
+    poly = lambda *c: "(" + " + ".join(f"{v!r}::DOUBLE * pow({temp}, {k})" for k, v in enumerate(c)) + ")"
+    # Published coefficients.
+    return f"""({poly(3.5803e-5, 8.5258e-6, -6.836e-8, 6.6228e-10)} + {poly(1.8932e-6, -4.2393e-8)} * (x - 35)
+ + ({poly(1.8741e-8, -6.7795e-10, 8.733e-12, -5.4481e-14)} + {poly(-1.1351e-10, 2.7759e-12)} * (x - 35) + {poly(-4.6206e-13, 1.8676e-14, -2.1687e-16)} * {pressure}) * {pressure})"""
+
+
+#: Pressures of the observations stay under 1000 decibars: one step of the integration.
+_IN_SITU = f"""p AS (SELECT a.obs_id, a.reason, a.err, a.hx AS t, b.hx AS x, 1 - (5.92e-3::DOUBLE + pow(sin(abs(a.lat) * (3.141592654::DOUBLE / 180)), 2) * 5.25e-3::DOUBLE) AS c, a.lev FROM a JOIN b ON a.obs_id = b.obs_id),
+h AS (SELECT *, (c - sqrt(c * c - 8.84e-6::DOUBLE * lev)) / 4.42e-6::DOUBLE AS h, sqrt(0.5::DOUBLE) AS r FROM p),
+s1 AS (SELECT *, h * {_lapse('t', '0')} AS k1 FROM h), s2 AS (SELECT *, h * {_lapse('(t + 0.5 * k1)', '(0.5 * h)')} AS k2 FROM s1),
+s3 AS (SELECT *, t + 0.5 * k1 + (1 - r) * (k2 - k1) AS t2, (2 - 2 * r) * k2 + (3 * r - 2) * k1 AS q2 FROM s2), s4 AS (SELECT *, h * {_lapse('t2', '(0.5 * h)')} AS k3 FROM s3),
+s5 AS (SELECT *, t2 + (1 + r) * (k3 - q2) AS t3, (2 + 2 * r) * k3 - (3 * r + 2) * q2 AS q3 FROM s4), s6 AS (SELECT *, h * {_lapse('t3', 'h')} AS k4 FROM s5)"""
+
+
+@query(f"""WITH {_FIXTURE}, a AS (WITH {_observed('SELECT * FROM placed WHERE elem = 3073', _DEEP, True, value='t')} SELECT * FROM done),
+b AS (WITH {_observed('SELECT * FROM placed WHERE elem = 3073', _DEEP, True, value='s')} SELECT * FROM done), {_IN_SITU}
+SELECT obs_id, coalesce(reason, 'accepted') AS reason, round(CASE WHEN reason IS NULL THEN t3 + (k4 - 2 * q3) / 6 END, 7) AS ohx, round(err, 7) AS err FROM s6""")
 def converted_temperatures(spark, d):
     """Model potential temperatures at the observations as in-situ temperatures."""
     return _result(programs.temperature_profiles(_placed(spark, d).where("elem = 3073"), _state(spark, d), _grid(spark, d), _GRID, convert="model"))
 
 
-query()(converted_temperatures)
-
-
 @query(f"WITH {_FIXTURE}, {_observed('SELECT * FROM placed WHERE elem = 5521', _DEEP, True, value='s')} {_RESULT.format(scale=1.0)}")
 def salinity_profile_operator(spark, d):
     field = _state(spark, d).withColumnRenamed("s", "value")
