@@ -9,6 +9,7 @@ from ..functions import ensemble
 from ..operators.quality_control import ensemble_check
 from ..operators.transform import analyse, packed_transforms
 from ..schema import FilterConfig
+from ..sources.decoders import merge_members
 
 
 def analysis(state: DataFrame, points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
@@ -33,3 +34,16 @@ def statistics(ana: DataFrame) -> DataFrame:
     """Mean, spread and increment of each row of an analysis."""
     a, b = F.col("ana"), F.col("ens")
     return ana.select("point", "k", "var", ensemble.mean(a).alias("mean"), ensemble.spread(a).alias("spread"), (ensemble.mean(a) - ensemble.mean(b)).alias("increment"))
+
+
+def analysis_of_slots(state: DataFrame, points: DataFrame, records: DataFrame, config: FilterConfig = FilterConfig(), slots: list[int] | None = None) -> DataFrame:
+    """``analysis`` with the observations of several time slots, each compared with the ensemble at its own time.
+
+    ``records`` are those of all slots and members (slot, rid, member, elem, lon,
+    lat, lev, dat, err, ohx, oqc); ``slots`` chooses some, None takes all. Records
+    are told apart by slot and number, so the same number in two slots is two
+    observations, and the files of all slots are merged in one pass.
+    """
+    rows = records if slots is None else records.where(F.col("slot").isin(slots))
+    obs = merge_members(rows).withColumn("obs_id", F.col("slot").cast("long") * (1 << 40) + F.col("rid"))
+    return analysis(state, points, obs, config)

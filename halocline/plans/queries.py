@@ -351,6 +351,24 @@ def analysis_of_variable_groups(spark, d):
     return out.select("point", "var", r("mean", 5).alias("mean"), r("spread", 5).alias("spread"))
 
 
+#: As _ALONE, with every observation accepted as it is.
+_TRUSTING = FilterConfig(
+    sigma_equator=1000.0, sigma_pole=1000.0, inflation=1.1, physical_limits={}, gross_error=1e9, qc_member_departure=False, qc_mean_departure=False, adaptive_error=False, most_latitude=90.0, least_sst=-1e9, sss_range=(-1e9, 1e9)
+)
+
+
+@query(f"""{_SINGLE} SELECT obs_id AS point, round(m + CASE WHEN obs_id % 5 < 4 THEN c * dep * ph / (a + c * hh) ELSE 0 END, 5) AS mean,
+round(sqrt(1.1::DOUBLE * (pp - CASE WHEN obs_id % 5 < 4 THEN (1 - a / (a + c * hh)) * ph * ph / hh ELSE 0 END) / 63), 5) AS spread FROM y""")
+def analysis_of_slots(spark, d):
+    """Records of four of five slots, a row for each member, in one analysis; record numbers repeat from slot to slot."""
+    e = t.ensemble_observations(spark, d)
+    records = e.select((F.col("obs_id") % 5).cast("int").alias("slot"), F.floor(F.col("obs_id") / 5).alias("rid"), "elem", "lon", "lat", "lev", "dat", "err", F.posexplode("hx").alias("member", "ohx")).withColumn("oqc", F.lit(1))
+    points = e.select(F.col("obs_id").alias("point"), "lon", "lat", "lev", F.lit(True).alias("upper"))
+    state = e.select(F.col("obs_id").alias("point"), F.lit(1).alias("k"), F.lit("t").alias("var"), F.lit(3).alias("kmt"), F.reverse("hx").alias("ens"))
+    out = whole.statistics(whole.analysis_of_slots(state, points, records, _TRUSTING, [0, 1, 2, 3]))
+    return out.select("point", r("mean", 5).alias("mean"), r("spread", 5).alias("spread"))
+
+
 @query()
 def analysis(spark, d):
     """Points from nations, two levels and two variables; 64 members from the embeddings' columns; all observations."""
