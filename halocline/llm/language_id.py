@@ -13,7 +13,9 @@ Null texts and texts without a letter are ``und`` with score 0. Rows without a
 language, id or text are not learned from. Repeated rows are predicted one by
 one. Other columns pass through ``identify``, which adds lang_pred and score and
 replaces columns of these names. A table with nothing to learn from gives ``und``
-for all rows; an empty table gives an empty result.
+for all rows; an empty table gives an empty result. Of centroids that are as near the
+first counts: that of the language first in the alphabet. Long texts are one vector
+each, read whole.
 """
 
 from __future__ import annotations

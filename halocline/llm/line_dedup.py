@@ -9,7 +9,10 @@ in many tasks and the counts are added up. What returns to the documents is one
 bitmap each of the lines to drop, as (word of 64 positions, bits).
 
 Null text is one empty line. A row that repeats doc_id and text is the same
-document: it counts once and gets the same result. Null doc_id is allowed.
+document: it counts once and gets the same result. Null doc_id is allowed. Long
+texts and long lines are whole: a text's bitmap has a word for each 64 lines. Of lines
+that tie as first the one of the least document, then position, is first. An empty
+table gives an empty result.
 Columns other than doc_id and text pass through ``dedup_lines`` unchanged.
 """
 

@@ -22,7 +22,8 @@ looked up in the task; the rest are joined with the table of counts.
 
 Null text counts as empty: one token, the end. Long texts are whole: their windows
 are like those of many short ones, and one text must fit a task. Null doc_id counts as empty text
-for the fold. Repeated rows are scored one by one. With nothing to learn from, N
+for the fold. Repeated rows are scored one by one. Documents whose id hashes tie are
+sampled by text; words whose counts tie are looked up in the task together or not at all. With nothing to learn from, N
 and V are 0 and the model is uniform. Other columns are not read.
 """
 

@@ -17,6 +17,9 @@ places are found by joins.
 Text without words has fingerprint zero. Null text counts as empty. A row that
 repeats doc_id and text is the same document. Null doc_id is allowed; a
 component's id is its least non-null doc_id. An empty table gives an empty result.
+Long texts are whole: their shingles are added up in blocks. A bit that half of the
+hashes have is not set. Columns other than doc_id and text are not read by
+``near_duplicates`` and stay as they are in ``one_of_each``.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ come back the same way, grouped by batch.
 
 Each row of the input is a document of its own: repeated rows are copies of each
 other. Null text has no words. Null doc_id is allowed. Only doc_id and text are
-read. An empty table gives an empty result.
+read. An empty table gives an empty result. Texts longer than a batch are batches of
+their own and whole. There is nothing to tie: all words in repeated windows go, none
+is kept as the first.
 """
 
 from __future__ import annotations
