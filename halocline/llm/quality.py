@@ -54,6 +54,11 @@ SENTENCE_ENDS, CLOSERS = ".!?:;…。！？؟।", "\"'”’»)]"
 TRAILING = "\x20\x09\x0A\x0B\x0C\x0D"
 #: What a line that breaks off ends with, and what a bulleted line begins with.
 DOTS = ("...", "…")
+#: How many characters at the end of a line are looked at first, patterns of what they may end with, and of an end that they don't show.
+TAIL = 8
+ENDED = rf"[{SENTENCE_ENDS}][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+BROKEN = r"(\.\.\.|…)[\x20\x09-\x0D]*$"
+FILLED = rf"[\"'”’»)\]\x20\x09-\x0D]{{{TAIL - 2}}}$"
 BULLETS = r"^[\x20\x09-\x0D]*[-*•‣◦▪●·–—]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -175,11 +180,14 @@ def _judged(rules: QualityRules) -> Column:
         bad = ((n > solid * rules.most_symbol_share) & (symbols > solid * rules.most_symbol_share)) | much | run | menu | stock
         # Of a line without marks nothing is looked at.
         bad = ((n > 0) & bad) | stock
-        # Trimmed, not matched: neither trailing spaces nor closing marks have a length that hides the end.
+        # The last characters tell, unless spaces and closing marks fill them: such lines are trimmed, at any length.
+        tail = F.right(line, F.lit(TAIL))
+        far = F.rlike(tail, F.lit(FILLED))
         end = F.rtrim(line, F.lit(TRAILING))
         last = F.right(F.rtrim(end, F.lit(CLOSERS)), F.lit(1))
-        letter = F.when(words == 0, "b").when((n > 0) & (last != "") & F.contains(F.lit(SENTENCE_ENDS), last), "e").when(words <= rules.most_menu_words, "m").when(words <= rules.most_unended_words, "u").otherwise("o")
-        broken = end.endswith(DOTS[0]) | end.endswith(DOTS[1])
+        ended = F.when(far, (last != "") & F.contains(F.lit(SENTENCE_ENDS), last)).otherwise(F.rlike(tail, F.lit(ENDED)))
+        letter = F.when(words == 0, "b").when((n > 0) & ended, "e").when(words <= rules.most_menu_words, "m").when(words <= rules.most_unended_words, "u").otherwise("o")
+        broken = F.when(far, end.endswith(DOTS[0]) | end.endswith(DOTS[1])).otherwise(F.rlike(tail, F.lit(BROKEN)))
         dotted, bulleted = (n > 0) & broken, (n > 0) & F.rlike(line, F.lit(BULLETS))
         return F.struct(letter.alias("m"), ((words > 0) & bad).alias("bad"), dotted.alias("dotted"), bulleted.alias("bulleted"))
 
