@@ -80,7 +80,7 @@ UNKNOWN = "unknown"
 #: Words that a template which has them must find, and that a template without them must not find.
 DISTINCT = ("affero", "agpl", "apache", "artistic", "attribution", "boost", "bsd", "cc", "creative", "eclipse", "gpl", "isc", "lesser", "lgpl", "mit", "mozilla")
 #: Lengths of runs of lines; the standard notices broken at 60 columns or more have up to 16 lines.
-RUN_LINES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 36)
+RUN_LINES = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 
 
 @dataclass(frozen=True)
@@ -213,10 +213,10 @@ def _runs(docs: DataFrame, single: list[str]) -> DataFrame:
     lines = settled(lines.withColumn("_words", F.transform("_lines", _tokens)))
     known = F.array(*map(F.lit, single))
     lines = settled(lines.withColumn("_hit", F.transform("_words", lambda w: F.arrays_overlap(w, known)))).where(F.exists("_hit", lambda x: x))
-    # How many lines from each one there are up to a blank one or the end: longer runs are cut off there.
+    # How many lines from each one there are up to a blank one or the end, and more than any run has if that is far: longer runs are cut off there.
     most = max(RUN_LINES)
     lines = settled(lines.withColumn("_blank", F.transform("_words", lambda w: F.size(w) == 0)))
-    open_ = f"coalesce(nullif(array_position(slice(_blank, i + 1, {most}), true), 0) - 1, least({most}, size(_lines) - i))"
+    open_ = f"coalesce(nullif(array_position(slice(_blank, i + 1, {most + 1}), true), 0) - 1, least({most + 1}, size(_lines) - i))"
     lengths = ", ".join(map(str, RUN_LINES))
     at = f"""flatten(transform(filter(sequence(0, size(_lines) - 1), i -> _hit[i] OR (NOT _blank[i] AND (i = 0 OR _blank[greatest(i - 1, 0)]) AND exists(slice(_hit, i + 1, {most}), x -> x))), i ->
                 transform(array_distinct(transform(array({lengths}), n -> CAST(least(n, greatest(1, {open_})) AS INT))),
