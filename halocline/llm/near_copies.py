@@ -1,12 +1,21 @@
-"""Near copies by Jaccard similarity of word shingles: banded minima find candidates, whole shingle sets decide.
+"""Near copies by Jaccard similarity of word shingles: ball-hashed SimHash fingerprints find candidates, whole shingle sets decide.
 
 A document's distinct shingles are one set, and documents with equal sets are one
-node. A set has BANDS keys, each a hash of ROWS minima of its shingles under
-random orders: two sets of similarity s share a key with probability
-1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8. Sets that share a key are candidates, and
-no candidate pair is left out:
-
-1. In each bucket of a key all sets are compared with one centre, the set with the
+node. A set has TABLES independent SimHash fingerprints of BITS bits: a bit is 1 if
+over half of the shingles' hashes have it. Fingerprints within RADIUS bits are found by
+meet-in-the-middle ball hashing as in ``simhash``: both emit all variants within half
+the radius, and meet at a common one. Bits of two sets of similarity s and like size
+differ with probability acos(2s / (1 + s)) / pi, so a pair at 0.8 is within the radius in
+some fingerprint with probability 0.9998 (tests count it); sets of at most TINY
+shingles, whose bits are noisier, have MOST_TABLES fingerprints.
+
+Sharers of a variant are candidates where CHECK_BITS further bits are no further apart
+than those of a link can be, five standard deviations included: this leaves out
+sharers by chance. All pairs of sharers are looked at unless they are joined already. Sets
+that candidates join in one place make a bucket, named by its least set; a bucket takes
+what any place or fingerprint puts under its name, and no candidate pair is left out:
+
+1. In each bucket all sets are compared with one centre, the set with the
    most neighbours over all its buckets; what is linked gets a common label.
 2. Buckets of three or more sets that still have several labels are compared in
    full, in blocks of bounded bytes: a group of tasks holds two blocks of a bucket
@@ -18,8 +27,8 @@ So a large group of near copies costs a few comparisons a set, whether or not a
 is in it that all are close to. Comparisons happen inside a task; rows come out for
 links that join labels, never for pairs. Every link is checked on the full sets.
 
-A single 64-bit SimHash does not reach 0.8: at 0.80 to 0.85 few pairs lie within
-4 bits (figures in the README).
+One 64-bit fingerprint within 4 bits does not reach 0.8: at 0.80 to 0.85 few pairs lie
+that close (figures in the README). Many short ones do.
 
 Text without words has the empty set, which equals other empty sets only. Null
 text counts as empty. Null doc_id is allowed. Very long texts are whole sets; a block
@@ -37,10 +46,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_list, connected_components, materialise, packed, same_document
+from .common import bounded_batches, byte_list, connected_components, local_components, materialise, mixed, packed, release, same_document
 from .simhash import shingle_hashes
 
-BANDS, ROWS = 20, 5
+TABLES, BITS, RADIUS = 28, 24, 2
+#: Sets of so few shingles have more fingerprints.
+TINY, MOST_TABLES = 5, 64
+CHECK_BITS = 128
+#: Places of a fingerprint hold so many sets that are not moved, about; and the least number of bits that choose a place.
+PLACE_SETS, LEAST_SELECTOR = 1 << 16, 4
+#: Fingerprints whose variants are shuffled at a time, and sets that a task deals to places at once.
+ROUND_TABLES, DEAL_SETS = 8, 4000
+#: Sharers of a variant that are compared together with those of other variants; more have a comparison of their own.
+MANY = 64
 #: Bytes of sets that a task compares with one centre, and that make a block of a bucket.
 DEAL_BYTES = 8 << 20
 #: Sets whose distances to all others of a group are kept.
@@ -49,43 +67,179 @@ PIVOTS = 8
 CHUNK = 32
 #: Shingles that one numpy pass works on.
 BLOCK_SHINGLES = 1 << 16
+_TABLE_BYTES, _CHECK_AT, _CHECK_BYTES = BITS // 8, TABLES * BITS // 8, CHECK_BITS // 8
+_LENGTH, _MOST_LENGTH = _CHECK_AT + _CHECK_BYTES, _CHECK_AT + _CHECK_BYTES + (MOST_TABLES - TABLES) * BITS // 8
 _RNG = np.random.default_rng(17)
-_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_PLUS = _RNG.integers(0, 1 << 63, -(-_MOST_LENGTH // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: By byte: its bits as bytes of one number, so that sums of up to 255 of them count bits.
+_SPREAD = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8).view(np.uint64).reshape(-1)
+#: What a place gets of a set: its name, fingerprint and check bits.
+_MEMBER = np.dtype([("s", "<i8"), ("v", "<u4"), ("check", "<u8", CHECK_BITS // 64)])
+_BUCKET = "key long, s long"
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, BANDS) keys of sets of shingle hashes, none of them empty."""
-    least = np.empty((BANDS * ROWS, len(sets)), dtype=np.uint64)
+def prints(sets: list[np.ndarray], length: int) -> np.ndarray:
+    """(sets, length) bytes of SimHash bits of sets of shingle hashes, none of them empty: a bit is 1 if over half of the hashes have it."""
+    out = np.empty((len(sets), length), dtype=np.uint8)
     sizes = np.array([len(s) for s in sets])
     start = 0
     while start < len(sets):
         end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), BLOCK_SHINGLES, "right")))
-        joined = np.concatenate(sets[start:end])
-        firsts = np.cumsum(sizes[start:end]) - sizes[start:end]
-        for i in range(BANDS * ROWS):
-            least[i, start:end] = np.minimum.reduceat(joined * _TIMES[i] + _PLUS[i], firsts)
+        joined, own = np.concatenate(sets[start:end]), sizes[start:end]
+        # Parts of at most 255 shingles, none across sets.
+        parts = -(-own // 255)
+        of = np.repeat(np.arange(len(own)), parts)
+        first = np.cumsum(parts) - parts
+        begin = (np.cumsum(own) - own)[of] + 255 * (np.arange(len(of)) - first[of])
+        for word in range(-(-length // 8)):
+            raw = mixed(joined + _PLUS[word]).view(np.uint8).reshape(-1, 8)
+            for byte in range(8 * word, min(8 * word + 8, length)):
+                ones = np.add.reduceat(_SPREAD.take(raw[:, byte - 8 * word]), begin).view(np.uint8).reshape(-1, 8)
+                ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+                out[start:end, byte] = np.packbits(2 * ones > own[:, None], axis=1, bitorder="little")[:, 0]
         start = end
-    rows = np.ascontiguousarray(least.T.reshape(len(sets), BANDS, ROWS))
-    return np.array([[xxhash.xxh64_intdigest(rows[i, b].tobytes(), b) for b in range(BANDS)] for i in range(len(sets))], dtype=np.uint64).reshape(-1, BANDS)
+    return out
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, _th (hash of the text), s (names the shingle set) and keys (none for the empty set)."""
+    """doc_id, _th (hash of the text), s (names the shingle set) and print (its SimHash bits; none for the empty set)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, shingle_words)) for t in byte_list(batch.column("text"))]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            full = [s for s in sets if len(s)]
-            keys = band_keys(full).view(np.int64).reshape(-1)
-            cuts = np.concatenate(([0], np.cumsum([BANDS if len(s) else 0 for s in sets])))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("_th"), pa.array(names), lists], ["doc_id", "_th", "s", "keys"])
+            bits = [b""] * len(sets)
+            for length, own in ((_LENGTH, [i for i, s in enumerate(sets) if len(s) > TINY]), (_MOST_LENGTH, [i for i, s in enumerate(sets) if 0 < len(s) <= TINY])):
+                for i, row in zip(own, prints([sets[i] for i in own], length)):
+                    bits[i] = row.tobytes()
+            yield pa.record_batch([batch.column("doc_id"), batch.column("_th"), pa.array(names), pa.array(bits, pa.binary())], ["doc_id", "_th", "s", "print"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_th"), "text")
-    return own.mapInArrow(run, "doc_id long, _th long, s long, keys array<long>")
+    return own.mapInArrow(run, "doc_id long, _th long, s long, print binary")
+
+
+# ---- ball hashing
+
+
+def _fingerprints(bits: np.ndarray, table: int) -> np.ndarray:
+    """Fingerprint ``table`` of rows of ``prints``."""
+    at = table * _TABLE_BYTES + (_CHECK_BYTES if table >= TABLES else 0)
+    wide = np.zeros((len(bits), 4), dtype=np.uint8)
+    wide[:, :_TABLE_BYTES] = bits[:, at : at + _TABLE_BYTES]
+    return wide.view("<u4").reshape(-1)
+
+
+def _selected(bits: int) -> np.ndarray:
+    """``bits`` of a fingerprint's bits, dealt evenly."""
+    return np.uint32(1) << ((np.arange(bits) * BITS) // bits).astype(np.uint32)
+
+
+def dealt(names: np.ndarray, bits: np.ndarray, tables: range, selector: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (table and selector value) that variants of each of the fingerprints ``tables`` fall into, and who goes there."""
+    mask, flips = np.bitwise_or.reduce(selector), np.concatenate((np.zeros(1, dtype=np.uint32), selector))
+    for table in tables:
+        rows = np.empty(len(names), dtype=_MEMBER)
+        rows["s"], rows["v"] = names, _fingerprints(bits, table)
+        rows["check"] = np.ascontiguousarray(bits[:, _CHECK_AT : _CHECK_AT + _CHECK_BYTES]).view("<u8")
+        at = (rows["v"] & mask)[:, None] ^ flips[None, :]
+        yield (at.reshape(-1).astype(np.int64) | table << BITS), np.repeat(rows, len(flips))
+
+
+def joined_in_place(place: int, rows: np.ndarray, selector: np.ndarray, most: int) -> np.ndarray:
+    """For each of the sets ``rows`` of one place, the least index that candidates lead to: pairs that share a variant and have check bits at most ``most`` apart."""
+    n, mask = len(rows), np.bitwise_or.reduce(selector)
+    v, check, at = rows["v"], rows["check"], np.uint32(place & ((1 << BITS) - 1))
+    rest = np.uint32(1) << np.arange(BITS, dtype=np.uint32)
+    tails = np.concatenate((np.zeros(1, dtype=np.uint32), rest[(rest & mask) == 0]))
+    still = (v & mask) == at
+    here, moved = np.flatnonzero(still), np.flatnonzero(~still)
+    values = np.concatenate(((v[here][:, None] ^ tails[None, :]).reshape(-1), (v[moved] & ~mask) | at))
+    owners = np.concatenate((np.repeat(here, len(tails)), moved))
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    edges = np.append(np.flatnonzero(np.diff(values, prepend=values[0] ^ np.uint32(1))), len(values))
+    # Variants of one set only are done.
+    size = np.diff(edges)
+    keep = np.repeat(size > 1, size)
+    owners, size = owners[keep], size[size > 1]
+    end = np.repeat(np.cumsum(size), size)
+    root, left = np.arange(n), np.arange(len(owners))
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(check[a] ^ check[b]).sum(axis=-1, dtype=np.int64) <= most
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return local_components(np.concatenate((np.arange(n), a)), np.concatenate((root, b)), n) if len(a) else root
+
+    for shift in range(1, MANY):
+        left = left[left + shift < end[left]]
+        if not len(left):
+            break
+        a, b = owners[left], owners[left + shift]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        ok = near(a, b)
+        root = merge(a[ok], b[ok])
+    for stop, m in zip(np.cumsum(size)[size > MANY].tolist(), size[size > MANY].tolist()):
+        own = owners[stop - m : stop]
+        parts, of, many = np.unique(root[own], return_inverse=True, return_counts=True)
+        # Every set outside of the largest part with all sets of other parts.
+        for x in own[of != many.argmax()].tolist() if len(parts) > 1 else []:
+            others = own[root[own] != root[x]]
+            others = others[near(others, np.full(len(others), x))]
+            root = merge(np.full(len(others), x), others)
+    return root
+
+
+def buckets(sets: DataFrame, count: int, least: float) -> DataFrame:
+    """(key, s): sets by bucket, of ``sets`` (s, print), which are ``count`` distinct ones."""
+    selector = _selected(int(min(16, max(LEAST_SELECTOR, np.ceil(np.log2(max(count, 1) / PLACE_SETS))))))
+    differ = float(np.arccos(2 * least / (1 + least)) / np.pi)
+    most = int(np.ceil(CHECK_BITS * differ + 5 * np.sqrt(CHECK_BITS * differ * (1 - differ))))
+
+    def deal(tables: range, length: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def rows() -> pa.RecordBatch:
+                names, bits = (np.concatenate(x) for x in zip(*held))
+                places, members = (np.concatenate(x) for x in zip(*dealt(names, bits, tables, selector)))
+                order = np.argsort(places, kind="stable")
+                places, members = places[order], members[order]
+                cuts = np.append(np.flatnonzero(np.diff(places, prepend=-1)), len(places))
+                held.clear()
+                return pa.record_batch([pa.array(places[cuts[:-1]]), pa.array([members[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())], ["place", "members"])
+
+            for batch in batches:
+                if len(batch):
+                    held.append((batch.column("s").to_numpy(), np.frombuffer(b"".join(batch.column("print").to_pylist()), dtype=np.uint8).reshape(-1, length)))
+                if sum(len(x) for x, _ in held) >= DEAL_SETS:
+                    yield rows()
+            if held:
+                yield rows()
+
+        return run
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table.column("members").to_pylist()), dtype=_MEMBER)
+        rows = rows[np.argsort(rows["s"])]
+        root = joined_in_place(key[0].as_py(), rows, selector, most)
+        own = np.bincount(root, minlength=len(root))[root] > 1
+        return pa.table({"key": rows["s"][root[own]], "s": rows["s"][own]})
+
+    found = []
+    tiny, other = sets.where(F.length("print") == _MOST_LENGTH), sets.where(F.length("print") == _LENGTH)
+    for first in range(0, TABLES, ROUND_TABLES):
+        tables = range(first, min(first + ROUND_TABLES, TABLES))
+        sent = other.mapInArrow(deal(tables, _LENGTH), "place long, members binary").union(tiny.mapInArrow(deal(tables, _MOST_LENGTH), "place long, members binary"))
+        found.append(materialise(sent.groupBy("place").applyInArrow(meet, _BUCKET).distinct(), "buckets"))
+        release(sets.sparkSession)
+    sent = tiny.mapInArrow(deal(range(TABLES, MOST_TABLES), _MOST_LENGTH), "place long, members binary")
+    every = materialise(sent.groupBy("place").applyInArrow(meet, _BUCKET).distinct(), "buckets")
+    for part in found:
+        every = every.union(part)
+    return every.distinct()
 
 
 def contents(docs: DataFrame, own: DataFrame, named: DataFrame, shingle_words: int) -> DataFrame:
@@ -185,9 +339,9 @@ def _full(least: float):
 def components(docs: DataFrame, shingle_words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Sketches of ``docs``, and (s, component) of all sets that have a link to another: the least set that links lead to."""
     own = materialise(sketches(docs, shingle_words), "sketches")
-    sets = own.groupBy("s").agg(F.first("keys").alias("keys"))
-    rows = sets.select("s", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sets = materialise(own.where(F.length("print") > 0).groupBy("s").agg(F.first("print").alias("print")), "prints")
+    rows = materialise(buckets(sets, sets.count(), least), "buckets")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"))
     members = materialise(rows.join(shared, "key"), "members")
     held = materialise(contents(docs, own, members.select("s").distinct(), shingle_words), "sets")
 

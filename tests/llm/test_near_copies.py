@@ -126,3 +126,48 @@ def test_null_empty_short_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == [1, 4, 6, 7, 8]
     assert near_copies.one_of_each(docs.limit(0)).count() == 0
+
+
+def _found(sets, least=0.8):
+    """(table, a, b) of candidates by ball hashing, a the least index of a place's group; and what brute force finds of pairs."""
+    selector, names = near_copies._selected(near_copies.LEAST_SELECTOR), np.arange(len(sets))
+    bits = near_copies.prints(sets, near_copies._MOST_LENGTH)
+    got, want = set(), set()
+    check = bits[:, near_copies._CHECK_AT : near_copies._CHECK_AT + near_copies._CHECK_BYTES]
+    near = np.array([np.bitwise_count(check ^ row).sum(axis=1) <= 40 for row in check])
+    for table in range(near_copies.MOST_TABLES):
+        (places, rows), *_ = near_copies.dealt(names, bits, range(table, table + 1), selector)
+        for place in np.unique(places).tolist():
+            own = rows[places == place]
+            own = own[np.argsort(own["s"])]
+            root = near_copies.joined_in_place(place, own, selector, 40)
+            got |= {(table, int(own["s"][a]), int(own["s"][b])) for b, a in enumerate(root) if a != b}
+        v = near_copies._fingerprints(bits, table)
+        a, b = np.nonzero((np.bitwise_count(v[:, None] ^ v[None, :]) <= near_copies.RADIUS) & near)
+        want |= {(table, int(x), int(y)) for x, y in zip(a, b) if x < y}
+    return got, want
+
+
+def test_candidates_are_those_of_ball_hashed_fingerprints():
+    """Pairs at 0.8, of sets from 5 to 300 shingles: all fingerprints within the radius meet, and nearly every pair has some."""
+    for size, common in ((5, 4), (9, 8), (24, 20), (32, 28), (100, 84), (300, 260)):
+        sets = []
+        for _ in range(150):
+            words = RNG.integers(0, 1 << 62, 2 * size, dtype=np.uint64)
+            whole = size if size == 5 else size - (size - common) // 2 if size > 9 else size
+            other = np.concatenate((words[:common], words[size : size + max(0, int(common / 0.8) - whole)]))
+            sets += [np.unique(words[:whole]), np.unique(other)]
+        got, want = _found(sets)
+        assert got == want
+        assert len({(a, b) for table, a, b in got if b == a + 1 and (size <= near_copies.TINY or table < near_copies.TABLES)}) >= 149
+
+
+def test_many_sharers_of_one_variant():
+    """Two families that share variants by chance: neither hides the other's links."""
+    selector, n = near_copies._selected(near_copies.LEAST_SELECTOR), 2 * near_copies.MANY + 40
+    rows = np.zeros(n, dtype=near_copies._MEMBER)
+    rows["s"] = np.arange(n)
+    rows["check"][1::2] = np.uint64((1 << 64) - 1)
+    rows["check"][-1] = np.uint64(0x5555555555555555)
+    root = near_copies.joined_in_place(0, rows, selector, 40)
+    assert root.tolist() == [i % 2 for i in range(n - 1)] + [n - 1]
