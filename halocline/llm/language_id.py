@@ -64,6 +64,13 @@ def _weighted(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def _weighted_in_place(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """As ``_weighted``; a block of rows at a time, so that nothing else of the size of ``rows`` is held."""
+    for i in range(0, len(rows), 32):
+        rows[i : i + 32] = _weighted(rows[i : i + 32], weights)
+    return rows
+
+
 def _clusters(v: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """Spherical k-means from spread-out seeds."""
     at = [int(rng.integers(len(v)))]
@@ -87,19 +94,28 @@ def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 400,
     share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / (1 << 20)
     rows = known.where(draw < share[F.col("lang")]).select("lang", "text").where(F.rlike("text", F.lit(r"\p{L}"))).toLocalIterator()
-    langs, vectors = [], []
+    # Slots and counts of each vector by language: dense vectors of one language at a time are held.
+    vectors: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    seen, n = np.zeros(SIZE, dtype=np.int64), 0
     for r in rows:
-        langs.append(r["lang"])
-        vectors.append(counts(r["text"]))
-    x = np.stack(vectors) if vectors else np.zeros((0, SIZE), np.float32)
-    weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    v = _weighted(x, weights)
-    names, rng = sorted(set(langs)), np.random.default_rng(seed)
-    of = np.array([names.index(g) for g in langs], dtype=int)
-    parts = [_clusters(v[of == i], clusters, rng) for i in range(len(names))]
+        x = counts(r["text"])
+        at = np.flatnonzero(x)
+        seen[at] += 1
+        n += 1
+        vectors.setdefault(r["lang"], []).append((at.astype(np.uint16), x[at]))
+    weights = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+    names, rng = sorted(vectors), np.random.default_rng(seed)
+    parts, own = [], []
+    for name in names:
+        v = np.zeros((len(vectors[name]), SIZE), dtype=np.float32)
+        for row, (at, c) in zip(v, vectors.pop(name)):
+            row[at] = c
+        v = _weighted_in_place(v, weights)
+        parts.append(_clusters(v, clusters, rng))
+        own.append((v @ parts[-1].T).max(axis=1).min())
+        del v
     centroids = np.concatenate(parts) if parts else np.zeros((0, SIZE), np.float32)
-    owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
-    own = np.array([(v[of == i] @ p.T).max(axis=1).min() for i, p in enumerate(parts)])
+    owner, own = np.repeat(np.arange(len(names)), [len(p) for p in parts]), np.array(own)
     # Half the cosine of the furthest document that was learned from.
     return LanguageModel(names, centroids.astype(np.float32), owner, weights, float(own.min() / 2) if len(own) else 0.0)
 
