@@ -12,16 +12,17 @@ shingles, whose bits are noisier, have MOST_TABLES fingerprints.
 Sharers of a variant are candidates where CHECK_BITS further bits are no further apart
 than those of a link can be, five standard deviations included: this leaves out
 sharers by chance. All pairs of sharers are looked at unless they are joined already. Sets
-that candidates join in one place make a bucket, named by its least set; a bucket takes
-what any place or fingerprint puts under its name, and no candidate pair is left out:
+that candidates join in one place are a group, named by its least set. Groups that have a
+set in common are one bucket, whatever their places and fingerprints: a set is in one
+bucket only, so a pair is compared once, and no candidate pair is left out:
 
 1. In each bucket all sets are compared with one centre, the set with the
-   most neighbours over all its buckets; what is linked gets a common label.
+   most neighbours over all its groups; what is linked gets a common label.
 2. Buckets of three or more sets that still have several labels are compared in
    full, in blocks of bounded bytes: a group of tasks holds two blocks of a bucket
    and compares sets of different labels, until two labels are found linked. Sizes
-   too far apart, and distances to common sets that differ by more than a link may
-   (Jaccard distance is a metric), rule pairs out without a comparison.
+   too far apart, and no shingle in common among each set's rarest (more than a link
+   leaves unshared, so this is exact), rule pairs out without a comparison.
 
 So a large group of near copies costs a few comparisons a set, whether or not a text
 is in it that all are close to. Comparisons happen inside a task; rows come out for
@@ -43,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, byte_list, connected_components, local_components, materialise, mixed, packed, release, same_document
@@ -61,10 +62,8 @@ ROUND_TABLES, DEAL_SETS = 8, 4000
 MANY = 64
 #: Bytes of sets that a task compares with one centre, and that make a block of a bucket.
 DEAL_BYTES = 8 << 20
-#: Sets whose distances to all others of a group are kept.
-PIVOTS = 8
 #: Sets compared with one at a time.
-CHUNK = 32
+CHUNK = 64
 #: Shingles that one numpy pass works on.
 BLOCK_SHINGLES = 1 << 16
 _TABLE_BYTES, _CHECK_AT, _CHECK_BYTES = BITS // 8, TABLES * BITS // 8, CHECK_BITS // 8
@@ -75,7 +74,7 @@ _PLUS = _RNG.integers(0, 1 << 63, -(-_MOST_LENGTH // 8), dtype=np.uint64) * np.u
 _SPREAD = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8).view(np.uint64).reshape(-1)
 #: What a place gets of a set: its name, fingerprint and check bits.
 _MEMBER = np.dtype([("s", "<i8"), ("v", "<u4"), ("check", "<u8", CHECK_BITS // 64)])
-_BUCKET = "key long, s long"
+_GROUP = "key long, s long"
 
 
 def prints(sets: list[np.ndarray], length: int) -> np.ndarray:
@@ -192,8 +191,8 @@ def joined_in_place(place: int, rows: np.ndarray, selector: np.ndarray, most: in
     return root
 
 
-def buckets(sets: DataFrame, count: int, least: float) -> DataFrame:
-    """(key, s): sets by bucket, of ``sets`` (s, print), which are ``count`` distinct ones."""
+def groups(sets: DataFrame, count: int, least: float) -> DataFrame:
+    """(key, s): sets by group, of ``sets`` (s, print), which are ``count`` distinct ones. A set is in one group at most for each place that it is dealt to."""
     selector = _selected(int(min(16, max(LEAST_SELECTOR, np.ceil(np.log2(max(count, 1) / PLACE_SETS))))))
     differ = float(np.arccos(2 * least / (1 + least)) / np.pi)
     most = int(np.ceil(CHECK_BITS * differ + 5 * np.sqrt(CHECK_BITS * differ * (1 - differ))))
@@ -233,15 +232,24 @@ def buckets(sets: DataFrame, count: int, least: float) -> DataFrame:
     for first in range(0, TABLES, ROUND_TABLES):
         tables = range(first, min(first + ROUND_TABLES, TABLES))
         sent = other.mapInArrow(deal(tables, _LENGTH), "place long, members binary").union(tiny.mapInArrow(deal(tables, _MOST_LENGTH), "place long, members binary"))
-        found.append(materialise(sent.groupBy("place").applyInArrow(meet, _BUCKET).distinct(), "buckets"))
+        found.append(materialise(sent.groupBy("place").applyInArrow(meet, _GROUP).distinct(), "groups"))
         release(sets.sparkSession)
     sent = tiny.mapInArrow(deal(range(TABLES, MOST_TABLES), _MOST_LENGTH), "place long, members binary")
-    every = materialise(sent.groupBy("place").applyInArrow(meet, _BUCKET).distinct(), "buckets")
+    every = materialise(sent.groupBy("place").applyInArrow(meet, _GROUP).distinct(), "groups")
     for part in found:
         every = every.union(part)
     return every.distinct()
 
 
+def buckets(rows: DataFrame) -> DataFrame:
+    """(key, s, n): the one bucket of each set of ``groups``, and how many sets it has. Groups that share a set are one bucket, named by its least set."""
+    # A large family is in many groups: each set keeps one edge, to the least of its groups, and each other group one to every such least.
+    own = rows.withColumn("m", F.min("key").over(Window.partitionBy("s")))
+    edges = own.select(F.col("m").alias("a"), F.explode(F.array("s", "key")).alias("b")).where("a <> b").distinct()
+    found = materialise(connected_components(edges).select(F.col("component").alias("key"), F.col("node").alias("s")), "buckets")
+    return found.join(found.groupBy("key").agg(F.count("*").alias("n")), "key")
+
+
 def contents(docs: DataFrame, own: DataFrame, named: DataFrame, shingle_words: int) -> DataFrame:
     """s, size (bytes) and hashes (sorted, as bytes) of the sets that ``named`` has."""
     first = own.join(named, "s").groupBy("s").agg(F.min(F.struct("doc_id", "_th")).alias("r")).select("s", F.col("r.doc_id").alias("doc_id"), F.col("r._th").alias("_th"))
@@ -266,46 +274,61 @@ def similarities(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return both / (len(x) + sizes - both)
 
 
-def links_of(sets: list[np.ndarray], labels: list[int], blocks: list[int], least: float) -> list[tuple[int, int]]:
-    """Pairs (indexes) that join all labels among which there is a link. With two kinds of ``blocks`` only sets of different blocks are compared."""
-    root: dict[int, int] = {}
+def prefixes(sets: list[np.ndarray], least: float) -> list[list[int]]:
+    """Of each set the shingles that few sets have, so many of them that sets of similarity ``least`` have one of these in common; without those that no other set has among its own. Numbers stand for shingles."""
+    sizes = np.array([len(x) for x in sets])
+    _, of, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((of, many[of], owner))
+    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # Sets with a link have least * size shingles in common, of which one is among the size - least * size + 1 that come first in any order of shingles.
+    first = order[place < np.repeat(sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, sizes)]
+    first = first[np.bincount(of[first], minlength=len(many))[of[first]] > 1]
+    cuts = np.searchsorted(owner[first], np.arange(len(sets) + 1)).tolist()
+    own = of[first].tolist()
+    return [own[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
 
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
 
+def links_of(sets: list[np.ndarray], labels: list[int], blocks: list[int], least: float) -> list[tuple[int, int]]:
+    """Pairs (indexes) that join all labels among which there is a link. With two kinds of ``blocks`` only sets of different blocks are compared."""
+    if not sets:
+        return []
     across = len(set(blocks)) > 1
     sizes, block = np.array([len(x) for x in sets]), np.array(blocks)
-    far = np.full((len(sets), PIVOTS), np.nan)
-    pivots: list[int] = []
-    parts: dict[int, list[int]] = {}
+    #: By label the one that it is joined to, and which labels those are joined of.
+    top = {label: label for label in labels}
+    joined = {label: [label] for label in labels}
+    #: By shingle and label: the sets before that have it among their first ones.
+    sharers: dict[int, dict[int, list[int]]] = {}
     found = []
-    for x in range(len(sets)):
-        mine = find(labels[x])
-        if pivots and len(parts) > 1 or len(parts) == 1 and mine not in parts:
-            far[x, : len(pivots)] = 1 - similarities(sets[x], [sets[p] for p in pivots])
-        for other in list(parts):
-            if other == mine or other not in parts:
-                continue
-            y = np.array(parts[other])
-            near = (sizes[y] >= least * sizes[x]) & (sizes[x] >= least * sizes[y])
-            if across:
-                near &= block[y] != block[x]
-            apart = np.abs(far[y] - far[x])
-            y = y[near & ~(apart > 1 - least + 1e-9).any(axis=1)]
-            for at in range(0, len(y), CHUNK):
-                own = y[at : at + CHUNK]
-                hit = np.flatnonzero(similarities(sets[x], [sets[k] for k in own]) >= least)
-                if len(hit):
-                    found.append((x, int(own[hit[0]])))
-                    root[other] = mine
-                    parts.setdefault(mine, []).extend(parts.pop(other))
-                    break
-        if mine not in parts and len(pivots) < PIVOTS:
-            far[x, len(pivots)] = 0.0
-            pivots.append(x)
-        parts.setdefault(mine, []).append(x)
+    for x, shingles in enumerate(prefixes(sets, least)):
+        mine = top[labels[x]]
+        others: set[int] = set()
+        for shingle in shingles:
+            for label, own in sharers.get(shingle, {}).items():
+                if top[label] != mine:
+                    others.update(own)
+        y = np.array(sorted(others), dtype=np.int64)
+        near = (sizes[y] >= least * sizes[x]) & (sizes[x] >= least * sizes[y])
+        if across:
+            near &= block[y] != block[x]
+        y = y[near]
+        while len(y):
+            part, y = y[:CHUNK], y[CHUNK:]
+            hits = part[similarities(sets[x], [sets[k] for k in part.tolist()]) >= least].tolist()
+            for k in hits:
+                if (other := top[labels[k]]) != mine:
+                    found.append((x, k))
+                    mine, less = (mine, other) if len(joined[mine]) >= len(joined[other]) else (other, mine)
+                    top.update(dict.fromkeys(joined[less], mine))
+                    joined[mine] += joined.pop(less)
+            if hits:
+                y = y[np.array([top[labels[k]] != mine for k in y.tolist()], dtype=bool)]
+        for shingle in shingles:
+            by_label = sharers.setdefault(shingle, {})
+            for label in [k for k in by_label if k != mine and top[k] == mine]:
+                by_label.setdefault(mine, []).extend(by_label.pop(label))
+            by_label.setdefault(mine, []).append(x)
     return found
 
 
@@ -340,14 +363,13 @@ def components(docs: DataFrame, shingle_words: int = 5, least: float = 0.8) -> t
     """Sketches of ``docs``, and (s, component) of all sets that have a link to another: the least set that links lead to."""
     own = materialise(sketches(docs, shingle_words), "sketches")
     sets = materialise(own.where(F.length("print") > 0).groupBy("s").agg(F.first("print").alias("print")), "prints")
-    rows = materialise(buckets(sets, sets.count(), least), "buckets")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"))
-    members = materialise(rows.join(shared, "key"), "members")
-    held = materialise(contents(docs, own, members.select("s").distinct(), shingle_words), "sets")
+    rows = materialise(groups(sets, sets.count(), least), "groups")
+    members = materialise(buckets(rows), "members")
+    held = materialise(contents(docs, own, members.select("s"), shingle_words), "sets")
 
-    weights = members.groupBy("s").agg(F.sum("n").alias("w"))
+    weights = rows.join(rows.groupBy("key").agg(F.count("*").alias("w")), "key").groupBy("s").agg(F.sum("w").alias("w"))
     centres = members.join(weights, "s").groupBy("key").agg(F.max(F.struct("w", "s")).alias("m")).select("key", F.col("m.s").alias("c"))
-    pairs = materialise(members.join(centres, "key").where("s <> c").select("c", "s").distinct().join(held.select("s", "size"), "s"), "pairs")
+    pairs = materialise(members.join(centres, "key").where("s <> c").select("c", "s").join(held.select("s", "size"), "s"), "pairs")
     deals = pairs.groupBy("c").agg(F.ceil(F.sum("size") / DEAL_BYTES).alias("_deals"))
     dealt = pairs.join(deals, "c").select("c", F.pmod(F.xxhash64("s"), F.col("_deals")).alias("deal"), "s")
     every = dealt.union(dealt.select("c", "deal", F.col("c").alias("s")).distinct())

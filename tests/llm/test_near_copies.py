@@ -171,3 +171,37 @@ def test_many_sharers_of_one_variant():
     rows["check"][-1] = np.uint64(0x5555555555555555)
     root = near_copies.joined_in_place(0, rows, selector, 40)
     assert root.tolist() == [i % 2 for i in range(n - 1)] + [n - 1]
+
+
+def test_family_in_many_groups_is_one_bucket(spark):
+    """Each pair of a family of near copies is compared once, however many fingerprints bring it together."""
+    bases = [_prose(60) for _ in range(2)]
+    texts = [_changed(base, 3) for base in bases for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = near_copies.sketches(docs, 5).select("s", "print").distinct()
+    rows = near_copies.groups(sets, sets.count(), 0.8).collect()
+    found = near_copies.buckets(spark.createDataFrame(rows, "key long, s long")).collect()
+    assert len(rows) > 5 * len(found)
+    assert len({r.s for r in found}) == len(found) and {r.s for r in found} == {r.s for r in rows}
+    root = {r.s: r.s for r in rows}
+    for _ in rows:
+        before = dict(root)
+        for r in rows:
+            root[r.s] = root[r.key] = min(root[r.s], root[r.key])
+        if root == before:
+            break
+    assert {r.s: r.key for r in found} == root
+    assert all(r.n == sum(x.key == r.key for x in found) for r in found)
+
+
+def test_prefixes_of_linked_sets_meet():
+    """At 0.8 exactly and over, for all small sizes; sets without a link are mostly ruled out."""
+    for size in range(1, 41):
+        for other in range(size, size * 5 // 4 + 1):
+            for common in range(1, size + 1):
+                if common * 5 >= (size + other - common) * 4:
+                    words = RNG.choice(1 << 20, size + other - common, replace=False).astype(np.uint64)
+                    noise = [np.unique(RNG.choice(words, min(len(words), 6))) for _ in range(8)]
+                    sets = [np.sort(words[:size]), np.sort(np.concatenate((words[:common], words[size:]))), *noise]
+                    first = near_copies.prefixes(sets, 0.8)
+                    assert set(first[0]) & set(first[1]), (size, other, common)
