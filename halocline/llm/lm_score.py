@@ -12,7 +12,8 @@ vocabulary each; the bigram counts set the logits of each choice exactly.
 
 Every window holds CONTEXT subwords. For scores it gives its last half, and
 windows follow each other by half a window: each subword is scored once, with at
-least half a window before it. For training windows lie side by side and each
+least half a window before it; windows of a group of texts that hold the same
+subwords run through the model once. For training windows lie side by side and each
 place is a target. Windows of all texts of a batch run together, with keys before
 the text's start and after the query masked.
 
@@ -46,7 +47,7 @@ CONTEXT = 32
 HALF = CONTEXT // 2
 WIDTH = 16
 #: Windows that run through the model at once.
-WINDOWS = 1024
+WINDOWS = 4096
 #: Words of which every task holds counts.
 MOST_HEAD = 1 << 17
 #: Documents that train one copy of the weights, about, and windows of one of its steps.
@@ -115,7 +116,11 @@ class Tokens:
     def __init__(self, texts: list[bytes], subwords: Subwords | None = None):
         low = [lower_ascii(t) for t in texts]
         data, starts, ends, self.first = word_spans(low)
-        self.hashes, at, self.word = np.unique(_WORD.words(data, starts, ends), return_index=True, return_inverse=True)
+        # A table of hashes, and not a sort as in numpy's unique().
+        coded = pa.array(_WORD.words(data, starts, ends)).dictionary_encode()
+        self.hashes, self.word = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        at = np.empty(len(self.hashes), dtype=np.int64)
+        at[self.word[::-1]] = np.arange(len(self.word) - 1, -1, -1)
         if subwords is not None:
             joined = data.tobytes()
             words = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
@@ -189,35 +194,48 @@ def _sums(x: np.ndarray) -> np.ndarray:
 def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Query and direct input, key and value of each subword: positions enter by ``near`` only, so both are looked up."""
     e = w["embed"]
-    return np.concatenate((e @ (w["q"] * e.dtype.type(WIDTH**-0.5)), e @ w["x"]), axis=1), np.concatenate((e @ w["k"], e @ w["v"]), axis=1)
+    return e @ np.concatenate((w["q"] * e.dtype.type(WIDTH**-0.5), w["x"]), axis=1), e @ np.concatenate((w["k"], w["v"]), axis=1)
 
 
-def _forward(m: LanguageModel, ids: np.ndarray, real: np.ndarray, asked: int) -> tuple[np.ndarray, list[dict[str, np.ndarray]]]:
-    """ids and real (windows, CONTEXT): hidden states of the last ``asked`` places, and by part of the windows what the gradients need."""
+def _forward(m: LanguageModel, ids: np.ndarray, real: np.ndarray, asked: int, keep: bool = True) -> tuple[np.ndarray, list[dict[str, np.ndarray]]]:
+    """ids and real (windows, CONTEXT): hidden states of the last ``asked`` places, and with ``keep`` by part of the windows what the gradients need; without, all parts use the same memory."""
     w = m.weights
+    kind = w["embed"].dtype
     queries, keys = _tables(w)
-    h = np.empty((len(ids) * asked, WIDTH), dtype=w["embed"].dtype)
+    largest = np.sqrt(_sums(queries[:, :WIDTH] ** 2).max() * _sums(keys[:, :WIDTH] ** 2).max()) + w["near"].max()
+    h = np.empty((len(ids) * asked, WIDTH), dtype=kind)
     near = (w["near"][np.maximum(_BEHIND, 0)] + _CAUSAL)[-asked:]
     parts = []
+    shapes = (asked, 2 * WIDTH), (CONTEXT, 2 * WIDTH), (asked, CONTEXT), (asked, WIDTH)
+    room = [np.empty((0, *x), dtype=kind) for x in shapes]
     for start in range(0, len(ids), _AT_ONCE):
         own = ids[start : start + _AT_ONCE]
-        qx, kv = queries.take(own[:, -asked:], axis=0), keys.take(own, axis=0)
+        if keep or len(room[0]) != len(own):
+            room = [np.empty((len(own), *x), dtype=kind) for x in shapes]
+        qx, kv, e, o = room
+        # Indexes are in range; "clip" lets take() write in place.
+        queries.take(own[:, -asked:], axis=0, out=qx, mode="clip")
+        keys.take(own, axis=0, out=kv, mode="clip")
         q, k, v = qx[..., :WIDTH], kv[..., :WIDTH], kv[..., WIDTH:]
-        e = np.matmul(q, k.transpose(0, 2, 1))
+        np.matmul(q, k.transpose(0, 2, 1), out=e)
         e += near
-        np.minimum(e, 60, out=e)
+        # No logit is over ``largest``.
+        if largest > 60:
+            np.minimum(e, 60, out=e)
         np.exp(e, out=e)
         # Later keys are masked already, and with them places past a text's end: what is left is the half before its start.
         e[~real[start : start + _AT_ONCE, 0], :, :HALF] = 0
         size = _sums(e.reshape(-1, CONTEXT))
         size += 1e-30
-        o = np.matmul(e, v).reshape(-1, WIDTH)
+        np.matmul(e, v, out=o)
+        o = o.reshape(-1, WIDTH)
         o /= size[:, None]
         z = h[start * asked : start * asked + len(o)]
         np.matmul(o, w["o"], out=z)
         z += qx[..., WIDTH:].reshape(-1, WIDTH)
         np.tanh(z, out=z)
-        parts.append({"q": q, "k": k, "v": v, "e": e, "size": size, "o": o})
+        if keep:
+            parts.append({"q": q, "k": k, "v": v, "e": e, "size": size, "o": o})
     return h, parts
 
 
@@ -229,44 +247,62 @@ def _targets(m: LanguageModel, ids: np.ndarray, targets: np.ndarray) -> tuple[np
     return rows, ids[:, -targets.shape[1] :].reshape(-1)[rows], flat[rows]
 
 
-def _choices(m: LanguageModel, previous: np.ndarray, target: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, tuple[str, int]]]:
-    """The two choices of each target, in parts of a few hundred rows that stay in a processor's cache: rows, bigram logits, the place of the right one, and which weights."""
+def _choices(m: LanguageModel, h: np.ndarray | None, previous: np.ndarray, target: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, tuple[str, int]]]:
+    """The two choices of each target, in parts of a few hundred rows that stay in a processor's cache: rows, logits (overwritten by the next part), where the right ones lie in these as one row, and which weights."""
     s = m.subwords
+    kind = m.biases[0].dtype if h is None else h.dtype
     for level, (group, place) in enumerate(s.digits(target)):
-        bias = m.biases[level].reshape(-1, s.shape[level])
-        edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
-        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            g = int(group[first])
+        width = s.shape[level]
+        bias, at = m.biases[level].reshape(-1, width), previous + group * s.size
+        logits, own_bias, starts = np.empty((_ROWS, width), dtype=kind), np.empty((_ROWS, width), dtype=m.biases[level].dtype), np.arange(0, _ROWS * width, width)
+        edges = np.searchsorted(target, np.arange(s.shape[0] + 1) * s.shape[1]).tolist() if level else [0, len(target)]
+        for g, (first, last) in enumerate(zip(edges[:-1], edges[1:])):
             for a in range(first, last, _ROWS):
-                own = slice(a, min(a + _ROWS, last))
-                yield own, bias.take(previous[own] + g * s.size, axis=0), place[own], (f"digit{level}", g)
+                b = min(a + _ROWS, last)
+                z = logits[: b - a]
+                if h is None:
+                    bias.take(at[a:b], axis=0, out=z, mode="clip")
+                else:
+                    np.matmul(h[a:b], m.weights[f"digit{level}"][g], out=z)
+                    z += bias.take(at[a:b], axis=0, out=own_bias[: b - a], mode="clip")
+                yield slice(a, b), z, starts[: b - a] + place[a:b], (f"digit{level}", g)
 
 
 def log_probs(m: LanguageModel, ids: np.ndarray, real: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of ``targets`` (windows, places; negative: none) after as many of the last of ``ids``."""
     rows, previous, target = _targets(m, ids, targets)
-    h = _forward(m, ids, real, targets.shape[1])[0].take(rows, axis=0) if m.weights else None
-    found = np.zeros(len(rows))
-    for own, z, right, name in _choices(m, previous, target):
-        if h is not None:
-            z = z + h[own] @ m.weights[name[0]][name[1]]
-        found[own] += z[np.arange(len(z)), right]
+    h = _forward(m, ids, real, targets.shape[1], keep=False)[0].take(rows, axis=0) if m.weights else None
+    right_ones, sums = (np.empty((2, len(rows)), dtype=m.biases[0].dtype if h is None else h.dtype) for _ in range(2))
+    for own, z, right, name in _choices(m, h, previous, target):
+        level = _DIGITS.index(name[0])
+        z.reshape(-1).take(right, out=right_ones[level, own], mode="clip")
         np.exp(z, out=z)
-        found[own] -= np.log(_sums(z))
+        sums[level, own] = _sums(z)
     out = np.zeros(targets.size)
-    out[rows] = found
+    out[rows] = right_ones.sum(axis=0, dtype=np.float64) - np.log(sums, dtype=np.float64).sum(axis=0)
     return out.reshape(targets.shape)
 
 
 def score_streams(m: LanguageModel, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each text of ``Tokens.streams``."""
+    """Natural log-probability of each text of ``Tokens.streams``. Windows of the same subwords have the same score and run through the model once."""
     context, scored, text = _windows(stream, at)
-    total = np.zeros(len(at) - 1)
-    for i in range(0, len(context), WINDOWS):
-        c, t = context[i : i + WINDOWS], scored[i : i + WINDOWS]
-        lp = log_probs(m, stream[np.maximum(c, 0)], c >= 0, np.where(t >= 0, stream[np.maximum(t, 0)], -1))
-        total += np.bincount(text[i : i + WINDOWS], weights=lp.sum(axis=1), minlength=len(total))
-    return total
+    chunks = range(0, len(context), WINDOWS)
+    hashes = [_numbers(stream, context[i : i + WINDOWS]) @ _FACTORS[:-1] + _numbers(stream, scored[i : i + WINDOWS, -1]) * _FACTORS[-1] for i in chunks]
+    _, one, of = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *hashes]), return_index=True, return_inverse=True)
+    found = np.zeros(len(one))
+    for i in range(0, len(one), WINDOWS):
+        c, t = context[one[i : i + WINDOWS]], scored[one[i : i + WINDOWS]]
+        found[i : i + WINDOWS] = log_probs(m, stream[np.maximum(c, 0)], c >= 0, np.where(t >= 0, stream[np.maximum(t, 0)], -1)).sum(axis=1)
+    return np.bincount(text, weights=found[of], minlength=len(at) - 1)
+
+
+#: Factors of the hash of a window: one for each place of its context and one for its last target; the other targets are in its context.
+_FACTORS = np.random.default_rng(43).integers(-(1 << 62), 1 << 62, CONTEXT + 1) * 2 + 1
+
+
+def _numbers(stream: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Subwords at ``places`` and 1, or 0 where a place is negative."""
+    return np.where(places >= 0, stream[np.maximum(places, 0)] + 1, 0)
 
 
 def with_counts(subwords: Subwords, pairs: np.ndarray, counts: np.ndarray, prior: float = 8.0) -> LanguageModel:
@@ -290,12 +326,13 @@ def with_counts(subwords: Subwords, pairs: np.ndarray, counts: np.ndarray, prior
     return LanguageModel(subwords, biases)
 
 
-def _add_by_subword(total: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-    """Adds each of ``rows`` to its subword's row of ``total``."""
-    order = np.argsort(ids.astype(np.uint16) if len(total) < 1 << 16 else ids, kind="stable")
-    ids = ids[order]
-    first = np.flatnonzero(np.diff(ids, prepend=-1))
-    total[ids[first]] += np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+def _sums_of_runs(rows: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``rows`` by ``ids``, which ascend, as a table of ``size`` rows."""
+    first = np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
+    total = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
+    # Two numbers at a time, as the parts of a complex one: that is twice as fast.
+    total[ids[first]] = np.add.reduceat(rows.view(np.result_type(rows.dtype, np.complex64)), first, axis=0).view(rows.dtype)
+    return total
 
 
 def _gradients(m: LanguageModel, ids: np.ndarray, real: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
@@ -306,61 +343,96 @@ def _gradients(m: LanguageModel, ids: np.ndarray, real: np.ndarray, targets: np.
     rows, previous, target = _targets(m, ids, targets)
     h, n = every.take(rows, axis=0), len(rows)
     g = {name: np.zeros_like(a) for name, a in w.items()}
-    dt = np.zeros_like(h)
-    for own, z, right, name in _choices(m, previous, target):
-        weight, x = w[name[0]][name[1]], h[own]
-        z = z + x @ weight
+    # What the right choices add to the gradients is a sum of hidden states by subword, and a row of weights looked up.
+    by_target = _sums_of_runs(h, target, s.size).reshape(*s.shape, WIDTH) / kind.type(-n)
+    g["digit0"][0], g["digit1"][:] = by_target.sum(axis=1).T, by_target.transpose(0, 2, 1)
+    back = [np.concatenate((w[k], np.ones_like(w[k][:, :1])), axis=1) for k in _DIGITS]
+    right = ((w["digit0"][0].T[:, None] + w["digit1"].transpose(0, 2, 1)) / kind.type(-n)).reshape(-1, WIDTH)
+    # From here on a place is a column: factors of places then run along the long side.
+    columns = np.ascontiguousarray(h.T)
+    dt, product, scaled = right.T.take(target, axis=1), np.empty((WIDTH + 1) * _ROWS, dtype=kind), np.empty(WIDTH * _ROWS, dtype=kind)
+    for own, z, _, (level, group) in _choices(m, h, previous, target):
         np.exp(z, out=z)
-        z *= (1 / (n * _sums(z)))[:, None]
-        z[np.arange(len(z)), right] -= kind.type(1 / n)
-        g[name[0]][name[1]] += x.T @ z
-        dt[own] += z @ weight.T
-    every[:] = 0
-    every[rows] = dt * (1 - h * h)
-    by_id = np.zeros((s.size, 4 * WIDTH), dtype=kind)
+        # Unnormalised: the last row has the sums, by which the others are divided.
+        y = np.matmul(back[_DIGITS.index(level)][group], z.T, out=product[: (WIDTH + 1) * len(z)].reshape(WIDTH + 1, -1))
+        share = 1 / (n * y[WIDTH])
+        x = np.multiply(columns[:, own], share, out=scaled[: WIDTH * len(z)].reshape(WIDTH, -1))
+        g[level][group] += x @ z
+        y = y[:WIDTH]
+        y *= share
+        dt[:, own] += y
+    columns *= columns
+    np.subtract(1, columns, out=columns)
+    columns *= dt
+    if n == len(every):
+        at = np.empty_like(rows)
+        at[rows] = np.arange(n)
+        np.ascontiguousarray(columns.T).take(at, axis=0, out=every, mode="clip")
+    else:
+        every[:] = 0
+        every[rows] = columns.T
     by_place = np.zeros((asked, CONTEXT), dtype=kind)
+    # Gradients of key, value, query and direct input of each place, side by side.
+    every_place = np.empty((len(ids), CONTEXT, 4, WIDTH), dtype=kind)
+    every_place[:, : CONTEXT - asked, 2:] = 0
+    every_place[:, -asked:, 3] = every.reshape(len(ids), asked, WIDTH)
+    g["o"] = np.concatenate([part["o"] for part in parts]).T @ every
     for part, start in zip(parts, range(0, len(ids), _AT_ONCE)):
         own = ids[start : start + _AT_ONCE]
         dz = every[start * asked : (start + len(own)) * asked]
-        g["o"] += part["o"].T @ dz
         do = dz @ w["o"].T
         # With unnormalised attention e of sum ``size``, the gradient of a logit is e / size times what its value exceeds the mean by.
-        mean = np.einsum("ij,ij->i", do, part["o"]) / part["size"]
+        mean = _sums(do * part["o"]) / part["size"]
         do /= part["size"][:, None]
         do = do.reshape(len(own), asked, WIDTH)
         d = np.matmul(do, part["v"].transpose(0, 2, 1))
         d -= mean.reshape(len(own), asked, 1)
         d *= part["e"]
         by_place += (np.ones(len(own), dtype=kind) @ d.reshape(len(own), -1)).reshape(asked, CONTEXT)
-        # Gradients of key, value, query and direct input of each place, side by side.
-        each = np.zeros((len(own), CONTEXT, 4, WIDTH), dtype=kind)
-        each[:, :, 0] = np.matmul(d.transpose(0, 2, 1), part["q"])
-        each[:, :, 1] = np.matmul(part["e"].transpose(0, 2, 1), do)
-        each[:, -asked:, 2] = np.matmul(d, part["k"])
-        each[:, -asked:, 3] = dz.reshape(len(own), asked, WIDTH)
-        _add_by_subword(by_id, own.reshape(-1), each.reshape(-1, 4 * WIDTH))
-    by_id = by_id.reshape(s.size, 4, WIDTH)
-    by_id[:, 2] *= WIDTH**-0.5
+        each = every_place[start : start + len(own)]
+        np.matmul(d.transpose(0, 2, 1), part["q"], out=each[:, :, 0])
+        np.matmul(part["e"].transpose(0, 2, 1), do, out=each[:, :, 1])
+        np.matmul(d, part["k"], out=each[:, -asked:, 2])
+    flat = ids.reshape(-1).astype(np.uint16) if s.size < 1 << 16 else ids.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    by_id = _sums_of_runs(every_place.reshape(-1, 4 * WIDTH).take(order, axis=0), flat[order], s.size)
+    by_id[:, 2 * WIDTH : 3 * WIDTH] *= WIDTH**-0.5
     g["near"] = np.bincount(np.maximum(_BEHIND, 0)[-asked:].reshape(-1), weights=by_place.reshape(-1), minlength=CONTEXT).astype(kind)
-    for i, name in enumerate("kvqx"):
-        g[name] = w["embed"].T @ by_id[:, i]
-        g["embed"] += by_id[:, i] @ w[name].T
+    g |= zip("kvqx", np.split(w["embed"].T @ by_id, 4, axis=1))
+    g["embed"] = by_id @ np.concatenate([w[k].T for k in "kvqx"])
     return g
 
 
 class Adam:
+    """Keeps all weights in one vector, of which those of the model become views."""
+
     def __init__(self, w: dict[str, np.ndarray]):
-        self.w, self.step = w, 0
-        self.mean, self.square = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
+        self.names, self.step = list(w), 0
+        self.all = np.concatenate([w[k].reshape(-1) for k in self.names])
+        at = 0
+        for k in self.names:
+            w[k] = self.all[at : at + w[k].size].reshape(w[k].shape)
+            at += w[k].size
+        self.mean, self.square, self.g, self.root = (np.zeros_like(self.all) for _ in range(4))
+        self.digits = [w[k] for k in _DIGITS]
 
     def update(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.step += 1
-        for k in self.w:
-            self.mean[k] = 0.9 * self.mean[k] + 0.1 * g[k]
-            self.square[k] = 0.99 * self.square[k] + 0.01 * g[k] ** 2
-            self.w[k] -= (rate * (self.mean[k] / (1 - 0.9**self.step)) / (np.sqrt(self.square[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
-        for k in _DIGITS:
-            np.clip(self.w[k], -_MOST_WEIGHT, _MOST_WEIGHT, out=self.w[k])
+        np.concatenate([g[k].reshape(-1) for k in self.names], out=self.g)
+        self.mean *= 0.9
+        self.mean += np.multiply(self.g, 0.1, out=self.root)
+        self.square *= 0.99
+        np.multiply(self.g, self.g, out=self.g)
+        self.g *= 0.01
+        self.square += self.g
+        np.multiply(self.square, 1 / (1 - 0.99**self.step), out=self.root)
+        np.sqrt(self.root, out=self.root)
+        self.root += 1e-8
+        np.multiply(self.mean, rate / (1 - 0.9**self.step), out=self.g)
+        self.g /= self.root
+        self.all -= self.g
+        for x in self.digits:
+            np.clip(x, -_MOST_WEIGHT, _MOST_WEIGHT, out=x)
 
 
 def train(m: LanguageModel, texts: list[bytes], steps: int = 600, windows: int = 32, seed: int = 5) -> LanguageModel:
