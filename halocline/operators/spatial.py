@@ -27,6 +27,15 @@ def touching(c: Column) -> Column:
     return F.transform(steps, lambda s: F.struct((c["x"] + s["x"]).alias("x"), (c["y"] + s["y"]).alias("y"), (c["z"] + s["z"]).alias("z")))
 
 
+def reached(df: DataFrame, name: str, side: float, radius: float) -> DataFrame:
+    """``df`` (lon, lat) with a row for each cube of this side that reaches within ``radius`` of its place, by chord, and that cube."""
+    for axis, x in zip("xyz", unit_xyz(F.col("lon"), F.col("lat"))):
+        # A metre more for rounding.
+        low, high = (F.floor((x + F.lit(by)) / F.lit(side)).cast("int") for by in (-radius - 1.0, radius + 1.0))
+        df = df.withColumn(f"_{axis}", F.explode(F.sequence(low, high)))
+    return df.withColumn(name, F.struct(*[F.col(f"_{axis}").alias(axis) for axis in "xyz"])).drop("_x", "_y", "_z")
+
+
 def within(points: DataFrame, obs: DataFrame, radius: float, metric: str = "chord") -> DataFrame:
     """Pairs of all rows of both at most ``radius`` metres apart, with dist.
 

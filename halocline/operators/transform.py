@@ -6,6 +6,11 @@ cubes of space are cut into blocks of bounded numbers of observations and of
 points, each block pair adds up its sums in numpy, and the sums of a point are
 added up as a stream before its eigenproblem is solved.
 
+What is shuffled grows with a point's observations, up to triangles of symmetric
+matrices: a block with few observations for a point sends these, weighted, instead
+of their sums, and the transform of a point with few observations in all is a
+multiple of the identity and a term for each of them.
+
 One transform serves all levels of a point and all variables of a group: variables
 whose weights of observation types are equal. Distances are found once for all
 groups. With a mixed layer a column has two points, and surface observations count
@@ -24,10 +29,12 @@ from pyspark.sql import functions as F
 from ..functions import ensemble
 from ..functions.geo import CUT_OFF, basin_mark
 from ..schema import EARTH_RADIUS, OBS_TYPES, FilterConfig
-from .spatial import cube, touching
+from .spatial import cube, reached
 
 #: Observations and points of a block: bounds what a task holds.
 BLOCK_OBS, BLOCK_POINTS = 20_000, 2_000
+#: Metres: cubes are no smaller, so that small radii neither copy observations nor make a group for each point.
+LEAST_SIDE = 200_000.0
 #: Fixed value: types that lie at a level; their distance to a point's level counts.
 LEVELLED = ("sst", "sss", "u", "v", "t", "s")
 #: The variable of layer thicknesses.
@@ -36,7 +43,8 @@ THICKNESS = "h"
 LEVELS_AT_ONCE, SOLVED_AT_ONCE = 64, 64
 #: Variables take no part in types of a lesser weight.
 LEAST_WEIGHT = 1e-30
-_SUMS = "point long, grp int, n long, a binary, b binary"
+#: ``few`` observations as they are, weighted, in a (few x members) with their departures in b; where few is 0, a is the upper triangle of the sums.
+_SUMS = "point long, grp int, n long, few int, a binary, b binary"
 _KEY = ["c", "o", "g"]
 
 
@@ -45,12 +53,28 @@ def _xyz(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     return EARTH_RADIUS * np.stack((np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)), axis=1)
 
 
+def _most(m: int) -> int:
+    """Observations that take no more room than the sums over them, with ``m`` members."""
+    return m // 2
+
+
+def _triangle(a: np.ndarray) -> np.ndarray:
+    return a[..., *np.triu_indices(a.shape[-1])]
+
+
+def _square(triangle: np.ndarray, m: int) -> np.ndarray:
+    out = np.empty((*triangle.shape[:-1], m, m))
+    i, j = np.triu_indices(m)
+    out[..., i, j] = out[..., j, i] = triangle
+    return out
+
+
 def _block_sums(config: FilterConfig):
     groups = [{OBS_TYPES[name]: w for name, w in row.items()} for row in config.variable_groups()[1]]
 
     def run(obs: pa.Table, points: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], []]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        out: list[list] = [[], [], [], [], [], []]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         if obs.num_rows and points.num_rows:
             take = lambda t, c: t.column(c).to_numpy().astype(np.float64)
             where = _xyz(take(obs, "lon"), take(obs, "lat"))
@@ -87,27 +111,31 @@ def _block_sums(config: FilterConfig):
                     own = weight[near] >= LEAST_WEIGHT
                     k = near[own]
                     if len(k):
-                        c = y[k] * (decayed[own] * weight[k])[:, None]
-                        for column, x in zip(out, (name, group, len(k), (c.T @ y[k]).tobytes(), (c.T @ dep[k]).tobytes())):
+                        root = np.sqrt(decayed[own] * weight[k])
+                        c, e, few = y[k] * root[:, None], dep[k] * root, len(k)
+                        if few > _most(y.shape[1]):
+                            c, e, few = _triangle(c.T @ c), c.T @ e, 0
+                        for column, x in zip(out, (name, group, len(k), few, c.tobytes(), e.tobytes())):
                             column.append(x)
-        return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], ["point", "grp", "n", "a", "b"])
+        return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], ["point", "grp", "n", "few", "a", "b"])
 
     return run
 
 
 def local_sums(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """point, grp, n, a, b: parts of the sums of each point and group of variables, one for each block of observations that has any within reach.
+    """point, grp, n, few, a, b: parts of the sums of each point and group of variables, one for each block of observations that has any within reach.
 
     ``points``: point, lon, lat, lev, upper. ``obs``: obs_id, elem, lon, lat, lev,
     dep, err, pert; rows with a null in these or err <= 0 are left out.
     """
-    side = CUT_OFF * max(config.sigma_equator, config.sigma_pole)
+    radius = CUT_OFF * max(config.sigma_equator, config.sigma_pole)
+    side = max(radius, LEAST_SIDE)
     p = points.select("point", *[F.col(c).cast("double") for c in ("lon", "lat", "lev")], F.coalesce("upper", F.lit(True)).alias("upper")).where("point is not null and lon is not null and lat is not null")
     o = obs.select("obs_id", F.col("elem").cast("int").alias("elem"), *[F.col(c).cast("double") for c in ("lon", "lat", "lev", "dep", "err")], F.col("pert").cast("array<double>").alias("pert"))
     o = o.na.drop().where("err > 0")
     p, o = (x.withColumn("basin", basin_mark(F.col("lon"), F.col("lat"))) for x in (p, o))
     p = p.withColumn("c", cube(F.col("lon"), F.col("lat"), side))
-    o = o.withColumn("c", F.explode(touching(cube(F.col("lon"), F.col("lat"), side))))
+    o = reached(o, "c", side, radius)
     # Numbers of blocks by cube: counts are aggregated before the shuffle; cubes without points or observations go here.
     blocks = o.groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK_OBS)).alias("no")).join(p.groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK_POINTS)).alias("ng")), "c")
     spread = lambda df, key, own, own_n, other, other_n: (
@@ -118,17 +146,113 @@ def local_sums(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterC
     return o.groupBy(*_KEY).cogroup(p.groupBy(*_KEY)).applyInArrow(_block_sums(config), _SUMS)
 
 
-def transforms_of(a: np.ndarray, b: np.ndarray, inflation: np.ndarray) -> np.ndarray:
-    """For each point the transform whose columns are the weights of the analysis members, from its summed normal equations."""
+def transforms_of(a: np.ndarray, b: np.ndarray, inflation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point, from its summed normal equations, the symmetric root and the mean weights: columns of their sum are the weights of the analysis members."""
     m = b.shape[1]
     values, vectors = np.linalg.eigh(a + np.eye(m) * ((m - 1) / inflation)[:, None, None])
     turned = vectors.transpose(0, 2, 1)
     mean = vectors @ ((turned @ b[:, :, None]) / values[:, :, None])
-    return (vectors * np.sqrt((m - 1) / values)[:, None, :]) @ turned + mean
+    return (vectors * np.sqrt((m - 1) / values)[:, None, :]) @ turned, mean[:, :, 0]
+
+
+def factors_of(c: np.ndarray, e: np.ndarray, inflation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``transforms_of``, from the weighted observations themselves (c, departures e): scale, change, axes and the mean weights; the root is scale x identity + axes' x change x axes."""
+    m = c.shape[2]
+    own = ((m - 1) / inflation)[:, None]
+    left, size, axes = np.linalg.svd(c, full_matrices=False)
+    values = size**2 + own
+    turned = (left.transpose(0, 2, 1) @ e[:, :, None])[:, :, 0]
+    mean = ((turned * size / values)[:, None, :] @ axes)[:, 0]
+    scale = np.sqrt((m - 1) / own)
+    return scale[:, 0], np.sqrt((m - 1) / values) - scale, axes, mean
+
+
+def _packed(scale: float, change: np.ndarray, axes: np.ndarray, mean: np.ndarray) -> bytes:
+    """A transform as bytes: members, number of axes, scale, changes, mean weights, axes. A whole root has -1 axes, and its upper triangle in their place."""
+    whole = change is None
+    return np.concatenate(([len(mean), -1 if whole else len(change), scale], () if whole else change, mean, axes.reshape(-1))).tobytes()
+
+
+def _unpacked(trans: bytes) -> tuple[int, float, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of axes, scale, changes, mean weights, and axes or the whole root."""
+    x = np.frombuffer(trans)
+    m, n, scale = int(x[0]), int(x[1]), float(x[2])
+    change, mean, rest = np.split(x[3:], (max(n, 0), max(n, 0) + m))
+    return n, scale, change, mean, _square(rest, m) if n < 0 else rest.reshape(n, m)
+
+
+def _expanded(trans: bytes) -> np.ndarray:
+    """The matrix of a packed transform, row by row."""
+    n, scale, change, mean, axes = _unpacked(trans)
+    root = axes if n < 0 else np.eye(len(mean)) * scale + (axes.T * change) @ axes
+    return (root + mean[:, None]).reshape(-1)
+
+
+def _applied(x: np.ndarray, trans: bytes | list[float]) -> np.ndarray:
+    """Rows of perturbations times a transform, packed or whole."""
+    if not isinstance(trans, bytes):
+        return x @ np.array(trans).reshape(x.shape[1], -1)
+    n, scale, change, mean, axes = _unpacked(trans)
+    turned = x @ axes if n < 0 else x * scale + ((x @ axes.T) * change) @ axes
+    return turned + (x @ mean)[:, None]
+
+
+class _Sums:
+    """The sums of one point and group: weighted observations while these are few, their normal equations from then on."""
+
+    def __init__(self, point: int, grp: int, inflation: float):
+        self.key, self.inflation, self.n = (point, grp), inflation, 0
+        self.c: list[np.ndarray] = []
+        self.e: list[np.ndarray] = []
+        self.few, self.a, self.b = 0, None, None
+
+    def add(self, n: int, few: int, a: bytes, b: bytes) -> None:
+        self.n += n
+        a, b = np.frombuffer(a), np.frombuffer(b)
+        if few:
+            self.c.append(a.reshape(few, -1))
+            self.e.append(b)
+            self.few += few
+            if self.few > _most(self.c[0].shape[1]):
+                self._sum(0.0 if self.a is None else self.a, 0.0 if self.b is None else self.b)
+        else:
+            self._sum(a if self.a is None else self.a + a, b if self.b is None else self.b + b)
+
+    def _sum(self, a: np.ndarray | float, b: np.ndarray | float) -> None:
+        if self.few:
+            c, e = np.concatenate(self.c), np.concatenate(self.e)
+            a, b = a + _triangle(c.T @ c), b + c.T @ e
+            self.c, self.e, self.few = [], [], 0
+        self.a, self.b = a, b
+
+    def finish(self) -> None:
+        if self.a is not None:
+            self._sum(self.a, self.b)
+
+
+def _solved(points: list[_Sums]) -> list[bytes]:
+    """The packed transforms of some points: those with as many observations are solved at once."""
+    out: list[bytes] = [b""] * len(points)
+    alike: dict[int, list[int]] = {}
+    for i, p in enumerate(points):
+        p.finish()
+        alike.setdefault(p.few, []).append(i)
+    for few, own in alike.items():
+        inflation = np.array([points[i].inflation for i in own])
+        if few:
+            c, e = (np.stack([np.concatenate(x) for x in parts]) for parts in ([points[i].c for i in own], [points[i].e for i in own]))
+            rows = zip(*factors_of(c, e, inflation))
+        else:
+            b = np.stack([points[i].b for i in own])
+            root, mean = transforms_of(_square(np.stack([points[i].a for i in own]), b.shape[1]), b, inflation)
+            rows = ((0.0, None, x, w) for x, w in zip(_triangle(root), mean))
+        for i, row in zip(own, rows):
+            out[i] = _packed(*row)
+    return out
 
 
 def packed_transforms(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """As ``transforms``, with the numbers of trans as bytes: matrices pass through the JVM as they are.
+    """As ``transforms``, with trans as bytes that ``analyse`` reads, in factors where a point has few observations.
 
     Where ``points`` have an inflation of their own, over 0, it replaces that of the settings.
     """
@@ -137,36 +261,29 @@ def packed_transforms(points: DataFrame, obs: DataFrame, config: FilterConfig =
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums arrive in the order of points: those of one point are added up, and some points are solved at once."""
-        names, groups, counts, a, b, inflation = [], [], [], [], [], []
+        points: list[_Sums] = []
 
-        def done(n: int) -> pa.RecordBatch:
-            m = len(b[0])
-            t = transforms_of(np.stack(a[:n]).reshape(n, m, m), np.stack(b[:n]), np.array(inflation[:n]))
-            out = pa.record_batch([pa.array(names[:n], pa.int64()), pa.array(groups[:n], pa.int32()), pa.array(counts[:n], pa.int64()), pa.array([x.tobytes() for x in t], pa.binary())], ["point", "grp", "n_obs", "trans"])
-            for column in (names, groups, counts, a, b, inflation):
-                del column[:n]
-            return out
+        def done() -> pa.RecordBatch:
+            columns = ([p.key[0] for p in points], [p.key[1] for p in points], [p.n for p in points], _solved(points))
+            points.clear()
+            return pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["point", "grp", "n_obs", "trans"])
 
         for batch in batches:
-            for point, group, count, part_a, part_b, factor in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if names and (names[-1], groups[-1]) == (point, group):
-                    counts[-1] += count
-                    a[-1] = a[-1] + np.frombuffer(part_a)
-                    b[-1] = b[-1] + np.frombuffer(part_b)
-                    continue
-                if len(names) == SOLVED_AT_ONCE:
-                    yield done(len(names))
-                for column, x in zip((names, groups, counts, a, b, inflation), (point, group, count, np.frombuffer(part_a), np.frombuffer(part_b), factor)):
-                    column.append(x)
-        if names:
-            yield done(len(names))
+            for point, group, *part, factor in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if not points or points[-1].key != (point, group):
+                    if len(points) == SOLVED_AT_ONCE:
+                        yield done()
+                    points.append(_Sums(point, group, factor))
+                points[-1].add(*part)
+        if points:
+            yield done()
 
     sums = local_sums(points, obs, config)
     own = F.lit(float(config.inflation))
     if "inflation" in points.columns:
         sums = sums.join(points.select("point", F.col("inflation").cast("double").alias("_own")), "point")
         own = F.when(F.col("_own") > 0, F.col("_own")).otherwise(own)
-    sums = sums.select("point", "grp", "n", "a", "b", own.alias("inflation"))
+    sums = sums.select("point", "grp", "n", "few", "a", "b", own.alias("inflation"))
     return sums.repartition("point", "grp").sortWithinPartitions("point", "grp").mapInArrow(solve, "point long, grp int, n_obs long, trans binary")
 
 
@@ -175,7 +292,7 @@ def transforms(points: DataFrame, obs: DataFrame, config: FilterConfig = FilterC
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.frombuffer(x) for x in batch.column("trans").to_pylist()]
+            rows = [_expanded(x) for x in batch.column("trans").to_pylist()]
             yield pa.record_batch([*(batch.column(c) for c in ("point", "grp", "n_obs")), pa.array(rows, pa.list_(pa.float64()))], ["point", "grp", "n_obs", "trans"])
 
     return packed_transforms(points, obs, config).mapInArrow(unpack, "point long, grp int, n_obs long, trans array<double>")
@@ -215,8 +332,7 @@ def analyse(state: DataFrame, trans: DataFrame | None, config: FilterConfig = Fi
             start = 0
             for n, t in zip(sizes.tolist(), batch.column("trans").to_pylist()):
                 own = slice(start, start + n)
-                matrix = None if t is None else np.frombuffer(t) if isinstance(t, bytes) else np.array(t)
-                ana[own] = ana[own] * root if matrix is None else ana[own] @ matrix.reshape(x.shape[1], -1)
+                ana[own] = ana[own] * root if t is None else _applied(ana[own], t)
                 start += n
             ana += x.mean(axis=1, keepdims=True)
             kmt = flat.field("kmt")
