@@ -4,8 +4,9 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from halocline.llm import pieces
+from halocline.llm import pieces, queries
 
 N = 6000
 
@@ -69,3 +70,26 @@ def test_detokenise_without_ids_and_with_empty_lists():
     one = int(v.byte_ids[65])
     assert pieces.detokenise(np.zeros(0, dtype=np.int32), np.array([0, 0, 0]), v) == ["", ""]
     assert pieces.detokenise(np.array([one, one, one], dtype=np.int32), np.array([0, 0, 3]), v) == ["", "AA"]
+
+
+def test_zero_characters_are_no_part_of_another_piece():
+    v = pieces.load()
+    texts = ["=\0", "\0", "a\0\0b", "0\0 -\0", "\0\0\0", "ab\0", "\u2581\0", "=\0" * 40]
+    for seed in range(1, 20):
+        keys = np.arange(1, len(texts) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 * seed % (1 << 64))
+        for samples in pieces.sample(texts, keys, v, 4):
+            assert pieces.round_trips(samples, texts, v) == [True] * len(texts)
+            # The space joins "=" or not; the byte stands alone.
+            assert [len(s) for s in samples.to_pylist()][:2] == [2, 1]
+
+
+def test_query_returns_the_pieces_themselves(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "=\0 \u2581 a\0"), (-4, "\U0010ffff \n")], "doc_id long, text string")
+    docs.union(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op5_pieces(spark, str(tmp_path))
+    got = pieces.decode(out, F.col("ids")).join(docs.union(odd), "doc_id").collect()
+    assert len(got) == docs.count() + 4
+    for r in got:
+        assert r.decoded == [r.text or ""] * r.n_samples and r.round_trip
+        assert r.n_pieces == [len(x) for x in r.ids] and len(r.perturbed) == len(r.inclusion) == len(r.log_prob) == r.n_samples
